@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sql
 from .quality import op3_quality
 from .sharding import op7_sharding
+from .simhash import op2_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
     "op7_sharding": op7_sharding,
 }
