@@ -10,8 +10,10 @@ from . import sql
 from .quality import op3_quality
 from .sharding import op7_sharding
 from .simhash import op2_simhash
+from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
     "op7_sharding": op7_sharding,
