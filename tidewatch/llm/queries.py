@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
+from .merkle import op9_fingerprints
 from .quality import op3_quality
 from .sharding import op7_sharding
 from .simhash import op2_simhash
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
     "op7_sharding": op7_sharding,
+    "op9_fingerprints": op9_fingerprints,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality": sql.OP3_QUALITY,
