@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from .merkle import op9_fingerprints
+from .pii import op6_pii
 from .quality import op3_quality
 from .sharding import op7_sharding
 from .simhash import op2_simhash
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
+    "op6_pii": op6_pii,
     "op7_sharding": op7_sharding,
     "op9_fingerprints": op9_fingerprints,
 }
