@@ -158,8 +158,8 @@ class SpanModel:
 def _fit(patterns: Sequence[Row], rounds: int = 60) -> SpanModel:
     """EM over counted vote patterns, then a logistic classifier on the posteriors. At most 4 * 3^4 patterns.
 
-    Classes count as equally likely, and the classifier also sees every possible vote once: else a corpus whose
-    candidates are nearly all true would teach it to accept whatever comes.
+    EM estimates the share of true spans, too. The classifier is trained as if classes were equally likely and also
+    sees every possible vote: a corpus whose candidates are nearly all true would else teach it to accept anything.
     """
     observed = [(p["kind"], tuple(p["votes"]), p["n"]) for p in patterns]
     # P(vote | true), P(vote | false) that count as four observations: labelers are better than chance.
@@ -167,13 +167,15 @@ def _fit(patterns: Sequence[Row], rounds: int = 60) -> SpanModel:
     rel = [dict(start) for _ in LABELERS]
     total = sum(n for *_, n in observed)
 
-    def posterior(votes: tuple[int, ...]) -> float:
-        odds = sum(math.log(rel[k][v][0] / rel[k][v][1]) for k, v in enumerate(votes))
+    def posterior(votes: tuple[int, ...], prior: float = 0.5) -> float:
+        odds = math.log(prior / (1 - prior)) + sum(math.log(rel[k][v][0] / rel[k][v][1]) for k, v in enumerate(votes))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
 
+    share = 0.5
     for _ in range(rounds):
-        post = [posterior(votes) for _, votes, _ in observed]
+        post = [posterior(votes, share) for _, votes, _ in observed]
         true = sum(n * q for (*_, n), q in zip(observed, post, strict=True))
+        share = (true + 1) / (total + 2)
         for k in range(len(LABELERS)):
             for v in (1, 0, -1):
                 a = sum(n * q for (_, votes, n), q in zip(observed, post, strict=True) if votes[k] == v)
