@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from .merkle import op9_fingerprints
+from .packing import op10_packing
 from .pii import op6_pii
 from .quality import op3_quality
 from .sharding import op7_sharding
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii": op6_pii,
     "op7_sharding": op7_sharding,
     "op9_fingerprints": op9_fingerprints,
+    "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality": sql.OP3_QUALITY,
