@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
+from .lines import op8_lines
 from .merkle import op9_fingerprints
 from .packing import op10_packing
 from .pii import op6_pii
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op6_pii": op6_pii,
     "op7_sharding": op7_sharding,
+    "op8_lines": op8_lines,
     "op9_fingerprints": op9_fingerprints,
     "op10_packing": op10_packing,
 }
