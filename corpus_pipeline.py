@@ -1,24 +1,53 @@
-"""A corpus pipeline: each stage works on what the one before it kept."""
+"""A corpus pipeline: quality rules, line dedup, near-duplicates, personal data, packing.
+
+Each stage works on what the one before it kept and wrote; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm.common import materialize
+from tidewatch.llm.lines import dedup_lines
+from tidewatch.llm.packing import pack_documents
+from tidewatch.llm.pii import redact
 from tidewatch.llm.quality import keep_good
+from tidewatch.llm.simhash import keep_one
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a rule or their host's verdict rejects go."""
     return keep_good(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated passages are cut out of the texts; every document stays."""
+    return dedup_lines(docs).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return keep_one(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data are replaced by their kind."""
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' ids with their sequences and offsets."""
+    return pack_documents(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("SimHash near-dedup", near_dedup), ("PII", personal_data), ("packing", packing)]
 
-#: SQL cannot express the later stages.
+#: SQL cannot express the fingerprints, the span classifier and the packing; tests/llm holds run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
