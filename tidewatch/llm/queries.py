@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from .lines import op8_lines
+from .lm import op4_lm
 from .merkle import op9_fingerprints
 from .packing import op10_packing
 from .pii import op6_pii
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
+    "op4_lm": op4_lm,
     "op6_pii": op6_pii,
     "op7_sharding": op7_sharding,
     "op8_lines": op8_lines,
