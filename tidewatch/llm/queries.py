@@ -13,6 +13,7 @@ from .merkle import op9_fingerprints
 from .packing import op10_packing
 from .pii import op6_pii
 from .quality import op3_quality
+from .sentencepiece import op5_sentencepiece
 from .sharding import op7_sharding
 from .simhash import op2_simhash
 from .toxicity import op1_toxicity
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
     "op4_lm": op4_lm,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_pii": op6_pii,
     "op7_sharding": op7_sharding,
     "op8_lines": op8_lines,
