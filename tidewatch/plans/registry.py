@@ -2,16 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from . import kernel  # noqa: F401  (importing registers)
+from .base import QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-@dataclass(frozen=True)
-class Query:
-    run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None
-
-
-QUERIES: dict[str, Query] = {}
+__all__ = ["QUERIES", "Query"]
