@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import joins, kernel, series  # noqa: F401  (importing registers)
+from . import cohorts, joins, kernel, sections, series, text  # noqa: F401  (importing registers)
 from .base import QUERIES, Query
 
 __all__ = ["QUERIES", "Query"]
