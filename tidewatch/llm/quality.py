@@ -132,12 +132,18 @@ def score_quality(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> Data
 def keep_good(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
     """The documents that score_quality keeps, all their columns. Two passes over the texts, which are not shuffled."""
     hosts = materialize(host_verdicts(measure(docs, cfg, ["source"]), cfg), "hosts")
-    rows = docs.withColumn("__q", measure_column(cfg)).where(f"NOT {_FAILED}").drop("__q")
-    return _with_verdict(rows, hosts, cfg).where("NOT __rejected").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _with_verdict(docs.where(_passes(cfg)), hosts, cfg).where("NOT __rejected").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def measure_column(cfg: QualityConfig) -> Column:
-    return let(_measures(F.col("text")), lambda m: F.struct(*[c.alias(k) for k, c in _failures(m, cfg).items()]))
+def _passes(cfg: QualityConfig) -> Column:
+    """Whether a text passes the base rules: one expression, so that a filter computes the words once."""
+
+    def of(w: Column) -> Column:
+        m = {"n_words": F.size(w), "n_repeat_words": _covered(_windows(w))}
+        short = m["n_words"] < cfg.min_words
+        return ~short & (100 * m["n_repeat_words"] <= cfg.max_repeat_percent * m["n_words"])
+
+    return let(words_of(F.col("text")), of)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
