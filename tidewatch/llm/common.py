@@ -76,3 +76,21 @@ def rank_rows(df: DataFrame, group: Sequence[str], name: str, spread: int = 64,
     ranked = ranked.withColumn("__c", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("__n") - 1) / chunk).cast("long"))))
     ranked = ranked.withColumn(name, F.explode(F.sequence(F.col("__start") + F.col("__c") * chunk, F.col("__start") + F.least(F.col("__n"), (F.col("__c") + 1) * chunk) - 1)))
     return ranked.select(*cols, name)
+
+
+#: A key with this share of the rows, or more, is joined by broadcast: there are no more such keys than this.
+HOT_SHARE = 10_000
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined on key with keyed, which holds each key once and in n how many rows have it; n goes.
+
+    Keys with one in HOT_SHARE of the rows that keyed counts are HOT_SHARE at most, so they are broadcast and their rows stay
+    where they are; all others meet in a shuffle. Both should be cheap to read again.
+    """
+    total = int(keyed.agg(F.sum(n)).first()[0] or 0)
+    hot = F.col(n) * HOT_SHARE >= total
+    few = F.broadcast(keyed.where(hot).drop(n).limit(HOT_SHARE))
+    here = rows.join(few, key)
+    rest = rows.join(few.select(key), key, "left_anti").join(keyed.where(~hot).drop(n), key)
+    return here.unionByName(rest)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_hot, materialize
 from .components import components
 
 RADIUS = 2
@@ -93,13 +93,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component. Only doc_id and text are read.
     """
     rows = materialize(fingerprints(docs), "fingerprints")
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "classes")
     roots = materialize(components(mih_links(classes.select("fp"))), "roots")
     linked = classes.join(roots, F.col("fp") == F.col("node")).select("fp", "first", "root")
     least = linked.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("least"))
     named = linked.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "root", "least")
-    named = classes.join(named, F.col("fp") == F.col("f"), "left").select(F.col("fp").alias("f"), F.coalesce("least", "first").alias("component_id"), F.coalesce("root", "fp").alias("group"))
-    return rows.join(named, F.col("fp") == F.col("f")).drop("f")
+    named = classes.join(named, F.col("fp") == F.col("f"), "left").select("fp", "n", F.coalesce("least", "first").alias("component_id"), F.coalesce("root", "fp").alias("group"))
+    return join_hot(rows, materialize(named, "named"), "fp", "n")
 
 
 def hex_fingerprint(fp: str) -> Column:
