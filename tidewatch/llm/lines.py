@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, materialize
+from .common import join_hot, let, materialize
 
 #: A line ends after a line feed, or after a sentence end and white space.
 _UNIT = re.compile(r"[^\n.!?]*(?:[.!?]+(?![\s.!?])[^\n.!?]*)*(?:[.!?]+[^\S\n]*\n?|\n|$)")
@@ -98,22 +98,26 @@ def _analyse(cfg: LineConfig):
                 # Runs from one line on: from 0 to the last that has a whole run.
                 n = int((runs >= 0).sum())
                 offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))))
-                out[0].append(grams[chosen].view(np.int64))
-                out[1].append(chosen)
+                prints: dict[int, list[int]] = {}
+                for g, i in zip(grams[chosen].view(np.int64).tolist(), chosen.tolist(), strict=True):
+                    prints.setdefault(g, []).append(i)
+                out[0].append(list(prints))
+                out[1].append(list(prints.values()))
                 out[2].append(keys[:n].view(np.int64))
                 out[3].append(offsets[:n])
                 out[4].append(offsets[runs[:n]])
-            arrays = [pa.array(x, pa.list_(pa.int64())) for x in out]
-            # First run that holds each fingerprint, and how many do, follow from the offsets on the JVM's side.
+            longs = pa.list_(pa.int64())
+            arrays = [pa.array(x, pa.list_(longs) if i == 1 else longs) for i, x in enumerate(out)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], *arrays], names=["doc_id", "th", "prints", "at", "keys", "starts", "stops"])
 
     return run
 
 
 def analyse(docs: DataFrame, cfg: LineConfig = LineConfig()) -> DataFrame:
-    """Per row: fingerprints (hash and line), and all runs (key, start and stop in code points) by first line."""
+    """Per row: fingerprints (hashes and their lines), and all runs (key, start and stop in code points) by first line."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    longs = ", ".join(f"{c} array<bigint>" for c in ("prints", "at", "keys", "starts", "stops"))
+    longs = "at array<array<bigint>>, " + ", ".join(f"{c} array<bigint>" for c in ("keys", "starts", "stops"))
+    longs = f"prints array<bigint>, {longs}"
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_analyse(cfg), f"doc_id {kind}, th bigint, {longs}")
 
 
@@ -124,16 +128,18 @@ def repeated_spans(docs: DataFrame, cfg: LineConfig = LineConfig()) -> DataFrame
     is the least; texts of one doc_id go by hash), or before it in its own text. Equal rows count as one.
     """
     rows = materialize(analyse(docs, cfg), "lines")
+    # A text's occurrences of one fingerprint stay together, so that junk that repeats itself is one row.
     prints = rows.select("doc_id", "th", F.explode(F.arrays_zip("prints", "at")).alias("p")).select("doc_id", "th", F.col("p.prints").alias("g"), F.col("p.at").alias("at"))
-    shared = prints.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "at")).alias("one"), F.max(F.struct("doc_id", "th", "at")).alias("two")).where("n > 1 AND NOT (one <=> two)").select("g")
-    hits = prints.join(shared, "g").groupBy("doc_id", "th").agg(F.collect_set("at").alias("hit"))
+    place = F.struct("doc_id", "th")
+    shared = prints.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"), F.max(place).alias("two"), F.max(F.size("at")).alias("own")).where("own > 1 OR NOT (one <=> two)").select("g", "n")
+    hits = join_hot(prints, materialize(shared, "shared"), "g", "n").groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("hit"))
     touched = rows.select("doc_id", "th", "keys", "starts", "stops").dropDuplicates(["doc_id", "th"]).join(hits.select(F.col("doc_id").alias("hid"), F.col("th").alias("hth"), "hit"), F.col("doc_id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")))
     # Extension: every run that may hold a fingerprint begins at its line or before, within the words of a run.
     near = F.array_distinct(F.flatten(F.transform("hit", lambda h: F.sequence(F.greatest(h - cfg.run_words, F.lit(0)), F.least(h, F.size("keys").cast("long") - 1)))))
     runs = touched.select("doc_id", "th", F.explode(near).alias("i"), "keys", "starts", "stops").select("doc_id", "th", *[F.get(c, F.col("i").cast("int")).alias(a) for c, a in (("keys", "key"), ("starts", "start"), ("stops", "stop"))])
     runs = materialize(runs, "runs")
     first = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "start")).alias("first")).where("n > 1")
-    later = runs.join(first, "key").where(~F.struct("doc_id", "th", "start").eqNullSafe(F.col("first")))
+    later = join_hot(runs, materialize(first, "first"), "key", "n").where(~F.struct("doc_id", "th", "start").eqNullSafe(F.col("first")))
     spans = later.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("s"))
     return spans.select("doc_id", "th", _merged(F.col("s")).alias("spans"))
 
