@@ -99,7 +99,10 @@ def _analyse(cfg: LineConfig):
                 n = int((runs >= 0).sum())
                 offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))))
                 prints: dict[int, list[int]] = {}
-                for g, i in zip(grams[chosen].view(np.int64).tolist(), chosen.tolist(), strict=True):
+                # Runs that hold a fingerprint: from the first that reaches its gram's end to the one at its line.
+                whole = runs[runs >= 0]
+                lows = np.minimum(np.searchsorted(whole, ends[chosen], "left"), chosen)
+                for g, i in zip(grams[chosen].view(np.int64).tolist(), ((lows << 32) | chosen).tolist(), strict=True):
                     prints.setdefault(g, []).append(i)
                 out[0].append(list(prints))
                 out[1].append(list(prints.values()))
@@ -114,7 +117,7 @@ def _analyse(cfg: LineConfig):
 
 
 def analyse(docs: DataFrame, cfg: LineConfig = LineConfig()) -> DataFrame:
-    """Per row: fingerprints (hashes and their lines), and all runs (key, start and stop in code points) by first line."""
+    """Per row: fingerprints (hashes; in `at` the lines of each, and above 32 bits the first run that holds it), and all runs (key, start and stop in code points) by first line."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     longs = "at array<array<bigint>>, " + ", ".join(f"{c} array<bigint>" for c in ("keys", "starts", "stops"))
     longs = f"prints array<bigint>, {longs}"
@@ -134,8 +137,9 @@ def repeated_spans(docs: DataFrame, cfg: LineConfig = LineConfig()) -> DataFrame
     shared = prints.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"), F.max(place).alias("two"), F.max(F.size("at")).alias("own")).where("own > 1 OR NOT (one <=> two)").select("g", "n")
     hits = join_hot(prints, materialize(shared, "shared"), "g", "n").groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("hit"))
     touched = rows.select("doc_id", "th", "keys", "starts", "stops").dropDuplicates(["doc_id", "th"]).join(hits.select(F.col("doc_id").alias("hid"), F.col("th").alias("hth"), "hit"), F.col("doc_id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")))
-    # Extension: every run that may hold a fingerprint begins at its line or before, within the words of a run.
-    near = F.array_distinct(F.flatten(F.transform("hit", lambda h: F.sequence(F.greatest(h - cfg.run_words, F.lit(0)), F.least(h, F.size("keys").cast("long") - 1)))))
+    # Extension: every run that holds a fingerprint begins at its line or before; the first stands in the upper half.
+    line = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))
+    near = F.array_distinct(F.flatten(F.transform("hit", lambda h: F.sequence(F.shiftright(h, 32), F.greatest(F.shiftright(h, 32), F.least(line(h), F.size("keys").cast("long") - 1))))))
     runs = touched.select("doc_id", "th", F.explode(near).alias("i"), "keys", "starts", "stops").select("doc_id", "th", *[F.get(c, F.col("i").cast("int")).alias(a) for c, a in (("keys", "key"), ("starts", "start"), ("stops", "stop"))])
     runs = materialize(runs, "runs")
     first = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "start")).alias("first")).where("n > 1")
