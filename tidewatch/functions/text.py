@@ -37,7 +37,7 @@ def urgency(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\w+"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
 
 
 def goal_fit(text: Column, goal: Column) -> Column:

@@ -131,8 +131,8 @@ def dedupe_key(t: Tables) -> DataFrame:
     return t.traces().groupBy("session_id", "channel").agg(F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("repeats"))
 
 
-@query(f"WITH RECURSIVE {EV}, s AS (SELECT * FROM ev WHERE t_idx < 40), r AS (SELECT session_id, t_idx, 5 AS budget, CAST('' AS VARCHAR) AS visited, CAST('start' AS VARCHAR) AS action FROM s WHERE t_idx = 0 UNION ALL SELECT s.session_id, s.t_idx, CASE WHEN r.budget > 0 AND NOT contains(r.visited, s.channel) THEN r.budget - 1 ELSE r.budget END, CASE WHEN r.budget > 0 AND NOT contains(r.visited, s.channel) THEN r.visited || s.channel || ';' ELSE r.visited END, CASE WHEN r.budget = 0 THEN 'stop' WHEN contains(r.visited, s.channel) THEN 'scroll' ELSE 'click' END FROM s JOIN r ON s.session_id = r.session_id AND s.t_idx = r.t_idx + 1) SELECT session_id, t_idx, budget, action FROM r")
+@query(f"WITH RECURSIVE {EV}, s AS (SELECT * FROM ev), r AS (SELECT session_id, t_idx, 5 AS budget, CAST('' AS VARCHAR) AS visited, CAST('start' AS VARCHAR) AS action FROM s WHERE t_idx = 0 UNION ALL SELECT s.session_id, s.t_idx, CASE WHEN r.budget > 0 AND NOT contains(r.visited, s.channel) THEN r.budget - 1 ELSE r.budget END, CASE WHEN r.budget > 0 AND NOT contains(r.visited, s.channel) THEN r.visited || s.channel || ';' ELSE r.visited END, CASE WHEN r.budget = 0 THEN 'stop' WHEN contains(r.visited, s.channel) THEN 'scroll' ELSE 'click' END FROM s JOIN r ON s.session_id = r.session_id AND s.t_idx = r.t_idx + 1) SELECT session_id, t_idx, budget, action FROM r")
 def stream_state_policy(t: Tables) -> DataFrame:
     from ..streaming.policy import replay_policy
 
-    return replay_policy(t.traces().where("t_idx < 40").select("session_id", "t_idx", "channel"), 5).select("session_id", "t_idx", F.col("budget").cast("int").alias("budget"), "action")
+    return replay_policy(t.traces().select("session_id", "t_idx", "channel"), 5).select("session_id", "t_idx", F.col("budget").cast("int").alias("budget"), "action")

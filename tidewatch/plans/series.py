@@ -162,11 +162,11 @@ def lag_search(t: Tables) -> DataFrame:
     return rows.select("lag", r6("r", "r"), (F.row_number().over(W.orderBy(F.desc(F.round("r", 9)), "lag")) == 1).alias("best"))
 
 
-@query("""WITH o AS (SELECT o_custkey AS k, date_diff('day', TIMESTAMP '1992-01-01', o_orderdate) AS d, avg(o_totalprice) AS v FROM orders WHERE o_custkey <= 300 GROUP BY ALL), g AS (SELECT k, unnest(range(0, 2400, 200)) AS d FROM (SELECT DISTINCT k FROM o)),
+@query("""WITH o AS (SELECT o_custkey AS k, date_diff('day', TIMESTAMP '1992-01-01', o_orderdate) AS d, avg(o_totalprice) AS v FROM orders GROUP BY ALL), g AS (SELECT k, unnest(range(0, 2400, 200)) AS d FROM (SELECT DISTINCT k FROM o)),
 a AS (SELECT g.k, g.d, (SELECT max(o.d) FROM o WHERE o.k = g.k AND o.d <= g.d) AS p, (SELECT min(o.d) FROM o WHERE o.k = g.k AND o.d >= g.d) AS n FROM g)
 SELECT a.k AS custkey, CAST(a.d AS DOUBLE) AS day, round(CASE WHEN p IS NULL THEN y.v WHEN n IS NULL THEN x.v WHEN p = n THEN x.v ELSE x.v + (a.d - p) * (y.v - x.v) / (n - p) END, 4) AS price FROM a LEFT JOIN o x ON x.k = a.k AND x.d = p LEFT JOIN o y ON y.k = a.k AND y.d = n""")
 def interp_grid(t: Tables) -> DataFrame:
-    o = t.orders.where("o_custkey <= 300").groupBy(F.col("o_custkey").alias("custkey"), F.date_diff("o_orderdate", F.lit("1992-01-01")).alias("day")).agg(F.avg("o_totalprice").alias("price"))
+    o = t.orders.groupBy(F.col("o_custkey").alias("custkey"), F.date_diff("o_orderdate", F.lit("1992-01-01")).alias("day")).agg(F.avg("o_totalprice").alias("price"))
     grid = o.select("custkey").distinct().select("custkey", F.explode(F.sequence(F.lit(0), F.lit(2399), F.lit(200))).alias("day"))
     return ts.interpolate(grid, o, ["custkey"], "day", "price").select("custkey", "day", F.round("price", 4).alias("price"))
 
@@ -219,10 +219,10 @@ def running_sum_excl(t: Tables) -> DataFrame:
     return t.traces().select("event_id", F.round(F.coalesce(before, F.lit(0.0)), 4).alias("starts"))
 
 
-@query("SELECT p_partkey, least(unnest(range(0, 1000 + p_size * 10 + 300, 300)), 1000 + p_size * 10) AS target FROM part WHERE p_partkey <= 100")
+@query("SELECT p_partkey, least(unnest(range(0, 1000 + p_size * 10 + 300, 300)), 1000 + p_size * 10) AS target FROM part")
 def sequence_gen(t: Tables) -> DataFrame:
     limit = 1000 + F.col("p_size") * 10
-    return t.part.where("p_partkey <= 100").select("p_partkey", F.explode(F.sequence(F.lit(0), limit + 299, F.lit(300))).alias("y"), limit.alias("top")).select("p_partkey", F.least("y", "top").cast("long").alias("target"))
+    return t.part.select("p_partkey", F.explode(F.sequence(F.lit(0), limit + 299, F.lit(300))).alias("y"), limit.alias("top")).select("p_partkey", F.least("y", "top").cast("long").alias("target"))
 
 
 @query(f"WITH RECURSIVE {EV}, q AS (SELECT session_id, t_idx, row_number() OVER (PARTITION BY session_id ORDER BY t_idx) AS i FROM ev WHERE value >= 15), r AS (SELECT session_id, t_idx, i, t_idx AS kept FROM q WHERE i = 1 UNION ALL SELECT q.session_id, q.t_idx, q.i, CASE WHEN q.t_idx - r.kept >= 3 THEN q.t_idx ELSE r.kept END FROM q JOIN r ON q.session_id = r.session_id AND q.i = r.i + 1) SELECT session_id, t_idx FROM r WHERE kept = t_idx")

@@ -17,7 +17,7 @@ SENT = r"snt AS (SELECT doc_id, text, len(list_filter(regexp_split_to_array(coal
 CLEAR = SENT + ", clr AS (SELECT *, (CASE WHEN sentence <= 15 THEN 100.0 WHEN sentence >= 40 THEN 40.0 ELSE 100.0 - (sentence - 15) / 25.0 * 60.0 END) * CASE WHEN word_count < 10 THEN 0.6 WHEN word_count > 500 THEN 0.45 ELSE 1.0 END AS clarity FROM len)"
 URGENT = "least(100.0, 16.0 * (" + " + ".join(f"CAST(contains(lower(coalesce(text, '')), '{w}') AS INT)" for w in T.CTA_VERBS + T.URGENCY_TERMS) + "))"
 _GOAL_WORDS = "['" + "', '".join(w for w in dict.fromkeys(GOAL.split()) if w not in T.STOP_WORDS) + "']"
-FIT = rf"least(100.0, 200.0 * len(list_intersect({_GOAL_WORDS}, regexp_extract_all(lower(coalesce(text, '')), '\w+'))) / len({_GOAL_WORDS}))"
+FIT = rf"least(100.0, 200.0 * len(list_intersect({_GOAL_WORDS}, regexp_extract_all(lower(coalesce(text, '')), '[\pL\pN_]+'))) / len({_GOAL_WORDS}))"
 
 
 def copy(t: Tables) -> DataFrame:
@@ -43,14 +43,14 @@ def text_urgency(t: Tables) -> DataFrame:
     return copy(t).select("doc_id", "urgency")
 
 
-@query(f"SELECT doc_id, round({FIT}, 6) AS goal_fit FROM documents WHERE NOT regexp_matches(text, '[^ -~\\n]')")
+@query(f"SELECT doc_id, round({FIT}, 6) AS goal_fit FROM documents")
 def text_goal_fit(t: Tables) -> DataFrame:
-    return copy(t).where(~F.col("text").rlike("[^ -~\\n]")).select("doc_id", r6("goal_fit", "goal_fit"))
+    return copy(t).select("doc_id", r6("goal_fit", "goal_fit"))
 
 
-@query(f"WITH {CLEAR} SELECT doc_id, round(0.5 * clarity + 0.3 * {URGENT} + 0.2 * {FIT}, 6) AS copy_score FROM clr WHERE NOT regexp_matches(text, '[^ -~\\n]')")
+@query(f"WITH {CLEAR} SELECT doc_id, round(0.5 * clarity + 0.3 * {URGENT} + 0.2 * {FIT}, 6) AS copy_score FROM clr")
 def text_copy_score(t: Tables) -> DataFrame:
-    return copy(t).where(~F.col("text").rlike("[^ -~\\n]")).select("doc_id", r6("copy_score", "copy_score"))
+    return copy(t).select("doc_id", r6("copy_score", "copy_score"))
 
 
 @query(f"WITH {SENT} SELECT doc_id, concat_ws(',', CASE WHEN word_count < 10 THEN 'sparse_content' END, CASE WHEN word_count > 400 THEN 'wall_of_text' END, CASE WHEN {URGENT} > 70 THEN 'strong_cta' END) AS flags FROM snt")
