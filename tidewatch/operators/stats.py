@@ -39,9 +39,13 @@ def mean_of_means(df: DataFrame, keys: Sequence[str], inner: str, outer: str, va
     return parts.groupBy(*keys, outer).agg(F.avg("__v").alias(value))
 
 
-def norm_table(df: DataFrame, keys: Sequence[str], value: str, floor: float = 1e-8) -> DataFrame:
-    """mean, std (population, floored; floor for a single row), n_samples and quantiles by linear interpolation."""
-    q = F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+def norm_table(df: DataFrame, keys: Sequence[str], value: str, floor: float = 1e-8, exact: bool = True) -> DataFrame:
+    """mean, std (population, floored; floor for a single row), n_samples and quantiles by linear interpolation.
+
+    Exact quantiles hold a group's distinct values in one task; exact=False takes sketches, for groups beyond memory.
+    """
+    at = F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))
+    q = F.percentile(value, at) if exact else F.percentile_approx(value, at, F.lit(10_000))
     out = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.greatest(F.stddev_pop(value), F.lit(floor)).alias("std"), F.count(value).alias("n_samples"), q.alias("__q"))
     return out.select(*keys, "mean", "std", "n_samples", *[F.col("__q")[i].alias(n) for i, n in enumerate(("q05", "q50", "q95"))])
 
