@@ -92,6 +92,7 @@ def host_verdicts(measured: DataFrame, cfg: QualityConfig) -> DataFrame:
     how far hosts vary beyond chance. Only those few numbers reach the driver.
     """
     hosts = measured.where(F.col("source").isNotNull()).groupBy("source").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"__q.{r}").cast("long")).alias(r) for r in RULES])
+    hosts = materialize(hosts, "host-sums")
     total = hosts.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count(F.lit(1)).alias("k"), *[F.sum(r).alias(r) for r in RULES], *[F.sum(F.col(r) * F.col(r) / F.col("n")).alias(f"{r}_sq") for r in RULES]).first()
     rates = []
     for r in RULES:
