@@ -252,7 +252,7 @@ def dense_id_assign(t: Tables) -> DataFrame:
 
 @query("SELECT n.n_name, CASE WHEN starts_with(n_name, 'NATION') THEN r_name ELSE 'other' END AS coarse FROM nation n LEFT JOIN region ON r_regionkey = n_regionkey")
 def prefix_map(t: Tables) -> DataFrame:
-    j = t.nation.join(F.broadcast(t.region), F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    j = t.nation.join(t.region, F.col("r_regionkey") == F.col("n_regionkey"), "left")
     return j.select("n_name", F.when(F.startswith("n_name", F.lit("NATION")), F.col("r_name")).otherwise("other").alias("coarse"))
 
 
