@@ -67,6 +67,13 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def block_means(vec: Column, size: int) -> Column:
+    """Means of an array's consecutive blocks: a level of a hierarchy whose members stand side by side."""
+    starts = F.sequence(F.lit(0), F.floor((F.size(vec) - 1) / size).cast("int"))
+    mean = lambda block: F.aggregate(block, F.lit(0.0), lambda a, x: a + x) / F.size(block)
+    return F.transform(starts, lambda i: mean(F.slice(vec, i * size + 1, F.lit(size))))
+
+
 def bands(x: Column, edges: Sequence[float], names: Sequence[str]) -> Column:
     """Half-open bands [edge, next); below the first edge and above the last the outer bands go on."""
     out = F.lit(names[-1])

@@ -43,15 +43,17 @@ def engagement_track(t: Tables) -> DataFrame:
 NORMZ = f"{ACT}, sub AS (SELECT session_id, t_idx, network, avg(v) AS value FROM (SELECT session_id, t_idx, network, parcel, avg(value) AS v FROM act GROUP BY ALL) GROUP BY ALL), nn AS (SELECT network, avg(value) AS m, greatest(stddev_pop(value), 1e-8) AS s FROM sub GROUP BY network), nz AS (SELECT session_id, t_idx, network, (value - m) / s AS z FROM sub JOIN nn USING (network)), eng AS (SELECT session_id, t_idx, max(z) FILTER (network = 0) - max(z) FILTER (network = 3) AS score FROM nz GROUP BY ALL)"
 
 
-def network_z(t: Tables) -> DataFrame:
-    """session_id, t_idx, network, z against the norms of all frames."""
-    sub = stats.mean_of_means(t.activation(), ["session_id", "t_idx"], "parcel", "network", "value")
-    return stats.z_against(sub, stats.norm_table(sub, ["network"], "value"), "network", "value")
-
-
 def norm_engagement(t: Tables) -> DataFrame:
-    of = lambda n: F.max(F.when(F.col("network") == n, F.col("z")))
-    return network_z(t).groupBy("session_id", "t_idx").agg((of(0) - of(3)).alias("score"))
+    """z of the first network less that of the last, against the norms of all frames.
+
+    Means go up the hierarchy within each frame's array; the norms, a row a network, become one row of arrays. So frames
+    are shuffled once, to be numbered, and all that follows by session needs no further exchange.
+    """
+    frames = t.frames().select("session_id", "t_idx", S.block_means(S.block_means(F.col("vec"), 8), 2).alias("net"))
+    norms = stats.norm_table(t.frames().select(F.posexplode(S.block_means(S.block_means(F.col("vec"), 8), 2)).alias("network", "value")), ["network"], "value")
+    table = norms.agg(F.map_from_entries(F.collect_list(F.struct("network", F.struct("mean", "std")))).alias("norm"))
+    z = lambda i: (F.get("net", F.lit(i)) - F.col("norm")[i]["mean"]) / F.col("norm")[i]["std"]
+    return frames.join(F.broadcast(table)).select("session_id", "t_idx", (z(0) - z(3)).alias("score"))  # a single row
 
 
 @query(f"WITH {NORMZ} SELECT session_id, t_idx, round(score, 6) AS score, CASE WHEN score > 1.5 THEN 'engaging' WHEN score < -1.5 THEN 'boring' END AS label FROM eng")
