@@ -14,6 +14,8 @@ from .common import let
 
 #: A piece ends with a sentence or line, or after 64 characters.
 PIECE = r"[^.!?]{1,64}[.!?]*|[.!?]+"
+#: The first paragraph begins with small pieces, so that short texts have several leaves, too.
+FINE = rf"(?<=^[\s\S]{{0,9}})[^.!?]{{1,3}}[.!?]*|(?<=^[\s\S]{{0,54}})[^.!?]{{1,8}}[.!?]*|{PIECE}"
 SECTION = 8
 
 
@@ -24,8 +26,9 @@ def _node(tag: str, parts: Column) -> Column:
 def tree(text: Column) -> Column:
     """Struct of root, sections, paragraphs and leaves (hex SHA-256) of a text; null is the empty text."""
 
-    def paragraph(line: Column) -> Column:
-        leaves = F.transform(F.regexp_extract_all(line, F.lit(PIECE), F.lit(0)), lambda p: _node("leaf:", p))
+    def paragraph(line: Column, i: Column) -> Column:
+        pieces = F.when(i == 0, F.regexp_extract_all(line, F.lit(FINE), F.lit(0))).otherwise(F.regexp_extract_all(line, F.lit(PIECE), F.lit(0)))
+        leaves = F.transform(pieces, lambda p: _node("leaf:", p))
         return let(leaves, lambda h: F.struct(h.alias("leaves"), _node("paragraph:", F.concat_ws("", h)).alias("node")))
 
     def sections(nodes: Column) -> Column:
