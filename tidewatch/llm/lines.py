@@ -27,9 +27,9 @@ _UNIT = re.compile(r"[^\n.!?]*(?:[.!?]+(?![\s.!?])[^\n.!?]*)*(?:[.!?]+[^\S\n]*\n
 @dataclass(frozen=True)
 class LineConfig:
     #: Words of a run from which on it is deleted where it is repeated.
-    run_words: int = 40
+    run_words: int = 32
     #: Words of a gram; windows of grams span the rest of a run.
-    gram_words: int = 20
+    gram_words: int = 16
 
 
 def cut_lines(text: str) -> list[str]:
