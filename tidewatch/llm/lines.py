@@ -44,16 +44,33 @@ def _spans(words: np.ndarray, least: int) -> np.ndarray:
     return np.where(ends < len(sums), ends, -1)
 
 
-def _hash_runs(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of lines: a polynomial of their hashes, mixed."""
-    base = np.uint64(0x9E3779B97F4A7C15)
-    powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(hashes), base, np.uint64))), dtype=np.uint64)
-    # With prefix sums S of hash * base^i, the run i..j has S[j] - S[i] = base^i * value; the odd base has an inverse.
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(hashes * powers[:-1], dtype=np.uint64)))
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    back = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(hashes), inverse, np.uint64))), dtype=np.uint64)
+class _Powers:
+    """Powers of an odd base and of its inverse mod 2^64, as many as the longest text so far needs."""
+
+    base = 0x9E3779B97F4A7C15
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def reach(self, n: int) -> None:
+        if n > len(self.up):
+            n = max(n, 2 * len(self.up))
+            row = lambda b: np.cumprod(np.concatenate(([np.uint64(1)], np.full(n - 1, b, np.uint64))), dtype=np.uint64)
+            self.up, self.down = row(np.uint64(self.base)), row(np.uint64(pow(self.base, -1, 1 << 64)))
+
+
+def _prefix_sums(hashes: np.ndarray, powers: _Powers) -> np.ndarray:
+    powers.reach(len(hashes) + 1)
+    return np.concatenate(([np.uint64(0)], np.cumsum(hashes * powers.up[: len(hashes)], dtype=np.uint64)))
+
+
+def _hash_runs(sums: np.ndarray, ends: np.ndarray, powers: _Powers) -> np.ndarray:
+    """A 64-bit hash of each run of lines: a polynomial of their hashes, mixed.
+
+    With prefix sums S of hash * base^i, the run i..j has S[j] - S[i] = base^i * value; the odd base has an inverse.
+    """
     at = np.flatnonzero(ends >= 0)
-    value = (sums[ends[at]] - sums[at]) * back[at]
+    value = (sums[ends[at]] - sums[at]) * powers.down[at]
     value ^= value >> np.uint64(31)
     value *= np.uint64(0xBF58476D1CE4E5B9)
     value ^= value >> np.uint64(29)
@@ -85,16 +102,19 @@ def _window_minima(grams: np.ndarray, ends: np.ndarray, runs: np.ndarray) -> np.
 
 def _analyse(cfg: LineConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = _Powers()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for text in batch["text"].to_pylist():
                 lines = cut_lines(text or "")
-                words = np.fromiter((len(x.split()) for x in lines), np.int64, len(lines))
-                hashes = np.fromiter((xxhash.xxh64_intdigest(" ".join(x.split())) for x in lines), np.uint64, len(lines))
+                split = [x.split() for x in lines]
+                words = np.fromiter(map(len, split), np.int64, len(lines))
+                hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(" ".join, split)), np.uint64, len(lines))
+                sums = _prefix_sums(hashes, powers)
                 runs, ends = _spans(words, cfg.run_words), _spans(words, cfg.gram_words)
-                grams = _hash_runs(hashes, ends)
+                grams = _hash_runs(sums, ends, powers)
                 chosen = _window_minima(grams, ends, runs)
-                keys = _hash_runs(hashes, runs)
+                keys = _hash_runs(sums, runs, powers)
                 # Runs from one line on: from 0 to the last that has a whole run.
                 n = int((runs >= 0).sum())
                 offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))))
