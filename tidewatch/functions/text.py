@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ URGENCY_TERMS = ("cancel anytime", "exclusive", "free", "guarantee", "instantly"
 STOP_WORDS = ("a", "an", "the", "and", "or", "for", "to", "of", "in", "on", "with")
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+", -1), lambda w: w != "")
 
@@ -18,8 +25,8 @@ def words(text: Column) -> Column:
 def sentence_length(text: Column) -> Column:
     """Mean words a sentence; blank sentences do not count; none is 0."""
     said = F.filter(F.split(F.coalesce(text, F.lit("")), r"[.!?]+", -1), lambda s: F.trim(s) != "")
-    total = F.aggregate(F.transform(said, lambda s: F.size(words(s))), F.lit(0), lambda a, n: a + n)
-    return F.when(F.size(said) > 0, total / F.size(said)).otherwise(F.lit(0.0))
+    total = lambda s: F.aggregate(s, F.lit(0), lambda a, x: a + F.size(words(x)))
+    return once(said, lambda s: F.when(F.size(s) > 0, total(s) / F.size(s)).otherwise(F.lit(0.0)))
 
 
 def clarity(word_count: Column, sentence: Column) -> Column:
