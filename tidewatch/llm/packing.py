@@ -8,6 +8,7 @@ columns), the patterns are rounded, and documents, ranked within their length, f
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -46,15 +47,19 @@ def encoder(cfg: PackingConfig) -> Callable[[str], np.ndarray]:
         import tiktoken
         from tokenizers import Tokenizer
 
-        slow = Tokenizer.from_file(cfg.tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
-        added = [t.content for t in slow.get_added_tokens_decoder().values()]
+        path = cfg.tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+        with open(path, encoding="utf-8") as f:
+            added = [t["content"] for t in json.load(f)["added_tokens"]]
+        slow: list[Tokenizer] = []  # read where a text first needs it
         with open(cfg.ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def encode(text: str) -> np.ndarray:
             if any(t in text for t in added):
-                return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+                if not slow:
+                    slow.append(Tokenizer.from_file(path))
+                return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
             return fast.encode_to_numpy(text, disallowed_special=())
 
         _ENCODERS[key] = encode
