@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.series import frame_no
+from ..session import ship
 
 
 @dataclass(frozen=True)
@@ -24,7 +25,11 @@ def query(sql: str | None) -> Callable:
     """Register a function of a Tables under its name."""
 
     def wrap(f: Callable[[Tables], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = Query(lambda spark, sf_dir: f(Tables(spark, sf_dir)), sql)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(Tables(spark, sf_dir))
+
+        QUERIES[f.__name__] = Query(run, sql)
         return f
 
     return wrap

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -24,3 +29,17 @@ def build_session(name: str = "tidewatch", master: str | None = None, shuffle_pa
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once an application: they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "tidewatch_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(os.path.realpath(tempfile.mkdtemp(prefix="tidewatch-"))) / "tidewatch.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc.tidewatch_shipped = True
