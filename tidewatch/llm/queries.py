@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
 from . import sql
 from .lines import op8_lines
 from .lm import op4_lm
@@ -18,7 +19,17 @@ from .sharding import op7_sharding
 from .simhash import op2_simhash
 from .toxicity import op1_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, after the package has been sent to the Python workers."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
@@ -30,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_packing": op10_packing,
 }
+QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {
     "op3_quality": sql.OP3_QUALITY,
     "op7_sharding": sql.OP7_SHARDING,
