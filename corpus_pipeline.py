@@ -13,30 +13,36 @@ from tidewatch.llm.packing import pack_documents
 from tidewatch.llm.pii import redact
 from tidewatch.llm.quality import keep_good
 from tidewatch.llm.simhash import keep_one
+from tidewatch.session import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule or their host's verdict rejects go."""
+    ship(spark)
     return keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated passages are cut out of the texts; every document stays."""
+    ship(spark)
     return dedup_lines(docs).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
+    ship(spark)
     return keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data are replaced by their kind."""
+    ship(spark)
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' ids with their sequences and offsets."""
+    ship(spark)
     return pack_documents(docs)
 
 
