@@ -64,3 +64,34 @@ def test_edges(edges, empty):
     assert by[2]["text"] is None and by[3]["text"] == "" and by[8]["text"] == "x" * 3000
     assert by[5]["n_chars"] == len(by[5]["text"])
     assert M.dedup_lines(empty).count() == 0
+
+
+def longest_runs(rows, least=32):
+    """Texts without all longest common runs of lines that have enough words and stood before, every two places compared."""
+    texts = [(d, M.cut_lines(t)) for d, t in sorted(rows)]
+    flat = [(d, i, x) for d, x in texts for i in range(len(x))]
+    words = [x[i].split() for _, i, x in flat]
+    gone = set()
+    for q in range(len(flat)):
+        for p in range(q):
+            n = total = 0
+            while q + n < len(flat) and flat[p + n][0] == flat[p][0] and flat[q + n][0] == flat[q][0] and words[p + n] == words[q + n]:
+                total += len(words[q + n])
+                n += 1
+            if total >= least:
+                gone.update((flat[q][0], flat[q][1] + k) for k in range(n))
+    return {d: "".join(line for i, line in enumerate(x) if (d, i) not in gone) for d, x in texts}
+
+
+def test_whole_common_runs_go(spark):
+    """Runs go up to their last line, copies to their last word, and shorter ones stay."""
+    line = lambda a, n: " ".join(f"{a}{i}" for i in range(n)) + ". "
+    passage = line("a", 22) + line("b", 20) + line("c", 10)
+    copy = line("d", 40) + line("e", 20) + "\n\n"
+    rows = [(1, passage + line("f", 5)), (2, line("g", 4) + passage + line("h", 40)), (3, copy), (4, copy), (5, line("i", 31)), (6, line("i", 31) + line("j", 9))]
+    random.seed(8)
+    lines = [line(f"w{i}_", n) for i, n in enumerate([1, 3, 9, 10, 15, 18, 20, 31, 32])] + ["\n", " \n"]
+    rows += [(i, "".join(random.choices(lines, k=random.randint(0, 9)))) for i in range(10, 70)]
+    got = dict(M.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text").collect())
+    assert got[2] == line("g", 4) + line("h", 40) and got[4] == "" and got[6] == rows[5][1]
+    assert got == longest_runs(rows)

@@ -4,6 +4,10 @@ A text is cut into lines, and long lines at sentence ends. A gram is the shortes
 has enough words; of every window of grams the least hash is a fingerprint. Any shared run of `run_words` words holds
 a fingerprint that is shared, too. Around shared fingerprints all runs that hold them are compared (the extension both
 ways), and of equal runs all but the first, by doc_id and place, are deleted.
+
+Compared are the shortest runs from each line on, and the shortest runs up to each line (tails). Every line of a longest
+common run with enough words lies in one of those two kinds that is common, too: in the run from it on, where that ends
+in time, else in the run up to the end. So the whole of every common run goes, and nothing else.
 """
 
 from __future__ import annotations
@@ -44,6 +48,15 @@ def _spans(words: np.ndarray, least: int) -> np.ndarray:
     return np.where(ends < len(sums), ends, -1)
 
 
+def _tails(words: np.ndarray, least: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First lines and ends of the shortest runs up to each line with least words that are not among the runs in ends."""
+    sums = np.concatenate(([0], np.cumsum(words)))
+    stops = np.flatnonzero(sums >= least)
+    starts = np.searchsorted(sums, sums[stops] - least, "right") - 1
+    new = ends[starts] != stops
+    return starts[new], stops[new]
+
+
 class _Powers:
     """Powers of an odd base and of its inverse mod 2^64, as many as the longest text so far needs."""
 
@@ -64,18 +77,23 @@ def _prefix_sums(hashes: np.ndarray, powers: _Powers) -> np.ndarray:
     return np.concatenate(([np.uint64(0)], np.cumsum(hashes * powers.up[: len(hashes)], dtype=np.uint64)))
 
 
-def _hash_runs(sums: np.ndarray, ends: np.ndarray, powers: _Powers) -> np.ndarray:
+def _hash_spans(sums: np.ndarray, starts: np.ndarray, stops: np.ndarray, powers: _Powers) -> np.ndarray:
     """A 64-bit hash of each run of lines: a polynomial of their hashes, mixed.
 
     With prefix sums S of hash * base^i, the run i..j has S[j] - S[i] = base^i * value; the odd base has an inverse.
     """
-    at = np.flatnonzero(ends >= 0)
-    value = (sums[ends[at]] - sums[at]) * powers.down[at]
+    value = (sums[stops] - sums[starts]) * powers.down[starts]
     value ^= value >> np.uint64(31)
     value *= np.uint64(0xBF58476D1CE4E5B9)
     value ^= value >> np.uint64(29)
+    return value
+
+
+def _hash_runs(sums: np.ndarray, ends: np.ndarray, powers: _Powers) -> np.ndarray:
+    """The hash of the run from each line to its end; 0 where it has none."""
+    at = np.flatnonzero(ends >= 0)
     out = np.zeros(len(ends), np.uint64)
-    out[at] = value
+    out[at] = _hash_spans(sums, at, ends[at], powers)
     return out
 
 
@@ -104,7 +122,7 @@ def _analyse(cfg: LineConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], [], []]
             for text in batch["text"].to_pylist():
                 lines = cut_lines(text or "")
                 split = [x.split() for x in lines]
@@ -129,17 +147,21 @@ def _analyse(cfg: LineConfig):
                 out[2].append(keys[:n].view(np.int64))
                 out[3].append(offsets[:n])
                 out[4].append(offsets[runs[:n]])
+                begins, tails = _tails(words, cfg.run_words, runs)
+                out[5].append(np.searchsorted(begins, np.arange(n + 1)))
+                out[6].append(_hash_spans(sums, begins, tails, powers).view(np.int64))
+                out[7].append(offsets[tails])
             longs = pa.list_(pa.int64())
             arrays = [pa.array(x, pa.list_(longs) if i == 1 else longs) for i, x in enumerate(out)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], *arrays], names=["doc_id", "th", "prints", "at", "keys", "starts", "stops"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], *arrays], names=["doc_id", "th", "prints", "at", "keys", "starts", "stops", "tail_from", "tail_keys", "tail_stops"])
 
     return run
 
 
 def analyse(docs: DataFrame, cfg: LineConfig = LineConfig()) -> DataFrame:
-    """Per row: fingerprints (hashes; in `at` the lines of each, and above 32 bits the first run that holds it), and all runs (key, start and stop in code points) by first line."""
+    """Per row: fingerprints (hashes; in `at` the lines of each, and above 32 bits the first run that holds it), and all runs (key, start and stop in code points) by first line; those up to a line (keys and stops) with the place of each first line's in tail_from."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    longs = "at array<array<bigint>>, " + ", ".join(f"{c} array<bigint>" for c in ("keys", "starts", "stops"))
+    longs = "at array<array<bigint>>, " + ", ".join(f"{c} array<bigint>" for c in ("keys", "starts", "stops", "tail_from", "tail_keys", "tail_stops"))
     longs = f"prints array<bigint>, {longs}"
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_analyse(cfg), f"doc_id {kind}, th bigint, {longs}")
 
@@ -156,18 +178,28 @@ def repeated_spans(docs: DataFrame, cfg: LineConfig = LineConfig()) -> DataFrame
     place = F.struct("doc_id", "th")
     shared = prints.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"), F.max(place).alias("two"), F.max(F.size("at")).alias("own")).where("own > 1 OR NOT (one <=> two)").select("g", "n")
     hits = join_hot(prints, materialize(shared, "shared"), "g", "n").groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("hit"))
-    touched = rows.select("doc_id", "th", "keys", "starts", "stops").dropDuplicates(["doc_id", "th"]).join(hits.select(F.col("doc_id").alias("hid"), F.col("th").alias("hth"), "hit"), F.col("doc_id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")))
+    touched = rows.drop("prints", "at").dropDuplicates(["doc_id", "th"]).join(hits.select(F.col("doc_id").alias("hid"), F.col("th").alias("hth"), "hit"), F.col("doc_id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")))
     # Extension: every run that holds a fingerprint begins at its line or before; the first stands in the upper half.
     line = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))
     near = F.array_distinct(F.flatten(F.transform("hit", lambda h: F.sequence(F.shiftright(h, 32), F.greatest(F.shiftright(h, 32), F.least(line(h), F.size("keys").cast("long") - 1))))))
-    runs = touched.select("doc_id", "th", F.explode(near).alias("i"), "keys", "starts", "stops").select("doc_id", "th", *[F.get(c, F.col("i").cast("int")).alias(a) for c, a in (("keys", "key"), ("starts", "start"), ("stops", "stop"))])
-    runs = materialize(runs, "runs")
-    first = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "start")).alias("first")).where("n > 1")
-    later = join_hot(runs, materialize(first, "first"), "key", "n").where(~F.struct("doc_id", "th", "start").eqNullSafe(F.col("first")))
+    tails = lambda i: F.arrays_zip(*[F.slice(c, F.get("tail_from", i) + 1, F.get("tail_from", i + 1) - F.get("tail_from", i)).alias(a) for c, a in (("tail_keys", "key"), ("tail_stops", "stop"))])
+    run = lambda i: F.struct(*[F.get(c, i).alias(a) for c, a in (("keys", "key"), ("starts", "start"), ("stops", "stop"))], tails(i).alias("tails"))
+    runs = materialize(touched.select("doc_id", "th", F.explode(F.transform(near, lambda i: run(i.cast("int")))).alias("run")).select("doc_id", "th", "run.*"), "runs")
+    again, later = _later(runs)
+    # A common run up to a line holds the run from its first line on, which is common, too.
+    ends = materialize(again.select("doc_id", "th", "start", F.explode("tails").alias("t")).select("doc_id", "th", "t.key", "start", "t.stop"), "tails")
+    later = later.union(_later(ends)[1])
     spans = later.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("s"))
     return spans.select("doc_id", "th", _merged(F.col("s")).alias("spans"))
 
 
+def _later(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The runs whose key another run has, and of them doc_id, th, start and stop of all but the first of each key."""
+    first = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "start")).alias("first")).where("n > 1")
+    again = materialize(join_hot(runs, materialize(first, "first"), "key", "n"), "again")
+    return again, again.where(~F.struct("doc_id", "th", "start").eqNullSafe(F.col("first"))).select("doc_id", "th", "start", "stop")
+
+
 def _merged(spans: Column) -> Column:
     """Overlapping spans as one; the spans are sorted."""
     kind = "array<struct<start:bigint,stop:bigint>>"
