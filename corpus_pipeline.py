@@ -8,11 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm.common import materialize
+from tidewatch.llm.jaccard import keep_one_similar
 from tidewatch.llm.lines import dedup_lines
 from tidewatch.llm.packing import pack_documents
 from tidewatch.llm.pii import redact
 from tidewatch.llm.quality import keep_good
-from tidewatch.llm.simhash import keep_one
 from tidewatch.session import ship
 
 
@@ -29,9 +29,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group stays that similarities of 0.8 or more between sets of five-word shingles connect."""
     ship(spark)
-    return keep_one(docs)
+    return keep_one_similar(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

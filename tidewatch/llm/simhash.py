@@ -107,11 +107,15 @@ def hex_fingerprint(fp: str) -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates, all its columns: the one with the least doc_id.
+    """One document of each group of near-duplicates, all its columns: the one with the least doc_id."""
+    return keep_least(docs, near_duplicates(docs))
+
+
+def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The row of each group with the least doc_id; found: doc_id, th and group of docs' rows.
 
     Among rows with that doc_id the least text hash decides, among equal rows any one stays.
     """
-    found = near_duplicates(docs)
     kept = found.groupBy("group").agg(F.min(F.struct("doc_id", "th")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"))
     here = docs.withColumn("__own", F.xxhash64("text"))
     here = here.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")), "left_semi")
