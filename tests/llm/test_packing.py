@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
 from tidewatch.llm import packing as M
@@ -47,6 +48,36 @@ def test_special_token_and_ids(spark):
     assert 50256 in next(r["input_ids"] for r in rows if r["doc_id"] == 1)
 
 
+def test_words_are_cut_as_the_tokenizer_cuts_them():
+    """On every character that the encoder lets through, in many places, and on all documents of a table."""
+    encode = M.encoder(M.PackingConfig())
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [f"a{c}a 1{c}1 .{c}. {c} {c}{c}\n{c}" for c in map(chr, range(0x2100)) if M.COMMON.fullmatch(c)]
+    texts += [f"'{x}{y}" for x in ("s", "S", "ll", "re", "x") for y in ("", " ", "a", "1")] + ["", " ", "  a", "a  ", " \n \n", "ſ K", "\x1c\x85\u3000a"]
+    assert len(texts) > 500
+    for text, want in zip(texts, slow.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(text).tolist() == want.ids, text
+
+
+def test_ids_of_all_documents():
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()]
+    encode = M.encoder(M.PackingConfig())
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for i in range(0, len(texts), 256):
+        for text, want in zip(texts[i : i + 256], slow.encode_batch_fast(texts[i : i + 256], add_special_tokens=False), strict=True):
+            assert encode(text).tolist() == want.ids
+
+
+def test_very_long_texts(spark):
+    rows = list(enumerate([" " * 1_000_000, "\n" * 1_000_000, "x" * 1_000_000, "1" * 1_000_000, "ab " * 400_000, "é" * 400_000, "\u4e00" * 300_000, "a\n" * 1_000_000]))
+    check_packing(M.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
+def test_short_pieces_fill_windows(spark):
+    rows = [(i, "") for i in range(5000)] + [(5000 + i, "word " * (i % 60)) for i in range(3000)]
+    assert check_packing(M.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows) < 0.02
+
+
 def test_cutting_stock_meets_demand():
     rng = np.random.default_rng(1)
     for _ in range(15):

@@ -7,14 +7,14 @@ columns), the patterns are rounded, and documents, ranked within their length, f
 
 from __future__ import annotations
 
-import base64
-import json
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -25,45 +25,67 @@ from .common import materialize, rank_rows
 @dataclass(frozen=True)
 class PackingConfig:
     window: int = 2048
-    #: Lengths are rounded up to multiples of this in the program; padding stays below a grain a piece.
+    #: Lengths are counted in grains in the program. Lengths below grain * grain go in bundles of `grain` equal ones, which fill
+    #: whole grains; all others are rounded up, so padding stays below a grain a piece of at least that length.
     grain: int = 8
     end_id: int = 1
     #: A tokenizers file; by default the public byte-level BPE where it is installed.
     tokenizer: str | None = None
-    #: The same vocabulary as ranks, which tiktoken reads faster; texts that hold a special token go to tokenizers.
-    ranks: str | None = None
     #: Columns that are priced at most; the program is feasible after each.
     max_columns: int = 4000
+    #: Pricing ends where no column gains more than this: the program is then that share above its optimum at most.
+    tolerance: float = 1e-3
 
 
-_ENCODERS: dict[tuple, Callable[[str], np.ndarray]] = {}
+#: The pattern by which byte-level BPE cuts a text into words, a fixed value of the public vocabulary.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Characters on which the two pattern libraries agree, as a test holds for each of them.
+COMMON = regex.compile(r"[\t\n\r\x20-\x7E\xA1-\u024F\u2010-\u2027\u20AC]*")
+_ENCODERS: dict[str | None, Callable[[str], np.ndarray]] = {}
+
+
+class _Words(dict):
+    """Word to its ids, as the tokenizer gives them; emptied at 300,000 words. Long words are not kept."""
+
+    def __init__(self, tokenizer: object):
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        if len(word) <= 64:
+            if len(self) >= 300_000:
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 def encoder(cfg: PackingConfig) -> Callable[[str], np.ndarray]:
-    """Text to ids as tokenizers gives them without special tokens; one for each process."""
-    key = (cfg.tokenizer, cfg.ranks)
-    if key not in _ENCODERS:
-        import public_tokenizers
-        import tiktoken
+    """Text to ids as tokenizers gives them without special tokens; one for each process.
+
+    The vocabulary's words are encoded one by one, so a text is cut into them here and each distinct word is encoded once.
+    Texts that hold an added token, or characters on which the cut might differ, go through the tokenizer as a whole.
+    """
+    if cfg.tokenizer not in _ENCODERS:
         from tokenizers import Tokenizer
 
-        path = cfg.tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-        with open(path, encoding="utf-8") as f:
-            added = [t["content"] for t in json.load(f)["added_tokens"]]
-        slow: list[Tokenizer] = []  # read where a text first needs it
-        with open(cfg.ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        tokenizer = Tokenizer.from_file(cfg.tokenizer or default_tokenizer())
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        words = _Words(tokenizer)
 
         def encode(text: str) -> np.ndarray:
-            if any(t in text for t in added):
-                if not slow:
-                    slow.append(Tokenizer.from_file(path))
-                return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
-            return fast.encode_to_numpy(text, disallowed_special=())
+            if cfg.tokenizer or not COMMON.fullmatch(text) or any(t in text for t in added):
+                return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            return np.fromiter(chain.from_iterable(map(words.__getitem__, SPLIT.findall(text))), np.uint32)
 
-        _ENCODERS[key] = encode
-    return _ENCODERS[key]
+        _ENCODERS[cfg.tokenizer] = encode
+    return _ENCODERS[cfg.tokenizer]
+
+
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _cut(cfg: PackingConfig, with_ids: bool) -> Callable:
@@ -72,7 +94,7 @@ def _cut(cfg: PackingConfig, with_ids: bool) -> Callable:
         for batch in batches:
             rows, ids_of = [], []
             for i, text in enumerate(batch["text"].to_pylist()):
-                ids = np.append(encode(text or ""), np.uint32(cfg.end_id)).astype("<u4")
+                ids = np.append(encode(text or ""), np.uint32(cfg.end_id)).astype("<u4", copy=False)
                 for start in range(0, len(ids), cfg.window):
                     piece = ids[start : start + cfg.window]
                     rows.append((i, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
@@ -118,20 +140,41 @@ def _knapsack(widths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[fl
     return float(best[capacity]), pattern
 
 
-def cutting_stock(widths: np.ndarray, demand: np.ndarray, capacity: int, max_columns: int) -> tuple[np.ndarray, np.ndarray]:
+def _first_columns(widths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """A basis to begin with: patterns filled with the widest items left, each used until one of its widths is met.
+
+    Column c is the pattern that ends width c, so that in the order of their making the columns are triangular.
+    """
+    columns, x = np.zeros((len(widths), len(widths)), np.int64), np.zeros(len(widths))
+    left = demand.astype(np.float64)
+    order = np.argsort(-widths, kind="stable").tolist()
+    open_ = set(order)
+    while open_:
+        pattern, room = np.zeros(len(widths), np.int64), capacity
+        for c in order:
+            if c in open_:
+                pattern[c] = room // widths[c]
+                room -= int(pattern[c] * widths[c])
+        used = np.flatnonzero(pattern)
+        c = int(used[np.argmin(left[used] / pattern[used])])
+        columns[:, c], x[c] = pattern, left[c] / pattern[c]
+        left = np.maximum(left - x[c] * pattern, 0)
+        open_.remove(c)
+    return columns, x
+
+
+def cutting_stock(widths: np.ndarray, demand: np.ndarray, capacity: int, max_columns: int, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (one a row) and how often each is used, so that every demand is met exactly: the linear program by
     revised simplex with priced columns, rounded down, then first fit decreasing for the few items left.
     """
     m = len(widths)
     if not m:
         return np.zeros((0, 0), np.int64), np.zeros(0, np.int64)
-    per = np.minimum(capacity // widths, np.maximum(demand, 1))
-    columns = np.diag(per).astype(np.int64)
-    inverse = np.diag(1.0 / per)
-    x = demand / per
+    columns, x = _first_columns(widths, demand, capacity)
+    inverse = np.linalg.inv(columns)
     for _ in range(max_columns):
         value, pattern = _knapsack(widths, inverse.sum(axis=0), capacity)
-        if value <= 1 + 1e-7:
+        if value <= 1 + tolerance:
             break
         d = inverse @ pattern
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
@@ -164,37 +207,81 @@ def cutting_stock(widths: np.ndarray, demand: np.ndarray, capacity: int, max_col
     return patterns, np.concatenate([times[times > 0], np.ones(len(rest), np.int64)])
 
 
-def _places(histogram: list[tuple[int, int]], cfg: PackingConfig) -> list[tuple[int, int, int, int, int]]:
-    """class, ranks from and below, places a sequence, first sequence: at most window / grain classes."""
-    widths, demand = (np.array(v, np.int64) for v in zip(*histogram, strict=True)) if histogram else (np.zeros(0, np.int64),) * 2
-    patterns, times = cutting_stock(widths, demand, -(-cfg.window // cfg.grain), cfg.max_columns)
+def _suppliers(histogram: list[tuple[int, int]], cfg: PackingConfig) -> dict[int, list[tuple[int, int, int, int]]]:
+    """By width in grains the units that have it: class of pieces, first rank, pieces a unit, units.
+
+    A class is a length below grain * grain, or beyond it a number of grains (from grain * grain + grain on).
+    """
+    out: dict[int, list[tuple[int, int, int, int]]] = {}
+    small = cfg.grain * cfg.grain
+    for c, n in histogram:
+        if c >= small:
+            out.setdefault(c - small, []).append((c, 0, 1, n))
+            continue
+        bundles, rest = divmod(n, cfg.grain)
+        for width, first, per, units in ((c, 0, cfg.grain, bundles), (-(-c // cfg.grain), bundles * cfg.grain, 1, rest)):
+            if units:
+                out.setdefault(width, []).append((c, first, per, units))
+    return dict(sorted(out.items()))
+
+
+def _places(histogram: list[tuple[int, int]], cfg: PackingConfig) -> list[tuple[int, ...]]:
+    """class, ranks from and below, pieces a unit, its first unit's number, units a sequence, first sequence.
+
+    The piece with this rank is in unit number + (rank - from) div pieces, and that in sequence first + unit div units.
+    """
+    units = _suppliers(histogram, cfg)
+    widths = np.array(list(units), np.int64)
+    demand = np.array([sum(x[3] for x in of) for of in units.values()], np.int64)
+    patterns, times = cutting_stock(widths, demand, cfg.window // cfg.grain, cfg.max_columns, cfg.tolerance)
     places, used, first = [], np.zeros(len(widths), np.int64), 0
     for pattern, n in zip(patterns, times, strict=True):
         for c in np.flatnonzero(pattern):
-            a = int(pattern[c])
-            places.append((int(widths[c]), int(used[c]), int(used[c] + a * n), a, first))
-            used[c] += a * n
+            a, low = int(pattern[c]), int(used[c])
+            high, at = low + a * int(n), 0
+            for kind, rank, per, count in units[int(widths[c])]:
+                i, j = max(low, at), min(high, at + count)
+                if i < j:
+                    places.append((kind, rank + (i - at) * per, rank + (j - at) * per, per, i - low, a, first))
+                at += count
+            used[c] = high
         first += int(n)
     return places
 
 
+#: Rows of a bucket in which ranks are numbered.
+_BUCKET = 100_000
+
+
 def pack_documents(docs: DataFrame, cfg: PackingConfig = PackingConfig(), with_ids: bool = False) -> DataFrame:
     """Every piece with its sequence and its offset there.
 
-    Equal rows are packed one by one; an empty table gives no rows. Pieces are computed once and kept in the shared
-    folder; without ids (with_ids adds input_ids to the result and to what is shuffled) they are a few numbers each.
-    The histogram, at most window / grain counts, reaches the driver, and the places, bounded by it, are broadcast.
+    Equal rows are packed one by one, a null text is the empty text, an empty table gives no rows; very long texts are
+    encoded whole and cut into windows. Pieces are computed once and written to the shared folder when this is called;
+    without ids (with_ids adds input_ids to the result and to what is shuffled) they are a few numbers each. A full window
+    is a sequence; what is left goes by class of length. Of classes there are grain * grain + window / grain at most: their
+    counts reach the driver, and the places, bounded by them, are broadcast. Ranks are numbered in buckets that grow in number.
     """
     spark = docs.sparkSession
-    pieces = materialize(cut_documents(docs, cfg, with_ids), "pieces").withColumn("class", F.ceil(F.col("length") / cfg.grain).cast("long"))
+    if cfg.window % cfg.grain or cfg.window <= cfg.grain * cfg.grain:
+        raise ValueError("the window must be a multiple of the grain, and above its square")
+    small = cfg.grain * cfg.grain
+    length = F.col("length")
+    grains = small + F.ceil(length / cfg.grain).cast("long")
+    kind = F.when(length == cfg.window, F.lit(-1)).when(length < small, length).otherwise(grains)
+    pieces = materialize(cut_documents(docs, cfg, with_ids), "pieces").withColumn("class", kind.cast("long"))
     histogram = sorted((r["class"], r["n"]) for r in pieces.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect())
-    places = spark.createDataFrame(_places(histogram, cfg), "c long, low long, high long, a long, first long")
-    ranked = rank_rows(pieces, ["class"], "rank")
+    full = sum(n for c, n in histogram if c < 0)
+    rest = [x for x in histogram if x[0] >= 0]
+    places = spark.createDataFrame(_places(rest, cfg), "c long, low long, high long, per long, unit long, a long, first long")
+    cols = pieces.drop("class").columns
+    windows = rank_rows(pieces.where("class < 0").drop("class"), [], "sequence_id", max(64, full // _BUCKET)).withColumn("offset", F.lit(0).cast("long"))
+    ranked = rank_rows(pieces.where("class >= 0"), ["class"], "rank", max(64, max((n for _, n in rest), default=0) // _BUCKET))
     fits = (F.col("class") == F.col("c")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
-    within = F.col("rank") - F.col("low")
-    placed = ranked.join(F.broadcast(places), fits).withColumns({"sequence_id": F.col("first") + F.expr("(rank - low) div a"), "__slot": within % F.col("a")})
-    inside = W.partitionBy("sequence_id").orderBy(F.desc("class"), "__slot").rowsBetween(W.unboundedPreceding, -1)
-    return placed.select(*pieces.drop("class").columns, "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"))
+    placed = ranked.join(F.broadcast(places), fits).withColumn("sequence_id", full + F.col("first") + F.expr("(unit + (rank - low) div per) div a"))
+    inside = W.partitionBy("sequence_id").orderBy(F.desc("class"), "rank").rowsBetween(W.unboundedPreceding, -1)
+    filled = placed.select(*cols, "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"))
+    return windows.select(*cols, "sequence_id", "offset").unionByName(filled)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
