@@ -1,22 +1,25 @@
 """Language-model scores by a weighted backoff automaton.
 
-Word counts are those of all training texts. N-grams of frequent words that are frequent themselves become arcs
-between context states; each state has a failure arc, weighted so that its probabilities sum to one, to the state of
-its shorter context; the root holds the smoothed word counts. One walk over a text, left to right, carries the state
-and sums log-probabilities. Words too rare to be sent to every task meet their counts in a join.
+The model holds every n-gram of the training texts up to an order; none is dropped. Its states are contexts. A word that
+followed a context is an arc, with the Dirichlet-smoothed probability (count + prior * p) / (context's count + prior),
+where p is the word's probability in the shorter context; for all others the failure arc, of weight
+prior / (context's count + prior), leads to that context. The root holds the smoothed word counts.
+
+A batch of texts needs no more of the model than its own n-grams. So each batch counts its n-grams and sends them, once
+each, to buckets by hash; a bucket sums what batches counted and answers each with the totals of what it sent. From these
+the batch builds its part of the automaton and walks its texts.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bucket, materialize
@@ -28,246 +31,245 @@ END = b"\n"
 
 @dataclass(frozen=True)
 class LmConfig:
-    """Shares are of all training tokens, so what reaches every task is bounded by one over the share."""
-
-    #: Words whose counts go to every task: a million at most.
-    word_share: float = 1e-6
-    #: Words that n-grams are made of: 5,000 at most.
-    context_share: float = 2e-4
-    #: N-grams of each order that become arcs: 500,000 at most.
-    ngram_share: float = 2e-6
-    min_count: int = 2
-    discount: float = 0.75
+    #: Words of the longest n-grams.
+    order: int = 2
+    #: Weight of the shorter context's distribution, in tokens.
+    prior: float = 20.0
+    #: Added to each word's count at the root.
     smoothing: float = 0.1
+    #: Tokens after which a batch of texts is closed; a longer text is a batch of its own.
+    batch_tokens: int = 2_000_000
+    #: N-grams that a bucket is sent, about; there are as many buckets as that takes.
+    bucket_keys: int = 2_000_000
 
 
-@dataclass
-class Automaton:
-    """Arcs: state * words + word -> (log10 probability, next state). State 0 is the root."""
-
-    words: int = 0
-    arcs: dict[int, tuple[float, int]] = field(default_factory=dict)
-    #: log10 weight and target of each state's failure arc.
-    weight: list[float] = field(default_factory=lambda: [0.0])
-    fail: list[int] = field(default_factory=lambda: [0])
-    #: The state of a word as context.
-    unigram: list[int] = field(default_factory=list)
-
-    def walk(self, words: list[int], logs: list[float]) -> float:
-        """Sum over a text; words: numbers, -1 outside n-grams; logs: their log-probabilities at the root."""
-        total, state, n = 0.0, 0, self.words
-        arcs, weight, fail, unigram = self.arcs, self.weight, self.fail, self.unigram
-        for word, log in zip(words, logs, strict=True):
-            if word < 0:
-                while state:
-                    total += weight[state]
-                    state = fail[state]
-                total += log
-                continue
-            while (arc := arcs.get(state * n + word)) is None and state:
-                total += weight[state]
-                state = fail[state]
-            if arc is None:
-                total += log
-                state = unigram[word]
-            else:
-                total += arc[0]
-                state = arc[1]
-        return total
-
-
-def build_automaton(counts: np.ndarray, root: np.ndarray, bigrams: dict[tuple[int, int], int], trigrams: dict[tuple[int, int, int], int], discount: float) -> Automaton:
-    """counts, root: of each word its count and its probability at the root. A trigram needs its context's count."""
-    a = Automaton(words=len(counts), unigram=[0] * len(counts))
-    one: dict[int, list[int]] = {}
-    two: dict[tuple[int, int], list[int]] = {}
-    for u, v in sorted(bigrams):
-        one.setdefault(u, []).append(v)
-    for u, v, w in sorted(trigrams):
-        if (u, v) in bigrams:
-            two.setdefault((u, v), []).append(w)
-    states = {c: i for i, c in enumerate([*((u,) for u in one), *two], 1)}
-    for u in one:
-        a.unigram[u] = states[(u,)]
-    after = lambda u, v: states.get((u, v)) or a.unigram[v]
-    a.weight, a.fail = [0.0] * (len(states) + 1), [0] * (len(states) + 1)
-    low: dict[int, dict[int, float]] = {}
-
-    def add(state: int, fail: int, found: dict[int, float], below: Callable[[int], float], to: Callable[[int], int]) -> None:
-        for w, p in found.items():
-            a.arcs[state * a.words + w] = (math.log10(p), to(w))
-        rest = max(1 - sum(found.values()), 1e-12)
-        under = max(1 - sum(below(w) for w in found), 1e-12)
-        a.fail[state], a.weight[state] = fail, math.log10(rest / under)
-
-    for u, ws in one.items():
-        low[u] = {w: max(bigrams[u, w] - discount, 1e-3) / counts[u] for w in ws}
-        add(states[(u,)], 0, low[u], lambda w: float(root[w]), lambda w, u=u: after(u, w))
-    for (u, v), ws in two.items():
-        state = a.unigram[v]
-        back = 10 ** a.weight[state]
-        known = low.get(v, {})
-        found = {w: max(trigrams[u, v, w] - discount, 1e-3) / bigrams[u, v] for w in ws}
-        add(states[u, v], state, found, lambda w, known=known, back=back, state=state: known[w] if w in known else (back if state else 1.0) * float(root[w]), lambda w, v=v: after(v, w))
-    return a
-
-
-def _hash(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
-
-
-def _words(text: bytes | None) -> list[bytes]:
-    words = (text or b"").translate(_LOWER).split()
-    words.append(END)
-    return words
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(map(_hash, counts), pa.int64()), pa.array(counts.values(), pa.int64())], names=["h", "c"])
-        counts.clear()
-        return out
-
-    for batch in batches:
-        for text in batch["text"].to_pylist():
-            counts.update(_words(text))
-            if len(counts) > 500_000:
-                yield flush()
-    yield flush()
+class _Index(dict):
+    """Word to its number, in the order they come."""
 
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
 
-@dataclass
-class _Lexicon:
-    """Frequent words, by hash: their log-probability at the root and, of the most frequent, their number in n-grams."""
 
-    hashes: np.ndarray
-    logs: np.ndarray
-    number: np.ndarray
-    automaton: Automaton | None = None
+def _pack(values: np.ndarray) -> bytes:
+    """Unsigned numbers as planes of bytes, which compress well where high bytes are alike."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
 
 
-class _Memo(dict):
-    """Word to its row in local arrays; emptied, with them, at 400,000 words, but only between texts."""
+def _unpack(data: bytes, kind: type = np.uint64) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
-    def __init__(self, lexicon: _Lexicon):
-        super().__init__()
-        self.lexicon = lexicon
-        self.reset()
 
-    def reset(self) -> None:
-        self.clear()
-        self.hash, self.log, self.number = [], [], []
+def _batch_texts(cfg: LmConfig) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, tokens, learn, ids = _Index(), [], [], []
 
-    def __missing__(self, word: bytes) -> int:
-        x, h, row = self.lexicon, _hash(word), len(self.hash)
-        at = int(np.searchsorted(x.hashes, h))
-        known = at < len(x.hashes) and x.hashes[at] == h
-        self.hash.append(h)
-        self.log.append(float(x.logs[at]) if known else None)
-        self.number.append(int(x.number[at]) if known else -1)
-        self[word] = row
-        return row
+        def flush() -> pa.RecordBatch:
+            kinds = {"doc_id": pa.concat_arrays(ids), "learn": pa.array(learn, pa.bool_()), "sizes": pa.array(map(len, tokens), pa.int64())}
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in kinds.values()]
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
+            blobs = [pa.array([_pack(x)], pa.binary()) for x in (hashes, np.concatenate(tokens))]
+            out = pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists, *blobs], names=["batch", *kinds, "words", "tokens"])
+            for x in (index, tokens, learn, ids):
+                x.clear()
+            return out
 
+        size = 0
+        for batch in batches:
+            for i, (known, text) in enumerate(zip(batch["learn"].to_pylist(), batch["text"], strict=True)):
+                words = (text.as_py() or b"").translate(_LOWER).split()
+                words.append(END)
+                tokens.append(np.fromiter(map(index.__getitem__, words), np.uint32, len(words)))
+                learn.append(bool(known))
+                ids.append(batch["doc_id"].slice(i, 1))
+                size += len(words)
+                if size >= cfg.batch_tokens:
+                    yield flush()
+                    size = 0
+        if tokens:
+            yield flush()
 
-def _count_ngrams(shared: object, n: int) -> Callable:
-    """Keys: of the bigram u, v: -1 - (u * n + v); of the trigram u, v, w: (u * n + v) * n + w."""
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo(shared.value)
-        found: list[np.ndarray] = []
-        size = 0
 
-        def flush() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["k", "c"])
+@dataclass
+class _Texts:
+    """A batch: words' hashes, tokens as numbers of words, and of each token its place in its text and whether it teaches."""
 
+    hashes: np.ndarray
+    tokens: np.ndarray
+    sizes: np.ndarray
+    place: np.ndarray
+    learn: np.ndarray
+
+    @classmethod
+    def of(cls, row: dict) -> _Texts:
+        sizes = np.array(row["sizes"], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        place = np.arange(sizes.sum()) - np.repeat(starts, sizes)
+        return cls(_unpack(row["words"]), _unpack(row["tokens"], np.uint32).astype(np.int64), sizes, place, np.repeat(np.array(row["learn"], bool), sizes))
+
+    def grams(self, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """n, the distinct keys of n-grams, ascending, and for each token the number of the one it ends; -1 for none."""
+        keys, number = np.unique(self.hashes, return_inverse=True)
+        yield 1, keys, number[self.tokens]
+        words = self.hashes[self.tokens]
+        full = words
+        for n in range(2, order + 1):
+            full = np.concatenate((full[:1], full[:-1])) * np.uint64(0x9E3779B97F4A7C15) + words
+            full ^= full >> np.uint64(32)
+            full *= np.uint64(0xBF58476D1CE4E5B9)
+            full ^= full >> np.uint64(29)
+            inside = self.place >= n - 1
+            keys, number = np.unique(full[inside], return_inverse=True)
+            at = np.full(len(full), -1, np.int64)
+            at[inside] = number
+            yield n, keys, at
+
+
+def _deal(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys' order by bucket, and where in it each bucket begins."""
+    own = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(own, kind="stable")
+    return order, np.searchsorted(own[order], np.arange(buckets + 1))
+
+
+def _ask(order: int, buckets: dict[int, int]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch["text"].to_pylist():
-                words = _words(text)
-                rows = list(map(memo.__getitem__, words))
-                ids = np.fromiter(map(memo.number.__getitem__, rows), np.int64, len(rows))
-                if len(memo) > 400_000:
-                    memo.reset()
-                a, b = ids[:-1], ids[1:]
-                pairs = a * n + b
-                both = (a >= 0) & (b >= 0)
-                three = both[:-1] & both[1:]
-                found += [-1 - pairs[both], pairs[:-1][three] * n + ids[2:][three]]
-                size += len(found[-1]) + len(found[-2])
-                if size > 8_000_000:
-                    yield flush()
-                    found, size = [], 0
-        yield flush()
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                texts = _Texts.of(row)
+                for n, keys, at in texts.grams(order):
+                    counts = np.bincount(at[texts.learn & (at >= 0)], minlength=len(keys)).astype(np.uint64)
+                    dealt, bounds = _deal(keys, buckets[n])
+                    keys, counts = keys[dealt], counts[dealt]
+                    spans = [(b, s, e) for b, (s, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if s < e]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([n] * len(spans), pa.int32()),
+                            pa.array([b for b, _, _ in spans], pa.int32()),
+                            pa.array([row["batch"]] * len(spans), pa.string()),
+                            pa.array([_pack(np.diff(keys[s:e], prepend=np.uint64(0))) for _, s, e in spans], pa.binary()),
+                            pa.array([_pack(counts[s:e]) for _, s, e in spans], pa.binary()),
+                        ],
+                        names=["n", "bucket", "batch", "keys", "counts"],
+                    )
 
     return run
 
 
-def _score(shared: object) -> Callable:
+def _answer(key: tuple, asked: pa.Table) -> pa.Table:
+    """Totals of each batch's keys, and in a row without batch the bucket's tokens and how many keys have any."""
+    keys = [np.cumsum(_unpack(x.as_py()), dtype=np.uint64) for x in asked["keys"]]
+    _, number = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.concatenate([_unpack(x.as_py()) for x in asked["counts"]])
+    sums = np.bincount(number, weights=counts).astype(np.uint64)
+    ends = np.cumsum([len(k) for k in keys])
+    totals = [_pack(sums[x]) for x in np.split(number, ends[:-1])]
+    n, b = (x.as_py() for x in key)
+    m = len(totals)
+    return pa.table({
+        "batch": pa.array([*asked["batch"].to_pylist(), None], pa.string()),
+        "n": pa.array([n] * (m + 1), pa.int32()),
+        "bucket": pa.array([b] * (m + 1), pa.int32()),
+        "totals": pa.array([*totals, None], pa.binary()),
+        "tokens": pa.array([None] * m + [int(sums.sum())], pa.int64()),
+        "kinds": pa.array([None] * m + [int((sums > 0).sum())], pa.int64()),
+    })
+
+
+class Automaton:
+    """The part of the model that a batch of texts meets. A state is a context, named by the number of its n-gram."""
+
+    def __init__(self, texts: _Texts, cfg: LmConfig, root: Callable[[np.ndarray], np.ndarray]):
+        self.texts, self.cfg, self.root = texts, cfg, root
+        #: By n: for each token the n-gram that it ends, and how often training texts have each.
+        self.ends: dict[int, np.ndarray] = {}
+        self.counts: dict[int, np.ndarray] = {}
+
+    def add(self, n: int, ends: np.ndarray, counts: np.ndarray) -> None:
+        self.ends[n], self.counts[n] = ends, counts
+
+    def _times(self, n: int) -> np.ndarray:
+        """How often training texts have the n-gram that each token ends; 0 where it ends none."""
+        at = self.ends[n]
+        return np.where(at >= 0, self.counts[n][at], 0)
+
+    def walk(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token whether the root knows it, its log10 probability there, and that from its state.
+
+        The state before a token is its longest context that training texts have: all tokens' states are known from the
+        n-grams that end before them, so one sweep takes all tokens a level up, from the root on. What it adds at a level
+        is the arc's own probability, or the weight of the failure arc that led below.
+        """
+        times = self._times(1)
+        base = np.log10(self.root(times))
+        log, known = base, times > 0
+        prior = self.cfg.prior
+        for n in range(2, self.cfg.order + 1):
+            context = np.concatenate(([0], times[:-1])) * (self.texts.place >= n - 1)
+            times = self._times(n)
+            arc = np.log10((times + prior * 10**log) / (context + prior))
+            fail = log + np.log10(prior / (context + prior))
+            log = np.where(times > 0, arc, fail)
+        return known, base, log
+
+
+def _score(cfg: LmConfig, buckets: dict[int, int], n: int, v: int) -> Callable:
+    def root(times: np.ndarray) -> np.ndarray:
+        return (times + cfg.smoothing) / (n + cfg.smoothing * (v + 1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, walk = _Memo(shared.value), shared.value.automaton.walk
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for text in batch["text"].to_pylist():
-                rows = list(map(memo.__getitem__, _words(text)))
-                logs = list(map(memo.log.__getitem__, rows))
-                rare = [memo.hash[r] for r, x in zip(rows, logs, strict=True) if x is None]
-                if rare:
-                    logs = [0.0 if x is None else x for x in logs]
-                out[0].append(len(rows))
-                out[1].append(len(rows) - len(rare))
-                out[2].append(math.fsum(logs))
-                out[3].append(walk(list(map(memo.number.__getitem__, rows)), logs))
-                out[4].append(rare)
-                if len(memo) > 400_000:
-                    memo.reset()
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
-            arrays = [pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], *arrays], names=["doc_id", "key", "n_tokens", "n_known", "base", "score", "rare"])
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).drop_columns("doc_id").to_pylist()[0]
+                texts = _Texts.of(row)
+                automaton = Automaton(texts, cfg, root)
+                answers = {(x["n"], x["bucket"]): x["totals"] for x in row["answers"]}
+                for k, keys, at in texts.grams(cfg.order):
+                    order, bounds = _deal(keys, buckets[k])
+                    counts = np.zeros(len(keys), np.float64)
+                    parts = [_unpack(answers[k, b]) for b in range(buckets[k]) if bounds[b] < bounds[b + 1]]
+                    if parts:
+                        counts[order] = np.concatenate(parts)
+                    automaton.add(k, at, counts if len(counts) else np.zeros(1))
+                starts = np.cumsum(texts.sizes) - texts.sizes
+                known, base, log = (np.add.reduceat(x, starts) for x in (lambda k, b, s: (k.astype(np.int64), b, s))(*automaton.walk()))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][i].values, pa.array(texts.sizes), pa.array(known), pa.array(base), pa.array(log)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def score_texts(docs: DataFrame, training: DataFrame, cfg: LmConfig = LmConfig()) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs, learning from training's texts.
+def score_texts(docs: DataFrame, learn: Column, cfg: LmConfig = LmConfig()) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs, learning from those where learn holds.
 
-    Null and empty texts are their end alone; equal rows are scored once and keep their number; without training
-    texts every token has probability 1. Only doc_id and text are read. Words are hashed to 64 bits. Word counts, and
-    the rare words of all texts, are shuffled; texts are not.
+    Null and empty texts are their end alone; a null in learn is false; equal rows are scored and counted one by one; without
+    training texts every token has probability 1; an empty table gives no rows. A very long text is a batch of its own, in one
+    task. Only doc_id, text and what learn reads are read. Words and n-grams are hashed to 64 bits. Each batch's tokens, as
+    numbers, are written to the shared folder when this is called, and shuffled once to meet the answers.
     """
-    spark = docs.sparkSession
-    texts = training.select(F.col("text").cast("binary").alias("text"))
-    counts = materialize(texts.mapInArrow(_count_words, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")), "words")
-    total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n, v = int(total["n"] or 0), int(total["v"])
-    scale = n + cfg.smoothing * (v + 1)
-    frequent = counts.where(F.col("c") >= max(cfg.min_count, cfg.word_share * n)).toPandas().sort_values("h")
-    c = frequent["c"].to_numpy(np.int64)
-    number = np.full(len(c), -1, np.int64)
-    inside = np.flatnonzero(c >= max(cfg.min_count, cfg.context_share * n))
-    number[inside] = np.arange(len(inside))
-    lexicon = _Lexicon(frequent["h"].to_numpy(np.int64), np.log10((c + cfg.smoothing) / scale), number)
-    m = max(len(inside), 1)
-    grams = texts.mapInArrow(_count_ngrams(spark.sparkContext.broadcast(lexicon), m), "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")).where(F.col("c") >= max(cfg.min_count, cfg.ngram_share * n)).toPandas()
-    two = {divmod(-1 - int(k), m): int(x) for k, x in zip(grams["k"], grams["c"], strict=True) if k < 0}
-    three = {(*divmod(int(k) // m, m), int(k) % m): int(x) for k, x in zip(grams["k"], grams["c"], strict=True) if k >= 0}
-    lexicon.automaton = build_automaton(c[inside], (c[inside] + cfg.smoothing) / scale, two, three, cfg.discount)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("text"))
-    rows = materialize(rows.mapInArrow(_score(spark.sparkContext.broadcast(lexicon)), f"doc_id {kind}, key bigint, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>"), "walks")
-    rare = rows.select("key", F.explode("rare").alias("w")).join(counts, F.col("w") == F.col("h"), "left")
-    found = F.log10((F.coalesce("c", F.lit(0)) + cfg.smoothing) / F.lit(scale))
-    parts = rare.select("key", found.alias("log"), F.col("c").isNotNull().cast("long").alias("known"), F.lit(0).alias("copies"))
-    parts = parts.union(rows.select("key", F.lit(0.0), F.lit(0).cast("long"), F.lit(1)))
-    sums = parts.groupBy(F.col("key").alias("k")).agg((F.sum("log") / F.sum("copies")).alias("log"), (F.sum("known") / F.sum("copies")).alias("known"))
-    out = rows.drop("rare").join(sums, F.col("key") == F.col("k"))
-    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.round("known").cast("long")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.col("log")).alias("base_score"), (F.col("score") + F.col("log")).alias("score"))
+    texts = docs.select("doc_id", learn.alias("learn"), F.col("text").cast("binary").alias("text"))
+    schema = f"batch string, doc_id array<{kind}>, learn array<boolean>, sizes array<bigint>, words binary, tokens binary"
+    rows = materialize(texts.mapInArrow(_batch_texts(cfg), schema), "batches")
+    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("words") / 8).alias("words"), F.sum(F.length("tokens") / 4).alias("tokens")).first()
+    buckets = {n: int((sizes["words" if n == 1 else "tokens"] or 0) // cfg.bucket_keys) + 1 for n in range(1, cfg.order + 1)}
+    asked = rows.mapInArrow(_ask(cfg.order, buckets), "n int, bucket int, batch string, keys binary, counts binary")
+    answers = asked.groupBy("n", "bucket").applyInArrow(_answer, "batch string, n int, bucket int, totals binary, tokens bigint, kinds bigint")
+    answers = materialize(answers, "answers")
+    total = answers.where("batch IS NULL AND n = 1").agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v")).first()
+    n, v = int(total["n"] or 0), int(total["v"] or 0)
+    # A partition for every two batches, so that a task holds few of them.
+    parts = int(sizes["n"]) // 2 + 1
+    own = answers.where("batch IS NOT NULL").repartition(parts, "batch").groupBy("batch").agg(F.collect_list(F.struct("n", "bucket", "totals")).alias("answers"))
+    met = rows.repartition(parts, "batch").join(own, "batch").drop("batch")
+    out = met.mapInArrow(_score(cfg, buckets, n, v), f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = bucket(F.col("doc_id"), 10) == 0
-    scored = score_texts(docs, docs.where(~held))
-    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score_texts(docs, ~held).withColumn("held_out", held).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
