@@ -52,11 +52,11 @@ def test_words_are_cut_as_the_tokenizer_cuts_them():
     """On every character that the encoder lets through, in many places, and on all documents of a table."""
     encode = M.encoder(M.PackingConfig())
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = [f"a{c}a 1{c}1 .{c}. {c} {c}{c}\n{c}" for c in map(chr, range(0x2100)) if M.COMMON.fullmatch(c)]
+    texts = [f"a{c}a 1{c}1 .{c}. {c} {c}{c}\n{c}" for c in map(chr, range(0x2100)) if not M.UNUSUAL.search(c)]
     texts += [f"'{x}{y}" for x in ("s", "S", "ll", "re", "x") for y in ("", " ", "a", "1")] + ["", " ", "  a", "a  ", " \n \n", "ſ K", "\x1c\x85\u3000a"]
     assert len(texts) > 500
-    for text, want in zip(texts, slow.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert encode(text).tolist() == want.ids, text
+    for text, ids, want in zip(texts, encode(texts), slow.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids.tolist() == want.ids, text
 
 
 def test_ids_of_all_documents():
@@ -64,8 +64,8 @@ def test_ids_of_all_documents():
     encode = M.encoder(M.PackingConfig())
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for i in range(0, len(texts), 256):
-        for text, want in zip(texts[i : i + 256], slow.encode_batch_fast(texts[i : i + 256], add_special_tokens=False), strict=True):
-            assert encode(text).tolist() == want.ids
+        for ids, want in zip(encode(texts[i : i + 256]), slow.encode_batch_fast(texts[i : i + 256], add_special_tokens=False), strict=True):
+            assert ids.tolist() == want.ids
 
 
 def test_very_long_texts(spark):

@@ -7,14 +7,14 @@ columns), the patterns are rounded, and documents, ranked within their length, f
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -37,51 +37,81 @@ class PackingConfig:
     tolerance: float = 1e-3
 
 
-#: The pattern by which byte-level BPE cuts a text into words, a fixed value of the public vocabulary.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Characters on which the two pattern libraries agree, as a test holds for each of them.
-COMMON = regex.compile(r"[\t\n\r\x20-\x7E\xA1-\u024F\u2010-\u2027\u20AC]*")
-_ENCODERS: dict[str | None, Callable[[str], np.ndarray]] = {}
+# Characters on which the texts' cut into words is known, of them letters and numbers: fixed values, as a test holds.
+_LETTERS, _NUMBERS = r"A-Za-z\xAA\xB5\xBA\xC0-\xD6\xD8-\xF6\xF8-\u024F", r"0-9\xB2\xB3\xB9\xBC-\xBE"
+UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7E\xA1-\u024F\u2010-\u2027\u20AC]")
+#: The pattern by which byte-level BPE cuts a text into words, a fixed value of the public vocabulary, on those characters.
+SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
+_ENCODERS: dict[str | None, Callable[[list[str]], list[np.ndarray]]] = {}
 
 
 class _Words(dict):
-    """Word to its ids, as the tokenizer gives them; emptied at 300,000 words. Long words are not kept."""
+    """Word to its ids' bytes, as the tokenizer gives them; emptied at 500,000 words."""
 
     def __init__(self, tokenizer: object):
         super().__init__()
         self.tokenizer = tokenizer
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        if len(word) <= 64:
-            if len(self) >= 300_000:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
-def encoder(cfg: PackingConfig) -> Callable[[str], np.ndarray]:
-    """Text to ids as tokenizers gives them without special tokens; one for each process.
-
-    The vocabulary's words are encoded one by one, so a text is cut into them here and each distinct word is encoded once.
-    Texts that hold an added token, or characters on which the cut might differ, go through the tokenizer as a whole.
+        self.long: list[str] = []
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encode the words of some texts that are not known, all at once."""
+        for word in self.long:
+            del self[word]
+        new = set().union(*texts).difference(self)
+        if len(self) + len(new) > 500_000:
+            self.clear()
+            new = set().union(*texts)
+        words = list(new)
+        self.long = [w for w in words if len(w) > 100]
+        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ends = 4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(1, len(words) + 1))
+        ids = np.array(found.ids, "<u4").tobytes()
+        start = 0
+        for word, end in zip(words, ends.tolist(), strict=True):
+            self[word] = ids[start:end]
+            start = end
+
+
+def encoder(cfg: PackingConfig) -> Callable[[list[str]], list[np.ndarray]]:
+    """Texts to ids as tokenizers gives them without special tokens; one for each process.
+
+    The tokenizer encodes a text word by word, so texts are cut into words here and it is given each distinct word once.
+    Texts that hold an added token, or characters on which the cut might differ, go through it as a whole.
     """
     if cfg.tokenizer not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs side by side
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(cfg.tokenizer or default_tokenizer())
         added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         words = _Words(tokenizer)
 
-        def encode(text: str) -> np.ndarray:
-            if cfg.tokenizer or not COMMON.fullmatch(text) or any(t in text for t in added):
-                return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            return np.fromiter(chain.from_iterable(map(words.__getitem__, SPLIT.findall(text))), np.uint32)
+        def whole(text: str) -> bool:
+            return bool(cfg.tokenizer) or UNUSUAL.search(text) is not None or any(t in text for t in added)
+
+        def encode(texts: list[str]) -> list[np.ndarray]:
+            cut = [None if whole(t) else SPLIT.findall(t) for t in texts]
+            words.learn([x for x in cut if x is not None])
+            apart = lambda t: np.array(tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4")
+            return [apart(t) if x is None else np.frombuffer(b"".join(map(words.__getitem__, x)), "<u4") for t, x in zip(texts, cut, strict=True)]
 
         _ENCODERS[cfg.tokenizer] = encode
     return _ENCODERS[cfg.tokenizer]
 
 
+def _groups(texts: list[str | None], chars: int = 500_000) -> Iterator[list[str]]:
+    """The texts in groups of about so many characters; null is the empty text."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text or "")
+        size += len(group[-1])
+        if size >= chars:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -93,8 +123,8 @@ def _cut(cfg: PackingConfig, with_ids: bool) -> Callable:
         encode = encoder(cfg)
         for batch in batches:
             rows, ids_of = [], []
-            for i, text in enumerate(batch["text"].to_pylist()):
-                ids = np.append(encode(text or ""), np.uint32(cfg.end_id)).astype("<u4", copy=False)
+            for i, ids in enumerate(ids for group in _groups(batch["text"].to_pylist()) for ids in encode(group)):
+                ids = np.append(ids, np.uint32(cfg.end_id)).astype("<u4", copy=False)
                 for start in range(0, len(ids), cfg.window):
                     piece = ids[start : start + cfg.window]
                     rows.append((i, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
