@@ -38,9 +38,9 @@ class LmConfig:
     #: Added to each word's count at the root.
     smoothing: float = 0.1
     #: Tokens after which a batch of texts is closed; a longer text is a batch of its own.
-    batch_tokens: int = 2_000_000
+    batch_tokens: int = 1_000_000
     #: N-grams that a bucket is sent, about; there are as many buckets as that takes.
-    bucket_keys: int = 2_000_000
+    bucket_keys: int = 1_000_000
 
 
 class _Index(dict):
@@ -261,8 +261,8 @@ def score_texts(docs: DataFrame, learn: Column, cfg: LmConfig = LmConfig()) -> D
     answers = materialize(answers, "answers")
     total = answers.where("batch IS NULL AND n = 1").agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"] or 0)
-    # A partition for every two batches, so that a task holds few of them.
-    parts = int(sizes["n"]) // 2 + 1
+    # As many partitions as batches, so that a task holds few of them.
+    parts = int(sizes["n"]) + 1
     own = answers.where("batch IS NOT NULL").repartition(parts, "batch").groupBy("batch").agg(F.collect_list(F.struct("n", "bucket", "totals")).alias("answers"))
     met = rows.repartition(parts, "batch").join(own, "batch").drop("batch")
     out = met.mapInArrow(_score(cfg, buckets, n, v), f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
