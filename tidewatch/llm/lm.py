@@ -38,7 +38,7 @@ class LmConfig:
     #: Added to each word's count at the root.
     smoothing: float = 0.1
     #: Tokens after which a batch of texts is closed; a longer text is a batch of its own.
-    batch_tokens: int = 1_000_000
+    batch_tokens: int = 400_000
     #: N-grams that a bucket is sent, about; there are as many buckets as that takes.
     bucket_keys: int = 1_000_000
 
