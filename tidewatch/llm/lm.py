@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ class LmConfig:
     #: Added to each word's count at the root.
     smoothing: float = 0.1
     #: Tokens after which a batch of texts is closed; a longer text is a batch of its own.
-    batch_tokens: int = 400_000
+    batch_tokens: int = 300_000
     #: N-grams that a bucket is sent, about; there are as many buckets as that takes.
     bucket_keys: int = 1_000_000
 
@@ -52,12 +53,12 @@ class _Index(dict):
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Unsigned numbers as planes of bytes, which compress well where high bytes are alike."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    """Unsigned numbers as planes of bytes, which compress well where high bytes are alike, compressed."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T), 1)
 
 
 def _unpack(data: bytes, kind: type = np.uint64) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
@@ -70,7 +71,8 @@ def _batch_texts(cfg: LmConfig) -> Callable:
             lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in kinds.values()]
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
             blobs = [pa.array([_pack(x)], pa.binary()) for x in (hashes, np.concatenate(tokens))]
-            out = pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists, *blobs], names=["batch", *kinds, "words", "tokens"])
+            numbers = [pa.array([n], pa.int64()) for n in (len(index), sum(map(len, tokens)))]
+            out = pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists, *blobs, *numbers], names=["batch", *kinds, "words", "tokens", "n_words", "n_tokens"])
             for x in (index, tokens, learn, ids):
                 x.clear()
             return out
@@ -252,9 +254,9 @@ def score_texts(docs: DataFrame, learn: Column, cfg: LmConfig = LmConfig()) -> D
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", learn.alias("learn"), F.col("text").cast("binary").alias("text"))
-    schema = f"batch string, doc_id array<{kind}>, learn array<boolean>, sizes array<bigint>, words binary, tokens binary"
+    schema = f"batch string, doc_id array<{kind}>, learn array<boolean>, sizes array<bigint>, words binary, tokens binary, n_words bigint, n_tokens bigint"
     rows = materialize(texts.mapInArrow(_batch_texts(cfg), schema), "batches")
-    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("words") / 8).alias("words"), F.sum(F.length("tokens") / 4).alias("tokens")).first()
+    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), F.sum("n_tokens").alias("tokens")).first()
     buckets = {n: int((sizes["words" if n == 1 else "tokens"] or 0) // cfg.bucket_keys) + 1 for n in range(1, cfg.order + 1)}
     asked = rows.mapInArrow(_ask(cfg.order, buckets), "n int, bucket int, batch string, keys binary, counts binary")
     answers = asked.groupBy("n", "bucket").applyInArrow(_answer, "batch string, n int, bucket int, totals binary, tokens bigint, kinds bigint")
