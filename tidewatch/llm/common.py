@@ -42,6 +42,47 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def with_scan(df: DataFrame, values: str, name: str, start: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
+    """df with the states of a fold over an array, before each element: start, step(start, first), and so on.
+
+    States are gathered in blocks of about the root of their number, as a growing array is copied at each element. The
+    parts are columns of their own: deeply nested lambdas are slow to analyse.
+    """
+    none = F.slice(F.array(start), 1, 0)
+    n = F.size(values)
+    block = lambda k: F.slice(values, k * F.col("__width") + 1, F.col("__width"))
+
+    def gather(over: Column, first: Column, move: Callable[[Column, Column], Column]) -> Column:
+        grow = lambda a, x: F.struct(move(a["s"], x).alias("s"), F.concat(a["out"], F.array(a["s"])).alias("out"))
+        return F.aggregate(over, F.struct(first.alias("s"), none.alias("out")), grow, lambda a: a["out"])
+
+    df = df.withColumn("__width", F.greatest(F.lit(16), F.ceil(F.sqrt(n)).cast("int")))
+    numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(n / F.col("__width")).cast("int") - 1))
+    df = df.withColumn("__heads", gather(numbers, start, lambda s, k: F.aggregate(block(k), s, step)))
+    return df.withColumn(name, F.flatten(F.transform("__heads", lambda s, k: gather(block(k), s, step)))).drop("__width", "__heads")
+
+
+#: Code points of a block from which pieces of a text are taken, a power of two.
+_BLOCK_BITS = 14
+
+
+def pieces_of(text: Column, spans: Column) -> Column:
+    """The parts of a text between code points start and end of each span; the text is walked block by block, not span by span."""
+    width = 1 << _BLOCK_BITS
+    last = F.greatest(F.lit(0), F.shiftright(F.length(text) - 1, _BLOCK_BITS))
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(text, i * width + 1, F.lit(width)))
+
+    def piece(b: Column, s: Column) -> Column:
+        start, end = s["start"].cast("int"), s["end"].cast("int")
+        i, j = F.shiftright(start, _BLOCK_BITS), F.shiftright(end, _BLOCK_BITS)
+        head, tail = start - i * width, end - j * width
+        between = F.array_join(F.slice(b, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+        over = F.concat(F.substr(F.get(b, i), head + 1, F.lit(width)), between, F.coalesce(F.substr(F.get(b, j), F.lit(1), tail), F.lit("")))
+        return F.when(i == j, F.substr(F.get(b, i), head + 1, tail - head)).otherwise(over)
+
+    return let(blocks, lambda b: F.transform(spans, lambda s: piece(b, s)))
+
+
 def words_of(text: Column) -> Column:
     """The words of a text; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")
