@@ -1,9 +1,15 @@
-"""Documents whose sets of word shingles have a Jaccard similarity from a threshold on, found exactly by prefix filtering.
+"""Documents whose sets of word shingles have a Jaccard similarity from a threshold on, found exactly.
+
+Fingerprints of 64 bits differ in about ten at a similarity of 0.8, too many for balls of segments. So multi-index hashing
+(`simhash.mih_links`) only finds the closest pairs here, which are most of the links in large groups, and prefix filtering
+finds the rest.
 
 Two sets with similarity t or more share one of the first n - ceil(t * n) + 1 hashes of each (its prefix), in any order
 that holds for all sets. Here common hashes come last, so that prefixes rarely meet in a passage that many texts have;
 which ones count as common is found on a sample, as it changes the work but not the result. Sets that share none are never compared, and pairs that do are verified on all their shingles. What counts is who is connected:
-first each member of a prefix hash meets one leader of it, twice, then all members that are not connected yet meet.
+first each member of a prefix hash meets one leader of it, then all members that are not connected yet meet. A pair is
+compared if its prefixes have so many hashes in common that both sets can: what lies behind the prefix of one of the two
+is all that can be added.
 """
 
 from __future__ import annotations
@@ -20,12 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import join_hot, materialize
 from .components import components
-from .simhash import keep_least
+from .simhash import fingerprint_of, keep_least, mih_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Rounds in which members of a prefix hash meet only its leader.
-STAR_ROUNDS = 2
+#: Rounds in which members of a prefix hash meet only its leader; the result is the same without them.
+STAR_ROUNDS = 1
 #: Of so many sets one is read for common hashes; those that over COMMON of them have are common, MOST at most.
 SAMPLE = 8
 COMMON = 8
@@ -50,7 +56,8 @@ def _sets(shingle: int):
         for batch in batches:
             found = [shingle_set(x or b"", shingle) for x in batch["text"].to_pylist()]
             ids = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in found), np.uint64, len(found)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(ids), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "th", "sid", "grams"])
+            prints = np.fromiter((fingerprint_of(x.view(np.uint64)) for x in found), np.uint64, len(found)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(ids), pa.array(prints), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "th", "sid", "fp", "grams"])
 
     return run
 
@@ -75,8 +82,11 @@ def _fits(similarity: float, a: Column, b: Column) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * similarity - _SLACK
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that are similar enough. Many may have the same a, few the same b."""
+def _verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are similar enough. Only the sets of sids that stand in a pair are read on."""
+    pairs = materialize(pairs.select("a", "b").distinct(), "candidates")
+    sids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    sets = materialize(rows.join(sids, "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams")), "sets")
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs"))
     left = materialize(counts.join(sets, F.col("a") == F.col("sid")).select("a", "pairs", F.col("grams").alias("left")), "left-sets")
     right = pairs.join(sets, F.col("b") == F.col("sid")).select("a", "b", F.col("grams").alias("right"))
@@ -85,52 +95,72 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return materialize(join_hot(right, left, "a", "pairs").where(both >= union * similarity - _SLACK).select("a", "b"), "similar")
 
 
-def similar_roots(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root): the least id that each connected set reaches. sets: sid and grams (distinct, ascending), each sid once."""
-    some = sets.where(F.pmod(F.xxhash64("sid"), F.lit(SAMPLE)) == 0).select(F.explode("grams").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+def _close(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sids whose fingerprints are at most two bits apart: within a fingerprint, and between two, by their least sids."""
+    classes = materialize(rows.where(F.size("grams") > 0).groupBy("fp", "sid").agg(F.count(F.lit(1)).alias("n")).groupBy("fp").agg(F.min("sid").alias("least"), F.count(F.lit(1)).alias("n")), "print-classes")
+    links = mih_links(classes.select("fp"))
+    least = classes.select(F.col("fp").alias("f"), "least")
+    across = links.join(least, F.col("a") == F.col("f")).select("b", F.col("least").alias("x")).join(least, F.col("b") == F.col("f")).select(F.col("x").alias("a"), F.col("least").alias("b"))
+    several = rows.select("fp", "sid").join(classes.where("n > 1").select("fp", "least"), "fp").where("sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b"))
+    return across.union(several)
+
+
+def similar_roots(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root): the least id that each connected set reaches. rows: sid, fp and grams (distinct, ascending); a sid's rows are alike."""
+    some = rows.where(F.pmod(F.xxhash64("sid"), F.lit(SAMPLE)) == 0).select("sid", F.explode("grams").alias("key")).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     common = some.where(F.col("n") > COMMON).orderBy(F.desc("n"), "key").limit(MOST).select("key").toPandas()["key"].to_numpy(np.int64)
-    ordered = sets.where(F.size("grams") > 0).mapInArrow(_prefixes(sets.sparkSession.sparkContext.broadcast(common), similarity), "sid bigint, size int, prefix array<bigint>")
-    prefix = ordered.select("sid", "size", F.posexplode("prefix").alias("pos", "key"))
+    ordered = rows.where(F.size("grams") > 0).select("sid", "grams").mapInArrow(_prefixes(rows.sparkSession.sparkContext.broadcast(common), similarity), "sid bigint, size int, prefix array<bigint>")
+    ordered = materialize(ordered.groupBy("sid").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix")), "ordered")
+    prefix = ordered.select("sid", "size", F.explode("prefix").alias("key"))
     shared = prefix.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     keys = materialize(join_hot(prefix, materialize(shared, "shared"), "key", "n"), "prefixes")
-    nodes = keys.withColumn("root", F.col("sid"))
-    links = roots = None
+    links = _verified(_close(rows), rows, similarity)
+    nodes = None
 
-    def connect(pairs: DataFrame) -> None:
-        nonlocal nodes, links, roots
-        found = _verified(materialize(pairs.distinct(), "candidates"), sets, similarity)
-        links = found if links is None else links.union(found)
+    def connect() -> DataFrame:
+        nonlocal nodes
         roots = materialize(components(links), "roots")
-        named = keys.join(roots, F.col("sid") == F.col("node"), "left").select("key", "sid", "size", "pos", F.coalesce("root", "sid").alias("root"))
+        named = keys.join(roots, F.col("sid") == F.col("node"), "left").select("key", "sid", "size", F.coalesce("root", "sid").alias("root"))
         # A hash whose members are all connected has nothing left to tell.
         open_ = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "n")
         nodes = materialize(join_hot(named, materialize(open_, "open"), "key", "n"), "members")
+        return roots
+
+    def able(met: DataFrame) -> DataFrame:
+        """Of pairs, one row a hash in both prefixes, those that can be similar enough: the hashes of the prefix that ends first
+        and lie in the other set lie in its prefix, so beyond these only what is behind a prefix can be shared."""
+        behind = lambda size: F.ceil(size * similarity - _SLACK) - 1
+        need = F.ceil((F.col("m") + F.col("n")) * (similarity / (1 + similarity)) - _SLACK)
+        counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("m").alias("m"), F.first("n").alias("n"))
+        return counted.where(_fits(similarity, F.col("m"), F.col("n")) & (F.col("c") >= need - F.greatest(behind(F.col("m")), behind(F.col("n")))))
 
+    roots = connect()
     for r in range(STAR_ROUNDS):
         lead = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("sid", F.lit(r)).alias("h"), "sid", "size", "root")).alias("l"))
-        met = join_hot(nodes, materialize(lead, "leaders"), "key", "n").where((F.col("root") != F.col("l.root")) & _fits(similarity, F.col("size"), F.col("l.size")))
-        connect(met.select(F.col("l.sid").alias("a"), F.col("sid").alias("b")))
-    one, two = (nodes.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("sid", "size", "pos", "root")]) for i in (1, 2))
-    # At its first shared hash a pair can still have as many in common as it needs.
-    rest = F.least(F.col("size1") - F.col("pos1"), F.col("size2") - F.col("pos2"))
-    need = (F.col("size1") + F.col("size2")) * (similarity / (1 + similarity)) - _SLACK
-    met = one.join(two, "key").where((F.col("sid1") < F.col("sid2")) & (F.col("root1") != F.col("root2")) & _fits(similarity, F.col("size1"), F.col("size2")) & (rest >= need))
-    connect(met.select(F.col("sid1").alias("a"), F.col("sid2").alias("b")))
-    return roots
+        met = join_hot(nodes, materialize(lead, "leaders"), "key", "n").where(F.col("root") != F.col("l.root"))
+        found = _verified(able(met.select(F.col("l.sid").alias("a"), F.col("sid").alias("b"), F.col("l.size").alias("m"), F.col("size").alias("n"))), rows, similarity)
+        links = links.union(found)
+        roots = connect()
+    one, two = (nodes.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("sid", "size", "root")]) for i in (1, 2))
+    met = one.join(two, "key").where((F.col("sid1") < F.col("sid2")) & (F.col("root1") != F.col("root2")) & _fits(similarity, F.col("size1"), F.col("size2")))
+    found = _verified(able(met.select(F.col("sid1").alias("a"), F.col("sid2").alias("b"), F.col("size1").alias("m"), F.col("size2").alias("n"))), rows, similarity)
+    links = links.union(found)
+    return materialize(components(links), "roots")
 
 
 def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, th (a hash of the text), group (equal where similar pairs connect) of every row.
 
-    Texts without words, null ones among them, are one group. Only doc_id and text are read.
+    Texts without words, null ones among them, are one group; an empty table gives no rows; a very long text is one set, in one
+    row. Only doc_id and text are read. Sets, prefixes and links are written to the shared folder when this is called.
     """
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    rows = materialize(texts.mapInArrow(_sets(shingle), f"doc_id {kind}, th bigint, sid bigint, grams array<bigint>"), "shingles")
+    rows = materialize(texts.mapInArrow(_sets(shingle), f"doc_id {kind}, th bigint, sid bigint, fp bigint, grams array<bigint>"), "shingles")
     classes = rows.groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
-    roots = similar_roots(rows.select("sid", "grams").dropDuplicates(["sid"]), similarity)
+    roots = similar_roots(rows.select("sid", "fp", "grams"), similarity)
     named = classes.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "n", F.coalesce("root", "sid").alias("group"))
     return join_hot(rows.select("doc_id", "th", "sid"), materialize(named, "named"), "sid", "n").select("doc_id", "th", "group")
 

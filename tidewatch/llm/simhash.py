@@ -36,6 +36,11 @@ def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
         return 0
     shingles = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False)) if n > 0 else [b" ".join(words)]
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, max(n, 1))
+    return fingerprint_of(hashes)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """64 bits: set where over half of the unsigned hashes have them; 0 for none."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65536):
         part = hashes[i : i + 65536]
