@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import math
 import random
+import zlib
 
 import numpy as np
+import pandas as pd
 
 from tidewatch.llm import toxicity as M
 
@@ -52,3 +55,78 @@ def test_passages_are_found(spark):
     labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
     found = M.score_toxicity(docs, M.fit_toxicity(docs, labels)).where("doc_id % 2 = 1").first()
     assert found["passages"] and bad in found["passages"][0]["passage"]
+
+
+def plain_scores(texts, marks, cfg):
+    """Scores of texts from plain counts; the segments by enumeration, the law and the logistic fit as defined."""
+    from collections import Counter
+
+    core = lambda w: w.strip(M.EDGES) or w
+    words, starts = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
+    fold = {d: zlib.crc32(str(d).encode()) % 5 for d in texts}
+    for d, label in marks.items():
+        if 0 < fold[d] < 4:
+            for w in texts[d].lower().split():
+                words[label][core(w)] += 1
+                starts[label][core(w)[: cfg.prefix]] += 1
+    toxic, clean = (sum(words[i].values()) for i in (1, 0))
+    rate = (toxic + 1) / (toxic + clean + 2)
+
+    def score(w):
+        w = core(w)
+        p = w[: cfg.prefix]
+        prior = (starts[1][p] + cfg.prefix_prior * rate) / (starts[0][p] + starts[1][p] + cfg.prefix_prior)
+        r = (words[1][w] + cfg.word_prior * prior) / (words[0][w] + words[1][w] + cfg.word_prior)
+        return math.log(r / (1 - r)) - math.log(rate / (1 - rate)) - cfg.drift
+
+    found = {}
+    for d, text in texts.items():
+        s = np.array([score(w) for w in text.lower().split()])
+        found[d] = s, np.array(brute_segments(s, 0, len(s)) or [0.0])
+    held = [d for d in marks if fold[d] == 4]
+    hist = np.zeros(len(M.BINS) + 1)
+    for d in held:
+        if not marks[d]:
+            hist += np.bincount(np.digitize(found[d][0], M.BINS), minlength=len(hist))
+    frame = pd.DataFrame([(len(found[d][0]), found[d][1].max()) for d in held if not marks[d]], columns=["n", "best"])
+    lam, k = M._law(hist, frame)
+
+    def features(d):
+        norm = lam * found[d][1] - math.log(k * max(len(found[d][0]), 1))
+        return [1.0, min(max(norm.max(), -20), 60), math.log1p(norm[norm > 0].sum())]
+
+    x, y = np.array([features(d) for d in held]), np.array([marks[d] for d in held], float)
+    w = M._fit_logistic(x[:, 1:], y)
+    assert np.abs(x.T @ (1 / (1 + np.exp(-x @ w)) - y) + 1e-2 * w).max() < 1e-6
+    return {d: 1 / (1 + math.exp(-float(w @ features(d)))) for d in texts}
+
+
+def test_scores_against_plain_python(spark):
+    """Every segment of a text counts: texts hold up to nine toxic passages."""
+    random.seed(6)
+    calm, bad = [f"calm{i}" for i in range(40)], [f"foul{i}" for i in range(6)]
+    texts, marks = {}, {}
+    for d in range(300):
+        n = random.choice([0, 0, 1, 2, 5, 9])
+        parts = [" ".join(random.choices(calm, k=random.randint(1, 5))) for _ in range(n + 1)]
+        texts[d] = " ".join(p for i, part in enumerate(parts) for p in (part, *([random.choice(bad)] if i < n else [])))
+        if d % 3:
+            marks[d] = int(n > 0) if random.random() < 0.95 else int(n == 0)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame(list(marks.items()), "doc_id long, toxic int")
+    model = M.fit_toxicity(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in M.score_toxicity(docs, model).collect()}
+    want = plain_scores(texts, marks, M.ToxicityConfig())
+    assert all(abs(got[d] - want[d]) < 1e-4 for d in texts)
+
+
+def test_very_long_texts(spark, documents, small):
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    model = M.fit_toxicity(documents, labels)
+    texts = ["word " * 400_000, "x" * 2_000_000, " " * 2_000_000, "a\n" * 500_000]
+    rows = M.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert len(rows) == 4 and all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_few_words_share_a_bucket(documents):
+    assert M.collisions(documents) < 0.05

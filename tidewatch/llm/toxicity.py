@@ -21,15 +21,14 @@ from pyspark.sql import functions as F
 from .common import bucket
 
 EDGES = ".,;:!?\"'()[]{}«»“”„…-–—"
-#: Segments whose normalised scores are summed.
-TOP = 5
 
 
 @dataclass(frozen=True)
 class ToxicityConfig:
     #: Labelled rows at most that the model learns from; beyond it a sample by hash of doc_id.
     max_labelled: int = 400_000
-    hash_bits: int = 18
+    #: Words share 2^hash_bits buckets of counts; collisions() tells what share of a table's words meets another one there.
+    hash_bits: int = 22
     prefix: int = 5
     #: Weights of the priors, in tokens.
     prefix_prior: float = 20.0
@@ -156,6 +155,8 @@ BINS = np.linspace(-12, 12, 961)
 
 
 def _observe(shared: object) -> Callable:
+    """Per text its label, number of tokens and best segment; and bins of clean tokens' scores, as labels below 0."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _segments_of(shared.value)
         hist = np.zeros(len(BINS) + 1, np.int64)
@@ -165,19 +166,32 @@ def _observe(shared: object) -> Callable:
                 scores, found = of(text)
                 if not label:
                     hist += np.bincount(np.digitize(scores, BINS), minlength=len(hist))
-                rows.append((label, len(scores), sorted((s for *_, s in found), reverse=True)[:TOP]))
-            yield pa.RecordBatch.from_arrays([pa.array([int(r[0]) for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["label", "n", "tops"])
+                rows.append((int(label), len(scores), max((s for *_, s in found), default=0.0)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.float64()))], names=["label", "n", "best"])
         at = np.flatnonzero(hist)
-        yield pa.RecordBatch.from_arrays([pa.array(-1 - at, pa.int32()), pa.array(hist[at]), pa.array([[]] * len(at), pa.list_(pa.float64()))], names=["label", "n", "tops"])
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - at, pa.int32()), pa.array(hist[at]), pa.array(np.zeros(len(at)))], names=["label", "n", "best"])
 
     return run
 
 
-def _features(tops: list[float], n: int, model: ToxicityModel) -> tuple[float, float]:
-    """The best segment's score in units of the extreme-value law, and the sum of those above chance."""
+def _measure(shared: object) -> Callable:
+    """Per text its label and features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        of = _segments_of(model)
+        for batch in batches:
+            rows = [(int(label), *_features(found, len(scores), model)) for label, (scores, found) in zip(batch["toxic"].to_pylist(), map(of, batch["text"].to_pylist()), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.float64(), pa.float64()))], names=["label", "best", "sum"])
+
+    return run
+
+
+def _features(found: list[tuple[int, int, float]], n: int, model: ToxicityModel) -> tuple[float, float]:
+    """The best segment's score in units of the extreme-value law, and the sum of all segments' that are above chance."""
     base = np.log(model.k * max(n, 1))
-    norm = [model.lam * s - base for s in tops] or [-base]
-    return float(np.clip(norm[0], -20, 60)), float(np.log1p(sum(x for x in norm if x > 0)))
+    norm = model.lam * np.array([s for *_, s in found] or [0.0]) - base
+    return float(np.clip(norm.max(), -20, 60)), float(np.log1p(norm[norm > 0].sum()))
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -208,26 +222,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = Toxic
     rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").withColumn("fold", part)
     counted = rows.where("fold < 4").select("text", "toxic").mapInArrow(_count(cfg), "slot bigint, toxic bigint, clean bigint").groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toPandas()
     size = 1 << cfg.hash_bits
-    sums = np.zeros((2 * size, 2))
-    sums[counted["slot"].to_numpy(np.int64)] = counted[["toxic", "clean"]].to_numpy(np.float64)
-    toxic, clean = sums[:size].sum(axis=0)
+    sums = np.zeros((2 * size, 2), np.float32)
+    sums[counted["slot"].to_numpy(np.int64)] = counted[["toxic", "clean"]].to_numpy(np.float32)
+    toxic, clean = sums[:size].sum(axis=0, dtype=np.float64)
     model = ToxicityModel(cfg, rate=(toxic + 1) / (toxic + clean + 2))
     rest = sums[size:]
     model.rates = (rest[:, 0] + cfg.prefix_prior * model.rate) / (rest.sum(axis=1) + cfg.prefix_prior)
     model.counts = np.column_stack([sums[:size, 0], sums[:size].sum(axis=1)])
     shared = spark.sparkContext.broadcast(model)
-    seen = rows.where("fold = 4").select("text", "toxic").mapInArrow(_observe(shared), "label int, n bigint, tops array<double>").toPandas()
+    held = rows.where("fold = 4").select("text", "toxic")
+    seen = held.mapInArrow(_observe(shared), "label int, n bigint, best double").toPandas()
     hist = np.zeros(len(BINS) + 1)
     for label, count in seen.loc[seen["label"] < 0, ["label", "n"]].itertuples(index=False):
         hist[-1 - label] += count
     cases = seen[seen["label"] >= 0]
     model.lam, model.k = _law(hist, cases[cases["label"] == 0])
     y = cases["label"].to_numpy(np.float64)
+    model.weights = (0.0, 0.0, 0.0)
     if 0 < y.sum() < len(y):
-        x = np.array([_features(list(t), c, model) for t, c in zip(cases["tops"], cases["n"], strict=True)])
-        model.weights = tuple(_fit_logistic(x, y))
-    else:
-        model.weights = (0.0, 0.0, 0.0)
+        cases = held.mapInArrow(_measure(spark.sparkContext.broadcast(model)), "label int, best double, sum double").toPandas()
+        model.weights = tuple(_fit_logistic(cases[["best", "sum"]].to_numpy(), cases["label"].to_numpy(np.float64)))
     return model
 
 
@@ -240,7 +254,7 @@ def _law(hist: np.ndarray, clean: object) -> tuple[float, float]:
         for _ in range(80):
             lam = (low + high) / 2
             low, high = (low, lam) if (p * np.exp(np.minimum(lam * mids, 600))).sum() > 1 else (lam, high)
-    best = np.array([t[0] if len(t) else 0.0 for t in clean["tops"]]) if len(clean) else np.zeros(1)
+    best = clean["best"].to_numpy(np.float64) if len(clean) else np.zeros(1)
     n = np.maximum(clean["n"].to_numpy(np.float64), 1) if len(clean) else np.ones(1)
     return lam, float(np.exp(np.median(lam * best - np.log(n)) + np.log(np.log(2))))
 
@@ -258,8 +272,7 @@ def _score(shared: object) -> Callable:
             probs, passages = [], []
             for text in batch["text"].to_pylist():
                 scores, found = of(text)
-                tops = sorted((s for *_, s in found), reverse=True)[:TOP]
-                z = weights @ np.array([1.0, *_features(tops, len(scores), model)])
+                z = weights @ np.array([1.0, *_features(found, len(scores), model)])
                 probs.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
                 least = (np.log(model.k * max(len(scores), 1)) - np.log(model.cfg.max_expected)) / model.lam
                 found = [x for x in found if x[2] >= least]
@@ -270,11 +283,24 @@ def _score(shared: object) -> Callable:
     return run
 
 
+def collisions(docs: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> float:
+    """The share of the distinct words of a table that share their bucket with another one."""
+    words = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).select(F.expr(f"trim(both {_quoted(EDGES)} from w)").alias("w")).distinct()
+    sizes = words.groupBy(F.crc32(F.col("w").cast("binary")).bitwiseAND(F.lit((1 << cfg.hash_bits) - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    r = sizes.agg(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("c"), F.sum("n").alias("n")).first()
+    return float(r["c"] or 0) / max(int(r["n"] or 0), 1)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, score (0 to 1) and the significant toxic passages of every row, with code point offsets.
 
-    Null and empty texts have no tokens and get the score of no evidence. Rows are scored one by one; only doc_id and
-    text are read, and nothing is shuffled.
+    Null and empty texts have no tokens and get the score of no evidence; an empty table gives no rows. All segments of a text
+    take part, however long it is: the scan is linear. Rows are scored one by one; only doc_id and text are read, and nothing
+    is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
