@@ -133,3 +133,48 @@ def clickability(dom_id: Column, tag: Column, role: Column, text: Column, y: Col
     weight = F.when(F.coalesce(acts, F.lit(False)), F.greatest(weight, F.lit(0.78))).otherwise(weight)
     weight = F.when(F.coalesce(says, F.lit(False)), F.greatest(weight, F.lit(0.86))).otherwise(weight)
     return F.bround(clip(100 * (0.48 * weight + 0.20 * area_score(w, h) + 0.18 * fold_score(y, h, viewport_h) + 0.14 * contrast), 0, 100), 2)
+
+
+def position_score(x1: Column, y1: Column, x2: Column, y2: Column, width: float, height: float) -> Column:
+    """How near a box is to the visual centre, and how near to the top."""
+    cx, cy = (x1 + x2) / 2 / max(width, 1), (y1 + y2) / 2 / max(height, 1)
+    away = F.sqrt(F.pow(cx - 0.5, F.lit(2)) + F.pow(cy - 0.42, F.lit(2)))
+    return 0.62 * (1 - F.least(F.lit(1.0), away / 0.72)) + 0.38 * (1 - F.least(F.lit(1.0), cy * 0.72))
+
+
+#: Texts of an element that ask for an action, fixed values.
+ACTION_TEXTS = ("get started", "try", "buy", "sign up", "start", "book", "demo")
+
+
+def type_score(tag: Column, role: Column, dom_id: Column, text: Column, weights: dict[str, float]) -> Column:
+    """The weight of a tag (0.3 for others), raised for buttons and for texts that ask for an action."""
+    empty = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    base = F.lit(0.3)
+    for name, weight in weights.items():
+        base = F.when(F.upper(F.coalesce(tag, F.lit(""))) == name, F.lit(weight)).otherwise(base)
+    button = (empty(role) == "button") | empty(dom_id).rlike("button|btn|cta")
+    asks = empty(text).rlike("|".join(ACTION_TEXTS))
+    return F.least(F.lit(1.0), F.greatest(base, F.when(button, 1.0).otherwise(0.0), F.when(asks, 0.92).otherwise(0.0)))
+
+
+def likert_unit(x: Column, low: float = 1.0, high: float = 9.0) -> Column:
+    """A rating between low and high as 0 to 1."""
+    return clip((x - low) / (high - low), 0, 1) if high > low else x
+
+
+def expected_steps(duration: Column, interval: Column) -> Column:
+    """Sampling steps that a duration takes, one at least."""
+    return F.greatest(F.lit(1).cast("long"), F.ceil(duration / interval))
+
+
+def scroll_fraction(y: Column, scroll_height: Column, client_height: Column) -> Column:
+    """How far a page is scrolled; 1 where it cannot be, or where a height is unknown."""
+    room = scroll_height - client_height
+    return F.when(F.coalesce(room, F.lit(0)) <= 0, F.lit(1.0)).otherwise(y / room)
+
+
+def items_for_budget(probe_seconds: Column, probe_items: Column, budget: Column, rate_per_hour: Column, done: Column) -> Column:
+    """Further items that a budget pays for at the probe's cost an item; none without a probe."""
+    each = probe_seconds / probe_items * rate_per_hour / 3600
+    able = F.floor(budget / each) - done
+    return F.when((probe_items <= 0) | (probe_seconds <= 0) | (each <= 0), F.lit(0).cast("long")).otherwise(F.greatest(F.lit(0).cast("long"), able))

@@ -73,6 +73,42 @@ def host(url: Column) -> Column:
 
 
 def same_origin(href: Column, base: Column) -> Column:
-    """Relative links, the same host, and its subdomains."""
+    """Relative links, the same host, and its subdomains. An absolute link without a host, or a base without one, is another origin."""
+    name = lambda url: F.nullif(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit(""))
     relative = ~href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:") & ~href.startswith("//")
-    return relative | (host(href) == host(base)) | F.endswith(host(href), F.concat(F.lit("."), host(base)))
+    return relative | F.coalesce((name(href) == name(base)) | F.endswith(name(href), F.concat(F.lit("."), name(base))), F.lit(False))
+
+
+#: Address ranges that no fetch may reach, as first and last address: this network, private, shared metadata, loopback, link-local,
+#: protocol assignments, documentation, benchmarks, multicast and reserved. Fixed values.
+_NO_FETCH = (
+    ("0.0.0.0", "0.255.255.255"), ("10.0.0.0", "10.255.255.255"), ("100.100.100.200", "100.100.100.200"), ("127.0.0.0", "127.255.255.255"),
+    ("169.254.0.0", "169.254.255.255"), ("172.16.0.0", "172.31.255.255"), ("192.0.0.0", "192.0.0.255"), ("192.0.2.0", "192.0.2.255"),
+    ("192.168.0.0", "192.168.255.255"), ("198.18.0.0", "198.19.255.255"), ("198.51.100.0", "198.51.100.255"), ("203.0.113.0", "203.0.113.255"),
+    ("224.0.0.0", "255.255.255.255"),
+)
+
+
+def url_allowed(url: Column) -> Column:
+    """Whether a crawler may fetch an address: http or https, no credentials, a host, and no address in a forbidden range.
+
+    Names are not resolved here, but for localhost and what ends with it; a fetcher checks the addresses that they resolve to in
+    the same way. Hosts of digits or hexadecimal numbers alone, which resolvers read as addresses, and IPv6 addresses that are
+    loopback, unspecified, local, multicast or carry an IPv4 address are refused.
+    """
+    place = F.regexp_extract(url, r"^(?i:https?)://([^/?#\\]*)", 1)
+    name = F.lower(F.regexp_replace(F.regexp_replace(place, r":[0-9]*$", ""), r"\.$", ""))
+    octets = F.split(name, r"\.")
+    value = F.aggregate(F.transform(octets, lambda o: o.try_cast("bigint")), F.lit(0).cast("long"), lambda a, o: a * 256 + o)
+    dotted = name.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
+    number = lambda ip: sum(int(o) << 8 * (3 - i) for i, o in enumerate(ip.split(".")))
+    forbidden = F.lit(False)
+    for low, high in _NO_FETCH:
+        forbidden = forbidden | value.between(number(low), number(high))
+    valid = F.forall(octets, lambda o: o.try_cast("int") <= 255)
+    six = F.regexp_extract(place, r"^\[([0-9A-Fa-f:.]+)\](?::[0-9]*)?$", 1)
+    local = F.lower(six).rlike(r"^(?:[0:]*:0{0,3}[01]?|f[cdef][0-9a-f]{2}:.*|.*\..*|2001:0?db8:.*|::)$")
+    odd = name.rlike(r"^(?:0x[0-9a-f]*|[0-9.]+)(?:\.(?:0x[0-9a-f]+|[0-9]+))*$") & ~dotted
+    named = ~name.rlike(r"^(?:.*\.)?localhost$") & ~odd & F.when(dotted, valid & ~forbidden).otherwise(True)
+    host_ok = F.when(place.startswith("["), (six != "") & ~local).otherwise((name != "") & named)
+    return F.coalesce((place != "") & ~F.contains(place, F.lit("@")) & host_ok, F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -63,11 +63,23 @@ def url_parts(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.host(F.col("url")).alias("host"), T.url_path(F.col("url")).alias("path"))
 
 
-@query("WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '/a/b' WHEN 1 THEN url WHEN 2 THEN 'https://sub.' || regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) || '/x' ELSE 'https://elsewhere.test/' END AS href FROM pages) SELECT page_id, page_id % 4 <> 3 AS same FROM p")
+#: Links from a page at https://shop.test/a and whether they stay on it.
+ORIGINS = [("/a/b", True), ("b?c=1", True), ("https://shop.test/x", True), ("https://sub.shop.test/", True), ("https://myshop.test/", False), ("https://elsewhere.test/", False), ("//elsewhere.test/", False), ("javascript:alert(1)", False), ("https:///x", False), ("mailto:a@shop.test", False)]
+
+
+def _cases(t: Tables, cases: list[tuple[str, bool]]) -> Column:
+    """The case of each page, by its id."""
+    return F.get(F.array(*[F.lit(c) for c, _ in cases]), (F.col("page_id") % len(cases)).cast("int"))
+
+
+def _expected(cases: list[tuple[str, bool]]) -> str:
+    return f"page_id % {len(cases)} IN ({', '.join(str(i) for i, (_, ok) in enumerate(cases) if ok)})"
+
+
+@query(f"SELECT page_id, {_expected(ORIGINS)} AS same, false AS without_base FROM pages")
 def url_same_origin(t: Tables) -> DataFrame:
-    k = F.col("page_id") % 4
-    href = F.when(k == 0, "/a/b").when(k == 1, F.col("url")).when(k == 2, F.concat(F.lit("https://sub."), T.host(F.col("url")), F.lit("/x"))).otherwise("https://elsewhere.test/")
-    return t.pages.select("page_id", T.same_origin(href, F.col("url")).alias("same"))
+    absolute = F.lit("https:///y")
+    return t.pages.select("page_id", T.same_origin(_cases(t, ORIGINS), F.lit("https://shop.test/a")).alias("same"), T.same_origin(absolute, F.lit("no address")).alias("without_base"))
 
 
 @query("SELECT page_id FROM pages WHERE NOT regexp_matches(url, '(logout|signout|delete|\\.pdf|[13579]$)')")
@@ -75,9 +87,19 @@ def regex_deny(t: Tables) -> DataFrame:
     return t.pages.where(~F.col("url").rlike(r"(logout|signout|delete|\.pdf|[13579]$)")).select("page_id")
 
 
-@query("SELECT page_id, regexp_matches(url, '^https?://[^/@]+') AND NOT regexp_matches(url, '^[a-z]+://(localhost|127\\.|10\\.|192\\.168\\.)') AS allowed FROM pages")
+#: Addresses and whether a crawler may fetch them.
+FETCHES = [
+    ("https://example.org/a", True), ("http://93.184.216.34:8080/", True), ("http://172.15.0.1/", True), ("http://172.32.0.1/", True), ("http://[2606:2800:220:1::1]/", True),
+    ("ftp://example.org/", False), ("http://user:pw@example.org/", False), ("http:///x", False), ("http://localhost/", False), ("http://a.localhost:80/", False),
+    ("http://127.0.0.1/", False), ("http://127.9.9.9/", False), ("http://10.1.2.3/", False), ("http://172.16.0.1/", False), ("http://172.31.255.255/", False), ("http://192.168.1.1/", False),
+    ("http://169.254.169.254/latest", False), ("http://100.100.100.200/", False), ("http://0.0.0.0/", False), ("http://224.0.0.1/", False), ("http://[::1]/", False), ("http://[::]/", False),
+    ("http://[fe80::1]/", False), ("http://[fd00::1]/", False), ("http://[::ffff:127.0.0.1]/", False), ("http://2130706433/", False), ("http://0x7f.0.0.1/", False), ("file:///etc/passwd", False), ("http://300.1.1.1/", False),
+]
+
+
+@query(f"SELECT page_id, {_expected(FETCHES)} AS allowed FROM pages")
 def url_guard(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", (F.col("url").rlike("^https?://[^/@]+") & ~F.col("url").rlike(r"^[a-z]+://(localhost|127\.|10\.|192\.168\.)")).alias("allowed"))
+    return t.pages.select("page_id", T.url_allowed(_cases(t, FETCHES)).alias("allowed"))
 
 
 @query("SELECT page_id, length(regexp_replace(html, '<script', '<!-- script', 'gi')) AS safe_length, length(regexp_replace(html, '<[^>]*>', '', 'g')) AS text_length FROM pages")
