@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def assign_clusters(df: DataFrame, rules: Mapping[str, Mapping[str, str]], subject: str, least: int = 20) -> DataFrame:
@@ -78,26 +79,22 @@ def bootstrap_mean(df: DataFrame, keys: Sequence[str], row: str, value: str, rep
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n")).join(bounds, list(keys))
 
 
-def permutation_p(df: DataFrame, row: str, x: str, y: str, permutations: int) -> DataFrame:
-    """r of x and y, and the share of permutations of y at or above it: (hits + 1) / (permutations + 1).
+def permutation_p(df: DataFrame, row: str, x: str, y: str, permutations: int, site: str | None = None) -> DataFrame:
+    """r of x and y, and the share of permutations of y (within sites, where one is named) at or above it: (hits + 1) / (permutations + 1).
 
-    Every permutation is one task's work on the two columns, so it suits cohorts, not event tables.
+    A permutation is the order of rows by a hash of its number and the row: places in that order meet the places in the order
+    of rows. Nothing is gathered: a window holds a site's rows of one permutation, a join has as many rows as all together.
     """
-    spark = df.sparkSession
-    data = df.select(row, x, y).orderBy(row).toPandas()
-    if len(data) > 1_000_000:
-        raise ValueError("permutation_p takes a million rows at most")
-    shared = spark.sparkContext.broadcast((data[x].to_numpy(np.float64), data[y].to_numpy(np.float64)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, b = shared.value
-        for batch in batches:
-            out = [np.corrcoef(a, np.random.default_rng(int(i)).permutation(b) if i else b)[0, 1] for i in batch["id"]]
-            yield pd.DataFrame({"id": batch["id"], "r": out})
-
-    r = spark.range(permutations + 1).mapInPandas(run, "id long, r double")
-    seen = r.agg(F.max(F.when(F.col("id") == 0, F.col("r"))).alias("r"), F.array_agg(F.when(F.col("id") > 0, F.col("r"))).alias("__null"))
-    return seen.select("r", ((F.size(F.filter("__null", lambda v: v >= F.col("r"))) + 1) / (permutations + 1)).alias("p"))
+    own = F.col(site) if site else F.lit(0)
+    place = lambda *by: F.row_number().over(W.partitionBy("__site", "__p").orderBy(*by))
+    rows = df.select(F.col(row).alias("__row"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), own.alias("__site"))
+    rows = rows.withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
+    here = rows.select("__site", "__p", "__x", place("__row").alias("__k"))
+    there = rows.select("__site", "__p", "__y", place(F.when(F.col("__p") > 0, F.md5(F.concat_ws(":", "__p", "__row").cast("binary"))), "__row").alias("__k"))
+    r = here.join(there, ["__site", "__p", "__k"]).groupBy("__p").agg(F.corr("__x", "__y").alias("r"))
+    first = r.where("__p = 0").select(F.col("r").alias("__r"))
+    hits = F.sum(F.when(F.col("r") >= F.col("__r") - 1e-9, 1).otherwise(0))
+    return r.where("__p > 0").join(F.broadcast(first)).groupBy(F.col("__r").alias("r")).agg(((hits + 1) / (permutations + 1)).alias("p"))
 
 
 def ridge_group_folds(df: DataFrame, group: str, features: Sequence[str], target: str, alpha: float, folds: int) -> DataFrame:

@@ -45,11 +45,31 @@ def bootstrap_ci(t: Tables) -> DataFrame:
     return C.bootstrap_mean(t.customer.select("c_nationkey", "c_custkey", "c_acctbal"), ["c_nationkey"], "c_custkey", "c_acctbal", 200).select("c_nationkey", "n", r6("mean", "mean"), r6("low", "low"), r6("high", "high"), "replicates")
 
 
-@query(None)
+def _permuted(site: str) -> str:
+    """SQL of r and p by the order of md5 hashes, within a site."""
+    return f"""
+WITH rows AS (SELECT s_suppkey AS k, s_acctbal AS x, CAST(s_nationkey AS DOUBLE) AS y, {site} AS site FROM supplier),
+     p AS (SELECT i, rows.* FROM rows, range(200) t(i)),
+     a AS (SELECT i, site, x, row_number() OVER (PARTITION BY i, site ORDER BY k) AS n FROM p),
+     b AS (SELECT i, site, y, row_number() OVER (PARTITION BY i, site ORDER BY CASE WHEN i > 0 THEN md5(i || ':' || k) END, k) AS n FROM p),
+     r AS (SELECT i, corr(x, y) AS r FROM a JOIN b USING (i, site, n) GROUP BY i)
+SELECT round((SELECT r FROM r WHERE i = 0), 6) AS r,
+       round((count(*) FILTER (i > 0 AND r >= (SELECT r FROM r WHERE i = 0) - 1e-9) + 1) / 200.0, 6) AS p
+FROM r
+"""
+
+
+@query(_permuted("0"))
 def permutation_p(t: Tables) -> DataFrame:
     return C.permutation_p(t.supplier, "s_suppkey", "s_acctbal", "s_nationkey", 199).select(r6("r", "r"), r6("p", "p"))
 
 
+@query(_permuted("s_suppkey % 4"))
+def permutation_within_sites(t: Tables) -> DataFrame:
+    rows = t.supplier.withColumn("site", F.col("s_suppkey") % 4)
+    return C.permutation_p(rows, "s_suppkey", "s_acctbal", "s_nationkey", 199, "site").select(r6("r", "r"), r6("p", "p"))
+
+
 @query("WITH l AS (SELECT c_nationkey, c_mktsegment, count(*) AS n, sum(c_acctbal) AS s, sum(c_acctbal * c_acctbal) AS q FROM customer GROUP BY ALL) SELECT c_nationkey, CAST(sum(n) AS BIGINT) AS n, round((sum(s * s / n) - sum(s) ** 2 / sum(n)) / nullif(sum(q) - sum(s) ** 2 / sum(n), 0), 6) AS r2 FROM l GROUP BY c_nationkey")
 def r2_one_factor(t: Tables) -> DataFrame:
     return C.one_factor_r2(t.customer, "c_mktsegment", "c_acctbal", ["c_nationkey"]).select("c_nationkey", "n", r6("r2", "r2"))
