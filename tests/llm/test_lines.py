@@ -3,31 +3,33 @@ from __future__ import annotations
 import hashlib
 import random
 
-import numpy as np
 import pytest
 
 from tidewatch.llm import lines as M
 
 
-def brute(rows, cfg=M.LineConfig()):
-    """Texts without the runs of lines that stood before, every run compared."""
-    seen, gone = set(), {}
+def brute(rows, least=M.LineConfig().run_words):
+    """Texts without the longest common runs of lines that have enough words and stood before: from every two equal lines on
+    whose lines before differ, both go on while they agree."""
+    flat, keys, gone = [], [], set()
     for d, text in sorted(rows):
-        lines = M.cut_lines(text)
-        words = [len(x.split()) for x in lines]
-        at = np.concatenate(([0], np.cumsum([len(x) for x in lines]))).astype(int)
-        for i in range(len(lines)):
-            n, j = 0, i
-            while j < len(lines) and n < cfg.run_words:
-                n += words[j]
-                j += 1
-            if n < cfg.run_words:
-                break
-            key = "\0".join(" ".join(x.split()) for x in lines[i:j])
-            if key in seen:
-                gone.setdefault(d, set()).update(range(at[i], at[j]))
-            seen.add(key)
-    return {d: "".join(c for k, c in enumerate(t) if k not in gone.get(d, ())) for d, t in rows}
+        for i, line in enumerate(M.cut_lines(text or "")):
+            flat.append((d, i, line))
+            keys.append(tuple(line.split()))
+    same = lambda p, q: q < len(flat) and keys[p] == keys[q]
+    goes_on = lambda p, q: same(p, q) and flat[p][0] == flat[p - 1][0] and flat[q][0] == flat[q - 1][0]
+    places = {}
+    for q, key in enumerate(keys):
+        for p in places.get(key, ()):
+            if p and flat[p - 1][0] == flat[p][0] and flat[q - 1][0] == flat[q][0] and keys[p - 1] == keys[q - 1]:
+                continue
+            n = 1
+            while goes_on(p + n, q + n):
+                n += 1
+            if sum(len(keys[q + k]) for k in range(n)) >= least:
+                gone.update(flat[q + k][:2] for k in range(n))
+        places.setdefault(key, []).append(q)
+    return {d: "".join(line for i, line in enumerate(M.cut_lines(text or "")) if (d, i) not in gone) for d, text in rows}
 
 
 @pytest.mark.parametrize("text", ["", "a", "a. b\nc.\n\nd", "x.y z!? w\n", "  \n . ", "3.14 is ok. Yes!\r\nno", "é. 😀.\n"])
@@ -95,3 +97,12 @@ def test_whole_common_runs_go(spark):
     got = dict(M.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text").collect())
     assert got[2] == line("g", 4) + line("h", 40) and got[4] == "" and got[6] == rows[5][1]
     assert got == longest_runs(rows)
+    assert got == brute(rows)
+
+
+def test_very_long_texts(spark):
+    line = "word " * 40 + ". "
+    texts = [line * 20_000, "x" * 2_000_000, " " * 2_000_000, "a\n" * 300_000]
+    rows = M.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    by = {r["doc_id"]: r["text"] for r in rows}
+    assert by[0] == line and by[1] == texts[1] and by[2] == texts[2] and len(by[3]) < 200

@@ -1,9 +1,8 @@
 from __future__ import annotations
 
 import corpus_pipeline as C
-import numpy as np
 
-from . import test_lines, test_packing, test_pii, test_quality, test_simhash
+from . import test_jaccard, test_lines, test_packing, test_pii, test_quality
 
 
 def test_stages_against_brute_force(spark, small, documents):
@@ -26,9 +25,7 @@ def test_stages_against_brute_force(spark, small, documents):
     assert set(after) == good and all(before[d] == t for d, t in after.items())
     assert text(lines) == test_lines.brute(list(after.items()))
     cut = text(lines)
-    ids = sorted(cut)
-    prints = np.array([test_simhash.brute_fingerprint(cut[d]) for d in ids], np.uint64)
-    assert set(text(near)) == {min(ids[i] for i in g) for g in test_simhash.brute_groups(prints)}
+    assert set(text(near)) == test_jaccard.brute(list(cut.items()))
     clean = text(pii)
     assert set(clean) == set(text(near))
     assert not any(test_pii.brute(t) for t in clean.values())
