@@ -36,11 +36,8 @@ def clarity(word_count: Column, sentence: Column) -> Column:
 
 def urgency(text: Column) -> Column:
     """16 points for each verb or term that the text holds anywhere, 100 at most."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    hits = F.lit(0)
-    for term in CTA_VERBS + URGENCY_TERMS:
-        hits = hits + low.contains(term).cast("int")
-    return F.least(F.lit(100.0), hits * 16.0)
+    hits = lambda low: sum((low.contains(term).cast("int") for term in CTA_VERBS + URGENCY_TERMS), F.lit(0))
+    return F.least(F.lit(100.0), once(F.lower(F.coalesce(text, F.lit(""))), hits) * 16.0)
 
 
 def tokens(text: Column) -> Column:

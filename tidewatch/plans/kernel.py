@@ -211,9 +211,9 @@ def sigmoid_proj(t: Tables) -> DataFrame:
     return t.traces().select("event_id", r6(S.sigmoid(0.8 * F.col("value") / 50 - 1), "p"))
 
 
-@query(f"WITH {ACT}, x AS (SELECT *, exp(value - max(value) OVER w) AS p FROM act WHERE vertex < 8 WINDOW w AS (PARTITION BY session_id, t_idx)) SELECT session_id, t_idx, vertex, round(p / sum(p) OVER (PARTITION BY session_id, t_idx), 6) AS p FROM x")
+@query(f"WITH {ACT}, x AS (SELECT *, exp(value - max(value) OVER w) AS p FROM act WINDOW w AS (PARTITION BY session_id, t_idx)) SELECT session_id, t_idx, vertex, round(p / sum(p) OVER (PARTITION BY session_id, t_idx), 6) AS p FROM x")
 def softmax_rows(t: Tables) -> DataFrame:
-    rows = t.frames().select("session_id", "t_idx", F.posexplode(S.softmax(F.slice("vec", 1, 8))).alias("v", "p"))
+    rows = t.frames().select("session_id", "t_idx", F.posexplode(S.softmax(F.col("vec"))).alias("v", "p"))
     return rows.select("session_id", "t_idx", F.col("v").cast("long").alias("vertex"), r6("p", "p"))
 
 
@@ -249,10 +249,10 @@ def dedupe_mean(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("runs"), F.min("o_orderpriority").alias("priority"), r6(F.avg("o_totalprice"), "mean_price"))
 
 
-@query(f"WITH {ACT} SELECT session_id, t_idx, CASE WHEN vertex % 8 < 2 THEN 'joy' WHEN vertex % 8 < 5 THEN 'fear' ELSE 'calm' END AS product, round(max(greatest(0, least(1, value))), 6) AS score FROM act WHERE vertex < 34 GROUP BY ALL")
+@query(f"WITH {ACT} SELECT session_id, t_idx, CASE WHEN vertex % 8 < 2 THEN 'joy' WHEN vertex % 8 < 5 THEN 'fear' ELSE 'calm' END AS product, round(max(greatest(0, least(1, value))), 6) AS score FROM act GROUP BY ALL")
 def map_max_rollup(t: Tables) -> DataFrame:
-    groups = t.spark.createDataFrame([(v, "joy" if v % 8 < 2 else "fear" if v % 8 < 5 else "calm") for v in range(34)], "vertex long, product string")
-    rows = t.activation().join(F.broadcast(groups), "vertex")
+    groups = t.spark.createDataFrame([(v, "joy" if v < 2 else "fear" if v < 5 else "calm") for v in range(8)], "source long, product string")
+    rows = t.activation().withColumn("source", F.col("vertex") % 8).join(F.broadcast(groups), "source")
     return rows.groupBy("session_id", "t_idx", "product").agg(r6(F.max(S.clip(F.col("value"), 0, 1)), "score"))
 
 

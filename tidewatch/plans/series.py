@@ -179,10 +179,11 @@ def lag_equal_flag(t: Tables) -> DataFrame:
     return t.traces().select("event_id", F.coalesce((x == F.lag(x).over(by_session("t_idx"))).cast("int"), F.lit(0)).alias("stopped"))
 
 
-@query(f"WITH {EV}, g AS (SELECT session_id, unnest(range(0, 80)) AS t_idx FROM (SELECT DISTINCT session_id FROM ev)), j AS (SELECT g.*, CASE WHEN ev.t_idx % 3 = 0 THEN ev.value END AS v FROM g LEFT JOIN ev USING (session_id, t_idx)) SELECT session_id, t_idx, last_value(v IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY t_idx ROWS UNBOUNDED PRECEDING) AS value FROM j")
+@query(f"WITH {EV}, g AS (SELECT session_id, unnest(range(0, last + 3)) AS t_idx FROM (SELECT session_id, max(t_idx) AS last FROM ev GROUP BY session_id)), j AS (SELECT g.*, CASE WHEN ev.t_idx % 3 = 0 THEN ev.value END AS v FROM g LEFT JOIN ev USING (session_id, t_idx)) SELECT session_id, t_idx, last_value(v IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY t_idx ROWS UNBOUNDED PRECEDING) AS value FROM j")
 def forward_fill(t: Tables) -> DataFrame:
     e = t.traces()
-    frames = e.select("session_id").distinct().select("session_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(79).cast("long"))).alias("t_idx"))
+    last = e.groupBy("session_id").agg(F.max("t_idx").cast("long").alias("last"))
+    frames = last.select("session_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last") + 2)).alias("t_idx"))
     return ts.forward_fill(e.where("t_idx % 3 = 0"), ["session_id"], "t_idx", frames, ["value"])
 
 
@@ -241,12 +242,13 @@ def asof_nearest(t: Tables) -> DataFrame:
     return ts.nearest(left, right, ["session_id"], "t_idx", "snap_t", "snap_t", ["snapshot", "snap_t"]).select("event_id", "snapshot", "snap_t")
 
 
-@query(f"WITH {EV} SELECT event_id, 'block' || CAST(floor((t_idx - 3) / 10.0) AS BIGINT) AS label FROM ev WHERE t_idx >= 3 AND (t_idx - 3) % 10 >= 2 AND (t_idx - 3) % 10 < 8 AND t_idx < 63")
+@query(f"WITH {EV} SELECT event_id, 'block' || CAST(floor((t_idx - 3) / 10.0) AS BIGINT) AS label FROM ev WHERE t_idx >= 3 AND (t_idx - 3) % 10 >= 2 AND (t_idx - 3) % 10 < 8")
 def interval_label_join(t: Tables) -> DataFrame:
     """Lagged times that fall within blocks less their transitions; the block number is an equi-join key."""
-    blocks = t.spark.range(6).select(F.col("id").alias("block"), (F.col("id") * 10 + 3 + 2).alias("low"), (F.col("id") * 10 + 3 + 8).alias("high"), F.concat(F.lit("block"), F.col("id").cast("string")).alias("label"))
     e = t.traces().withColumn("block", F.floor((F.col("t_idx") - 3) / 10.0))
-    return e.join(F.broadcast(blocks), "block").where("t_idx >= low AND t_idx < high").select("event_id", "label")
+    start = F.col("block") * 10 + 3
+    blocks = e.where("block >= 0").select("block").distinct().select("block", (start + 2).alias("low"), (start + 8).alias("high"), F.concat(F.lit("block"), F.col("block").cast("string")).alias("label"))
+    return e.join(blocks, "block").where("t_idx >= low AND t_idx < high").select("event_id", "label")
 
 
 @query(f"WITH {EV}, c AS (SELECT channel, t_idx, avg(value) AS m FROM ev GROUP BY ALL), p AS (SELECT a.channel AS a, b.channel AS b, a.t_idx, row_number() OVER (PARTITION BY a.channel, b.channel ORDER BY a.t_idx) AS i, abs(a.m - b.m) >= 8 AS far FROM c a JOIN c b ON a.t_idx = b.t_idx AND a.channel < b.channel), g AS (SELECT *, i - row_number() OVER (PARTITION BY a, b ORDER BY t_idx) AS g FROM p WHERE far) SELECT a, b, min(t_idx) AS t_start, max(t_idx) AS t_end, count(*) AS n_frames FROM g GROUP BY a, b, g HAVING count(*) >= 2")
