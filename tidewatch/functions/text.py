@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Verbs and terms of a call to action; words that say nothing of a goal.
-CTA_VERBS = ("book", "buy", "claim", "contact", "discover", "download", "explore", "get", "join", "learn", "request", "schedule", "see", "sign", "start", "subscribe", "try", "unlock", "watch")
-URGENCY_TERMS = ("cancel anytime", "exclusive", "free", "guarantee", "instantly", "limited", "no credit card", "now", "risk-free", "today")
+CTA_VERBS = ("get", "start", "try", "buy", "sign", "subscribe", "join", "download", "book", "request", "contact", "learn", "discover", "see", "watch", "explore", "schedule", "claim", "unlock")
+URGENCY_TERMS = ("now", "today", "free", "limited", "exclusive", "instantly", "guarantee", "risk-free", "no credit card", "cancel anytime")
 STOP_WORDS = ("a", "an", "the", "and", "or", "for", "to", "of", "in", "on", "with")
 
 

@@ -19,6 +19,7 @@ class Study:
 
     name: str
     prefix: str
+    # The headers under which studies publish these fields.
     subject: Sequence[str] = ("participant_id", "participant", "Subject", "Subject ID", "subject", "ID")
     age: Sequence[str] = ("age", "Age", "Age_in_Yrs", "age (5-year bins)")
     sex: Sequence[str] = ("sex", "Sex", "Gender", "gender")
@@ -28,6 +29,7 @@ class Study:
 
 def sex(c: Column) -> Column:
     s = F.lower(F.trim(c.cast("string")))
+    # The codes of published tables.
     return F.when(s.isin("f", "female", "2", "2.0"), "female").when(s.isin("m", "male", "1", "1.0"), "male").otherwise("unknown")
 
 

@@ -49,7 +49,8 @@ def validate_vertices(table: DataFrame) -> DataFrame:
 
 def read_bands(spark: SparkSession, path: str) -> DataFrame:
     """norm_start, norm_end, label, interpretation, sort_order (the row's place in the file where missing)."""
-    raw = spark.read.option("header", True).csv(path).withColumn("__i", F.monotonically_increasing_id())
+    # A table of a few rows: in one partition its rows are numbered as they stand in the file.
+    raw = spark.read.option("header", True).csv(path).coalesce(1).withColumn("__i", F.monotonically_increasing_id())
     order = F.col("sort_order").try_cast("long") if "sort_order" in raw.columns else F.lit(None).cast("long")
     return raw.select(F.col("norm_start").cast("double").alias("norm_start"), F.col("norm_end").cast("double").alias("norm_end"), "label", "interpretation", F.coalesce(order, F.col("__i")).alias("sort_order"))
 
