@@ -33,8 +33,8 @@ SIMILARITY = 0.8
 #: Rounds in which members of a prefix hash meet only its leader; the result is the same without them.
 STAR_ROUNDS = 1
 #: Of so many sets one is read for common hashes; those that over COMMON of them have are common, MOST at most.
-SAMPLE = 8
-COMMON = 8
+SAMPLE = 32
+COMMON = 4
 MOST = 100_000
 #: Against rounding: products with the threshold may be this much off.
 _SLACK = 1e-9
@@ -52,27 +52,37 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
 
 
 def _sets(shingle: int):
+    """doc_id, th, sid (a hash of the set) and grams of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(x or b"", shingle) for x in batch["text"].to_pylist()]
-            ids = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in found), np.uint64, len(found)).view(np.int64)
-            prints = np.fromiter((fingerprint_of(x.view(np.uint64)) for x in found), np.uint64, len(found)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(ids), pa.array(prints), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "th", "sid", "fp", "grams"])
+            ids = np.fromiter(map(_sid, found), np.uint64, len(found)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found, pa.list_(pa.int64()))], names=["sid", "grams"])
 
     return run
 
 
-def _prefixes(shared: object, similarity: float):
+def _sid(grams: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(grams.tobytes())
+
+
+def _prefixes(shared: object, shingle: int, similarity: float):
+    """Of each text the hash of its set, its fingerprint, the set's size and its prefix: common hashes come last."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
         for batch in batches:
-            sizes, out = [], []
-            for grams in batch["grams"]:
-                g = grams.values.to_numpy()
+            ids, prints, sizes, out = [], [], [], []
+            for text in batch["text"].to_pylist():
+                g = shingle_set(text or b"", shingle)
                 last = np.isin(g, common)
+                ids.append(_sid(g))
+                prints.append(fingerprint_of(g.view(np.uint64)))
                 sizes.append(len(g))
-                out.append(np.concatenate((g[~last], g[last]))[: len(g) - math.ceil(len(g) * similarity - _SLACK) + 1])
-            yield pa.RecordBatch.from_arrays([batch["sid"], pa.array(sizes, pa.int32()), pa.array(out, pa.list_(pa.int64()))], names=["sid", "size", "prefix"])
+                out.append(np.concatenate((g[~last], g[last]))[: len(g) - math.ceil(len(g) * similarity - _SLACK) + 1] if len(g) else g)
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (ids, prints)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], *longs, pa.array(sizes, pa.int32()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "th", "sid", "fp", "size", "prefix"])
 
     return run
 
@@ -82,11 +92,9 @@ def _fits(similarity: float, a: Column, b: Column) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * similarity - _SLACK
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that are similar enough. Only the sets of sids that stand in a pair are read on."""
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are similar enough; sets that are not there are in no such pair."""
     pairs = materialize(pairs.select("a", "b").distinct(), "candidates")
-    sids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    sets = materialize(rows.join(sids, "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams")), "sets")
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs"))
     left = materialize(counts.join(sets, F.col("a") == F.col("sid")).select("a", "pairs", F.col("grams").alias("left")), "left-sets")
     right = pairs.join(sets, F.col("b") == F.col("sid")).select("a", "b", F.col("grams").alias("right"))
@@ -97,24 +105,39 @@ def _verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame
 
 def _close(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of sids whose fingerprints are at most two bits apart: within a fingerprint, and between two, by their least sids."""
-    classes = materialize(rows.where(F.size("grams") > 0).groupBy("fp", "sid").agg(F.count(F.lit(1)).alias("n")).groupBy("fp").agg(F.min("sid").alias("least"), F.count(F.lit(1)).alias("n")), "print-classes")
+    sids = materialize(rows.where("size > 0").groupBy("fp", "sid").agg(F.count(F.lit(1)).alias("n")).drop("n"), "prints")
+    classes = materialize(sids.groupBy("fp").agg(F.min("sid").alias("least"), F.count(F.lit(1)).alias("n")), "print-classes")
     links = mih_links(classes.select("fp"))
     least = classes.select(F.col("fp").alias("f"), "least")
     across = links.join(least, F.col("a") == F.col("f")).select("b", F.col("least").alias("x")).join(least, F.col("b") == F.col("f")).select(F.col("x").alias("a"), F.col("least").alias("b"))
-    several = rows.select("fp", "sid").join(classes.where("n > 1").select("fp", "least"), "fp").where("sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b"))
+    several = sids.join(classes.where("n > 1").select("fp", "least"), "fp").where("sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b"))
     return across.union(several)
 
 
-def similar_roots(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root): the least id that each connected set reaches. rows: sid, fp and grams (distinct, ascending); a sid's rows are alike."""
-    some = rows.where(F.pmod(F.xxhash64("sid"), F.lit(SAMPLE)) == 0).select("sid", F.explode("grams").alias("key")).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    common = some.where(F.col("n") > COMMON).orderBy(F.desc("n"), "key").limit(MOST).select("key").toPandas()["key"].to_numpy(np.int64)
-    ordered = rows.where(F.size("grams") > 0).select("sid", "grams").mapInArrow(_prefixes(rows.sparkSession.sparkContext.broadcast(common), similarity), "sid bigint, size int, prefix array<bigint>")
-    ordered = materialize(ordered.groupBy("sid").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix")), "ordered")
-    prefix = ordered.select("sid", "size", F.explode("prefix").alias("key"))
+def _behind(size: Column, similarity: float) -> Column:
+    """Hashes of a set behind its prefix."""
+    return F.ceil(size * similarity - _SLACK) - 1
+
+
+def _needed(both: Column, similarity: float) -> Column:
+    """Hashes that two sets must share, by the sum of their sizes."""
+    return F.ceil(both * (similarity / (1 + similarity)) - _SLACK)
+
+
+def similar_roots(rows: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, root): the least sid that each connected set reaches. rows: what _prefixes gives; texts: doc_id, th and text of the same rows."""
+    once = rows.where("size > 0").groupBy("sid").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    prefix = materialize(once, "ordered").select("sid", "size", F.explode("prefix").alias("key"))
     shared = prefix.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     keys = materialize(join_hot(prefix, materialize(shared, "shared"), "key", "n"), "prefixes")
-    links = _verified(_close(rows), rows, similarity)
+    # Sets that share too few hashes of their prefixes with all others together are similar to none. The sets of the rest are read.
+    least = _needed(F.col("size") + F.ceil(F.col("size") * similarity - _SLACK), similarity)
+    most = F.floor(F.col("size") / similarity + _SLACK)
+    able_sids = keys.groupBy("sid").agg(F.count(F.lit(1)).alias("c"), F.first("size").alias("size")).where(F.col("c") >= least - _behind(most, similarity)).select("sid")
+    chosen = rows.join(able_sids, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"))
+    found = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left_semi").select("text")
+    sets = materialize(found.mapInArrow(_sets(shingle), "sid bigint, grams array<bigint>").groupBy("sid").agg(F.first("grams").alias("grams")), "sets")
+    links = _verified(_close(rows), sets, similarity)
     nodes = None
 
     def connect() -> DataFrame:
@@ -129,21 +152,20 @@ def similar_roots(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     def able(met: DataFrame) -> DataFrame:
         """Of pairs, one row a hash in both prefixes, those that can be similar enough: the hashes of the prefix that ends first
         and lie in the other set lie in its prefix, so beyond these only what is behind a prefix can be shared."""
-        behind = lambda size: F.ceil(size * similarity - _SLACK) - 1
-        need = F.ceil((F.col("m") + F.col("n")) * (similarity / (1 + similarity)) - _SLACK)
+        need = _needed(F.col("m") + F.col("n"), similarity)
         counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("m").alias("m"), F.first("n").alias("n"))
-        return counted.where(_fits(similarity, F.col("m"), F.col("n")) & (F.col("c") >= need - F.greatest(behind(F.col("m")), behind(F.col("n")))))
+        return counted.where(_fits(similarity, F.col("m"), F.col("n")) & (F.col("c") >= need - _behind(F.greatest("m", "n"), similarity)))
 
     roots = connect()
     for r in range(STAR_ROUNDS):
         lead = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("sid", F.lit(r)).alias("h"), "sid", "size", "root")).alias("l"))
         met = join_hot(nodes, materialize(lead, "leaders"), "key", "n").where(F.col("root") != F.col("l.root"))
-        found = _verified(able(met.select(F.col("l.sid").alias("a"), F.col("sid").alias("b"), F.col("l.size").alias("m"), F.col("size").alias("n"))), rows, similarity)
+        found = _verified(able(met.select(F.col("l.sid").alias("a"), F.col("sid").alias("b"), F.col("l.size").alias("m"), F.col("size").alias("n"))), sets, similarity)
         links = links.union(found)
         roots = connect()
     one, two = (nodes.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("sid", "size", "root")]) for i in (1, 2))
     met = one.join(two, "key").where((F.col("sid1") < F.col("sid2")) & (F.col("root1") != F.col("root2")) & _fits(similarity, F.col("size1"), F.col("size2")))
-    found = _verified(able(met.select(F.col("sid1").alias("a"), F.col("sid2").alias("b"), F.col("size1").alias("m"), F.col("size2").alias("n"))), rows, similarity)
+    found = _verified(able(met.select(F.col("sid1").alias("a"), F.col("sid2").alias("b"), F.col("size1").alias("m"), F.col("size2").alias("n"))), sets, similarity)
     links = links.union(found)
     return materialize(components(links), "roots")
 
@@ -158,9 +180,13 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
         raise ValueError("similarity must be above 0 and at most 1")
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    rows = materialize(texts.mapInArrow(_sets(shingle), f"doc_id {kind}, th bigint, sid bigint, fp bigint, grams array<bigint>"), "shingles")
+    some = texts.where(F.pmod(F.xxhash64("th"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_sets(shingle), "sid bigint, grams array<bigint>")
+    some = some.select(F.explode("grams").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    common = some.where(F.col("n") > COMMON).orderBy(F.desc("n"), "key").limit(MOST).select("key").toPandas()["key"].to_numpy(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+    rows = materialize(texts.mapInArrow(_prefixes(shared, shingle, similarity), f"doc_id {kind}, th bigint, sid bigint, fp bigint, size int, prefix array<bigint>"), "prefixes-of-rows")
     classes = rows.groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
-    roots = similar_roots(rows.select("sid", "fp", "grams"), similarity)
+    roots = similar_roots(rows, texts, shingle, similarity)
     named = classes.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "n", F.coalesce("root", "sid").alias("group"))
     return join_hot(rows.select("doc_id", "th", "sid"), materialize(named, "named"), "sid", "n").select("doc_id", "th", "group")
 
