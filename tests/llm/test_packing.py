@@ -40,6 +40,26 @@ def test_query(spark, small, documents):
     assert check_packing(M.op10_packing(spark, small).collect(), documents.select("doc_id", "text").collect()) < 0.02
 
 
+def test_program_ends_beside_a_session(spark):
+    """128 widths, so that a threaded product would be large enough to hang; the suite's limit ends the test then."""
+    assert spark.range(1000).count() == 1000
+    rng = np.random.default_rng(5)
+    widths, demand = np.arange(1, 129), rng.integers(1, 500, 128)
+    patterns, times = M.cutting_stock(widths, demand, 256, 400)
+    assert ((patterns * times[:, None]).sum(axis=0) == demand).all()
+    assert (patterns * widths).sum(axis=1).max() <= 256
+    assert times.sum() <= 1.02 * (widths * demand).sum() / 256 + 1
+
+
+def test_first_basis_is_inverted():
+    rng = np.random.default_rng(6)
+    widths = np.unique(rng.integers(1, 256, 60))
+    demand = rng.integers(1, 90, len(widths))
+    columns, _, made = M._first_columns(widths, demand, 256)
+    inverse = M._inverse(columns, made)
+    assert np.allclose((columns[:, :, None] * inverse[None]).sum(axis=1), np.eye(len(widths)))
+
+
 def test_special_token_and_ids(spark):
     docs = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "plain"), (3, None)], "doc_id long, text string")
     rows = M.pack_documents(docs, with_ids=True).collect()

@@ -170,15 +170,16 @@ def _knapsack(widths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[fl
     return float(best[capacity]), pattern
 
 
-def _first_columns(widths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+def _first_columns(widths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A basis to begin with: patterns filled with the widest items left, each used until one of its widths is met.
 
-    Column c is the pattern that ends width c, so that in the order of their making the columns are triangular.
+    Column c is the pattern that ends width c, so that in the order of their making, which is returned with them, the
+    columns are triangular.
     """
     columns, x = np.zeros((len(widths), len(widths)), np.int64), np.zeros(len(widths))
     left = demand.astype(np.float64)
     order = np.argsort(-widths, kind="stable").tolist()
-    open_ = set(order)
+    open_, made = set(order), []
     while open_:
         pattern, room = np.zeros(len(widths), np.int64), capacity
         for c in order:
@@ -190,7 +191,23 @@ def _first_columns(widths: np.ndarray, demand: np.ndarray, capacity: int) -> tup
         columns[:, c], x[c] = pattern, left[c] / pattern[c]
         left = np.maximum(left - x[c] * pattern, 0)
         open_.remove(c)
-    return columns, x
+        made.append(c)
+    return columns, x, np.array(made)
+
+
+def _inverse(columns: np.ndarray, made: np.ndarray) -> np.ndarray:
+    """The inverse of columns that are lower triangular in the order made, by forward substitution.
+
+    Products here and below are elementwise: BLAS takes threads for matrices of this size, and those wait forever in a
+    driver whose session runs.
+    """
+    lower = columns[np.ix_(made, made)].astype(np.float64)
+    rows = np.eye(len(made))
+    for i in range(len(made)):
+        rows[i] = (rows[i] - (lower[i, :i, None] * rows[:i]).sum(axis=0)) / lower[i, i]
+    inverse = np.empty_like(rows)
+    inverse[np.ix_(made, made)] = rows
+    return inverse
 
 
 def cutting_stock(widths: np.ndarray, demand: np.ndarray, capacity: int, max_columns: int, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
@@ -200,13 +217,13 @@ def cutting_stock(widths: np.ndarray, demand: np.ndarray, capacity: int, max_col
     m = len(widths)
     if not m:
         return np.zeros((0, 0), np.int64), np.zeros(0, np.int64)
-    columns, x = _first_columns(widths, demand, capacity)
-    inverse = np.linalg.inv(columns)
+    columns, x, made = _first_columns(widths, demand, capacity)
+    inverse = _inverse(columns, made)
     for _ in range(max_columns):
         value, pattern = _knapsack(widths, inverse.sum(axis=0), capacity)
         if value <= 1 + tolerance:
             break
-        d = inverse @ pattern
+        d = (inverse * pattern).sum(axis=1)
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
         r = int(np.argmin(ratio))
         step = ratio[r]
@@ -217,10 +234,10 @@ def cutting_stock(widths: np.ndarray, demand: np.ndarray, capacity: int, max_col
         inverse[others] -= np.outer(d[others], inverse[r])
         columns[:, r] = pattern
     times = np.floor(x + 1e-6).astype(np.int64)
-    while (over := columns @ times - demand).max() > 0:  # rounding noise
+    while (over := (columns * times).sum(axis=1) - demand).max() > 0:  # rounding noise
         c = int(np.argmax(over))
         times[np.flatnonzero((columns[c] > 0) & (times > 0))[0]] -= 1
-    left = demand - columns @ times
+    left = demand - (columns * times).sum(axis=1)
     rest: list[tuple[int, np.ndarray]] = []
     for c in np.argsort(-widths, kind="stable"):
         for _ in range(int(left[c])):
