@@ -14,6 +14,7 @@ from .merkle import op9_fingerprints
 from .packing import op10_packing
 from .pii import op6_pii
 from .quality import op3_quality
+from .runs import op11_runs
 from .sentencepiece import op5_sentencepiece
 from .sharding import op7_sharding
 from .simhash import op2_simhash
@@ -40,6 +41,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lines": op8_lines,
     "op9_fingerprints": op9_fingerprints,
     "op10_packing": op10_packing,
+    "op11_runs": op11_runs,
 }
 QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {
