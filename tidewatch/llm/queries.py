@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 from . import sql
+from .langid import op13_langid
 from .lines import op8_lines
 from .lm import op4_lm
 from .merkle import op9_fingerprints
@@ -42,6 +43,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_packing": op10_packing,
     "op11_runs": op11_runs,
+    "op13_langid": op13_langid,
 }
 QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {
