@@ -12,6 +12,7 @@ from .langid import op13_langid
 from .lines import op8_lines
 from .lm import op4_lm
 from .merkle import op9_fingerprints
+from .negatives import op12_negatives
 from .packing import op10_packing
 from .pii import op6_pii
 from .quality import op3_quality
@@ -43,10 +44,12 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_packing": op10_packing,
     "op11_runs": op11_runs,
+    "op12_negatives": op12_negatives,
     "op13_langid": op13_langid,
 }
 QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {
     "op3_quality": sql.OP3_QUALITY,
     "op7_sharding": sql.OP7_SHARDING,
+    "op12_negatives": sql.OP12_NEGATIVES,
 }

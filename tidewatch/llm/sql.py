@@ -60,3 +60,23 @@ SELECT d.doc_id, CAST(strlen(t) + 16 AS BIGINT) AS size, c.crc AS text_crc32, 'k
   row_number() OVER (PARTITION BY a.s ORDER BY CAST('0x' || substr(md5('slot:' || k), 1, 4) AS BIGINT) % 64, d.doc_id NULLS FIRST, strlen(t), c.crc) - 1 AS slot
 FROM d JOIN c USING (r) JOIN a USING (r) JOIN b USING (r)
 """
+
+#: All scores of all anchors; rows are told apart by their place in the table.
+OP12_NEGATIVES = """
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT min(r) AS a, vec_id, label, v FROM e WHERE vec_id % 50 = 0 GROUP BY vec_id, label, v),
+s AS (
+  SELECT a.a, a.vec_id AS anchor_id, e.r, e.vec_id, a.label = e.label AS same, CAST(list_inner_product(a.v, e.v) AS BIGINT) AS score
+  FROM a JOIN e ON len(a.v) = len(e.v)),
+p AS (
+  SELECT a, anchor_id, r AS p, vec_id AS positive_id, score AS positive_score FROM s
+  WHERE same AND vec_id IS DISTINCT FROM anchor_id QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id NULLS LAST) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.a, p.p ORDER BY s.score DESC, s.vec_id NULLS LAST)
+QUALIFY row_number() OVER w <= 3
+"""
