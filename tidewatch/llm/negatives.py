@@ -211,16 +211,20 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, cfg: NegativeConfig = Ne
     asked = materialize(anchors.distinct().mapInArrow(_anchors(cfg), "of string, dims int, a_ids binary, a_labels binary, a_vectors binary"), "anchors")
     n = max(1, min(cfg.stripes, file.count()))
     striped = file.withColumn("stripe", F.pmod(F.crc32(F.col("block").cast("binary")), F.lit(n)).cast("int")).repartition(n, "stripe")
-    everywhere = lambda x: x.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+    def met(blocks: DataFrame) -> DataFrame:
+        """The anchors' blocks, streamed, with each block of the file. Never by broadcast: Spark takes their size as that of one copy."""
+        return blocks.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(striped.hint("merge"), ["stripe", "dims"])
+
     of_anchor = W.partitionBy("of", "i").orderBy(F.desc("positive_score"), "positive_id")
-    found = striped.join(everywhere(asked), ["stripe", "dims"]).mapInArrow(_positives(cfg), "of string, i int, positive_id bigint, positive_score bigint")
+    found = met(asked).mapInArrow(_positives(cfg), "of string, i int, positive_id bigint, positive_score bigint")
     best = found.withColumn("place", F.row_number().over(of_anchor)).where(F.col("place") <= cfg.positives)
     best = best.groupBy("of").agg(F.collect_list(F.struct("i", "place", "positive_id", "positive_score")).alias("positives"))
     windows = materialize(asked.join(best, "of"), "windows")
     schema = "of string, i int, place int, anchor_id bigint, positive_id bigint, positive_score bigint, negative_id bigint, negative_score bigint"
-    met = striped.join(everywhere(windows), ["stripe", "dims"]).mapInArrow(_negatives(cfg), schema)
+    scored = met(windows).mapInArrow(_negatives(cfg), schema)
     in_window = W.partitionBy("of", "i", "place").orderBy(F.desc("negative_score"), "negative_id")
-    ranked = met.withColumn("rank", F.row_number().over(in_window)).where(F.col("rank") <= cfg.negatives)
+    ranked = scored.withColumn("rank", F.row_number().over(in_window)).where(F.col("rank") <= cfg.negatives)
     given = lambda c: F.when(F.col(c) != _NO_ID, F.col(c)).alias(c)
     return ranked.select("anchor_id", given("positive_id"), "rank", given("negative_id"), "positive_score", "negative_score")
 
