@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import scores as S
+from .ranges import exact_quantiles, with_position
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str) -> DataFrame:
@@ -17,9 +18,9 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, n
     return df.withColumn(name, n).where(F.col(name) <= k).withColumn(name, F.col(name).cast("long"))
 
 
-def global_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """Ranks over all rows; for reports of one row a session."""
-    return df.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("long"))
+def global_rank(df: DataFrame, order: Sequence[str | tuple[str, bool]], name: str) -> DataFrame:
+    """Ranks over all rows, from 1; (column, True) for descending, nulls first. No task sorts all of them."""
+    return with_position(df, [], order, name).withColumn(name, F.col(name) + 1)
 
 
 def rank_sections(df: DataFrame, keys: Sequence[str], section: str, mean: str) -> DataFrame:
@@ -41,7 +42,7 @@ def sample_sections(df: DataFrame, keys: Sequence[str], section: str, t: str, va
 
 def quartile_heads(df: DataFrame, value: str, order: str, n: int) -> DataFrame:
     """The first n rows of each quartile: bin, pick."""
-    cuts = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"))
+    cuts = exact_quantiles(df, [], value, (0.25, 0.5, 0.75), "__q")
     j = df.join(F.broadcast(cuts))  # a single row
     bin_ = F.size(F.filter("__q", lambda q: F.col(value) > q))
     return top_k(j.withColumn("bin", bin_), ["bin"], [F.asc(order)], n, "pick").drop("__q")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .ranges import exact_quantiles, null_safe, value_ranks
+
 #: Reducers by name; a new one is registered by assignment.
 REDUCERS: dict[str, Callable[[Column], Column]] = {
     "mean": F.avg,
@@ -39,15 +41,16 @@ def mean_of_means(df: DataFrame, keys: Sequence[str], inner: str, outer: str, va
     return parts.groupBy(*keys, outer).agg(F.avg("__v").alias(value))
 
 
-def norm_table(df: DataFrame, keys: Sequence[str], value: str, floor: float = 1e-8, exact: bool = True) -> DataFrame:
-    """mean, std (population, floored; floor for a single row), n_samples and quantiles by linear interpolation.
+def norm_table(df: DataFrame, keys: Sequence[str], value: str, floor: float = 1e-8, quantiles: bool = True) -> DataFrame:
+    """mean, std (population, floored; floor for a single row), n_samples and, if asked for, exact q05, q50 and q95.
 
-    Exact quantiles hold a group's distinct values in one task; exact=False takes sketches, for groups beyond memory.
+    A group may have any number of rows: quantiles are read off ranges of values.
     """
-    at = F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))
-    q = F.percentile(value, at) if exact else F.percentile_approx(value, at, F.lit(10_000))
-    out = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.greatest(F.stddev_pop(value), F.lit(floor)).alias("std"), F.count(value).alias("n_samples"), q.alias("__q"))
-    return out.select(*keys, "mean", "std", "n_samples", *[F.col("__q")[i].alias(n) for i, n in enumerate(("q05", "q50", "q95"))])
+    out = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.greatest(F.stddev_pop(value), F.lit(floor)).alias("std"), F.count(value).alias("n_samples"))
+    if not quantiles:
+        return out
+    met = null_safe(out, exact_quantiles(df, keys, value, (0.05, 0.5, 0.95), "__q"), keys, "left")
+    return met.select(*keys, "mean", "std", "n_samples", *[F.col("__q")[i].alias(n) for i, n in enumerate(("q05", "q50", "q95"))])
 
 
 def z_against(df: DataFrame, norms: DataFrame, key: str, value: str, floor: float = 1e-8, name: str = "z") -> DataFrame:
@@ -67,10 +70,11 @@ def session_z(df: DataFrame, keys: Sequence[str], value: str, least: float = 1e-
 
 
 def robust_stats(df: DataFrame, keys: Sequence[str], value: str, floor: float = 1e-6) -> DataFrame:
-    """Median and 1.4826 times the median absolute deviation, floored: two grouped passes."""
-    med = df.groupBy(*keys).agg(F.median(value).alias("median"))
-    away = df.join(med, list(keys)).groupBy(*keys).agg(F.first("median").alias("median"), F.median(F.abs(F.col(value) - F.col("median"))).alias("__mad"))
-    return away.select(*keys, "median", F.greatest(1.4826 * F.col("__mad"), F.lit(floor)).alias("scale"))
+    """Median and 1.4826 times the median absolute deviation, floored; groups may have any number of rows."""
+    med = exact_quantiles(df, keys, value, (0.5,), "__q").select(*keys, F.col("__q")[0].alias("median"))
+    away = df.join(med, list(keys)).select(*keys, "median", F.abs(F.col(value) - F.col("median")).alias("__d"))
+    mad = exact_quantiles(away, [*keys, "median"], "__d", (0.5,), "__q")
+    return mad.select(*keys, "median", F.greatest(1.4826 * F.col("__q")[0], F.lit(floor)).alias("scale"))
 
 
 def percentile_rank(keys: Sequence[str], value: str) -> Column:
@@ -86,12 +90,6 @@ def ecdf_against(df: DataFrame, reference: DataFrame, keys: Sequence[str], value
     return both.withColumn(name, below / F.nullif(F.sum("__ref").over(w), F.lit(0))).where("__ref = 0").drop("__ref")
 
 
-def average_rank(keys: Sequence[str], value: str) -> Column:
-    """Ranks with ties averaged."""
-    w = W.partitionBy(*keys)
-    return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(W.partitionBy(*keys, value)) - 1) / 2.0
-
-
 def guarded_corr(x: str, y: str, least: int = 2, eps: float = 1e-8, flat: float | None = 0.0) -> Column:
     """Pearson's r; null below `least` rows, `flat` where a side hardly varies."""
     thin = F.count(F.lit(1)) < least
@@ -100,7 +98,9 @@ def guarded_corr(x: str, y: str, least: int = 2, eps: float = 1e-8, flat: float
 
 
 def auc(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
-    """Area under the ROC curve by rank sums, per group."""
-    ranked = df.withColumn("__r", average_rank(keys, score))
-    pos, neg = F.sum(F.col(label).cast("double")), F.sum(1.0 - F.col(label))
-    return ranked.groupBy(*keys).agg(pos.alias("n_pos"), neg.alias("n_neg"), ((F.sum(F.when(F.col(label) == 1, F.col("__r"))) - pos * (pos + 1) / 2) / (F.nullif(pos, F.lit(0.0)) * F.nullif(neg, F.lit(0.0)))).alias("auc"))
+    """Area under the ROC curve by rank sums, per group: on the counts of values, ties averaged."""
+    positive = F.col(label).cast("double")
+    values = value_ranks(df, keys, score, sums={"__pos": F.sum(positive), "__neg": F.sum(1.0 - positive)})
+    pos, neg = F.sum("__pos"), F.sum("__neg")
+    ranks = F.sum(F.col("__pos") * (F.col("below") + (F.col("n") + 1) / 2.0))
+    return values.groupBy(*keys).agg(pos.alias("n_pos"), neg.alias("n_neg"), ((ranks - pos * (pos + 1) / 2) / (F.nullif(pos, F.lit(0.0)) * F.nullif(neg, F.lit(0.0)))).alias("auc"))

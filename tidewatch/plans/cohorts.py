@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from ..functions import scores as S
 from ..operators import cohorts as C
 from ..operators import stats
+from ..operators.ranges import with_average_rank, with_position
 from .base import EV, Tables, query
 from .kernel import NOV, r6
 from .series import pair
@@ -23,8 +24,8 @@ def cluster_assign(t: Tables) -> DataFrame:
 
 @query("WITH r AS (SELECT c_nationkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_nationkey, c_acctbal) - 1) / 2.0 AS a, rank() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 50) + (count(*) OVER (PARTITION BY c_nationkey, c_custkey % 50) - 1) / 2.0 AS b FROM customer) SELECT c_nationkey, round(corr(a, b), 6) AS rho FROM r GROUP BY c_nationkey")
 def spearman_avg(t: Tables) -> DataFrame:
-    c = t.customer.withColumn("k", F.col("c_custkey") % 50)
-    c = c.withColumns({"a": stats.average_rank(["c_nationkey"], "c_acctbal"), "b": stats.average_rank(["c_nationkey"], "k")})
+    c = t.customer.select("c_nationkey", "c_acctbal", (F.col("c_custkey") % 50).alias("k"))
+    c = with_average_rank(with_average_rank(c, ["c_nationkey"], "c_acctbal", "a"), ["c_nationkey"], "k", "b")
     return c.groupBy("c_nationkey").agg(r6(F.corr("a", "b"), "rho"))
 
 
@@ -142,7 +143,7 @@ def tumbling_counts(t: Tables) -> DataFrame:
 @query(f"WITH {EV}, s AS (SELECT DISTINCT session_id FROM ev), k AS (SELECT session_id, (row_number() OVER (ORDER BY session_id) - 1) // 8 AS chunk FROM s) SELECT chunk, min(session_id) AS first_id, max(session_id) AS last_id, count(*) AS n FROM k GROUP BY chunk")
 def chunk_ranges(t: Tables) -> DataFrame:
     s = t.events.select(F.col("user_id").alias("session_id")).distinct()
-    k = s.withColumn("chunk", F.floor((F.row_number().over(W.orderBy("session_id")) - 1) / 8))
+    k = with_position(s, [], ["session_id"], "place").withColumn("chunk", F.floor(F.col("place") / 8))
     return k.groupBy("chunk").agg(F.min("session_id").alias("first_id"), F.max("session_id").alias("last_id"), F.count(F.lit(1)).alias("n"))
 
 

@@ -135,9 +135,8 @@ def section_rank(t: Tables) -> DataFrame:
 
 @query(f"WITH {EV}, s AS (SELECT session_id, round(avg(value) FILTER (channel = 'purchase' AND value > 40), 6) AS m FROM ev GROUP BY session_id) SELECT session_id, coalesce(m, 0) AS score, row_number() OVER (ORDER BY coalesce(m, 0) DESC, session_id) AS rank FROM s")
 def session_rank(t: Tables) -> DataFrame:
-    """One row a session: a global rank over them, the last step of a report."""
     s = t.traces().groupBy("session_id").agg(F.coalesce(F.round(F.avg(F.when((F.col("channel") == "purchase") & (F.col("value") > 40), F.col("value"))), 6), F.lit(0.0)).alias("score"))
-    return R.global_rank(s, [F.desc("score"), F.asc("session_id")], "rank")
+    return R.global_rank(s, [("score", True), "session_id"], "rank")
 
 
 @query(f"WITH {SECTION}, p AS (SELECT session_id, section, min(t_idx) AS f, max(t_idx) AS l, min(t_idx) FILTER (m) AS p FROM (SELECT *, display = max(display) OVER (PARTITION BY session_id, section) AS m FROM sc) GROUP BY ALL), u AS (SELECT DISTINCT session_id, section, unnest([f, p, l]) AS t_idx FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY section, t_idx) AS k FROM u) SELECT session_id, section, t_idx FROM k WHERE k <= 7")

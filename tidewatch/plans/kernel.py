@@ -51,7 +51,7 @@ def norm_stats(t: Tables) -> DataFrame:
 @query(f"WITH {PARCELS} SELECT session_id, t_idx, parcel, round((value - mean) / std, 6) AS z FROM par JOIN norm USING (parcel)")
 def zscore_vs_norm(t: Tables) -> DataFrame:
     p = parcels(t)
-    return stats.z_against(p, stats.norm_table(p, ["parcel"], "value"), "parcel", "value").select("session_id", "t_idx", "parcel", r6("z", "z"))
+    return stats.z_against(p, stats.norm_table(p, ["parcel"], "value", quantiles=False), "parcel", "value").select("session_id", "t_idx", "parcel", r6("z", "z"))
 
 
 @query(f"WITH {PARCELS} SELECT session_id, t_idx, parcel, value > q95 AS high FROM par JOIN norm USING (parcel)")

@@ -50,7 +50,7 @@ def norm_engagement(t: Tables) -> DataFrame:
     are shuffled once, to be numbered, and all that follows by session needs no further exchange.
     """
     frames = t.frames().select("session_id", "t_idx", S.block_means(S.block_means(F.col("vec"), 8), 2).alias("net"))
-    norms = stats.norm_table(t.frames().select(F.posexplode(S.block_means(S.block_means(F.col("vec"), 8), 2)).alias("network", "value")), ["network"], "value")
+    norms = stats.norm_table(t.frames().select(F.posexplode(S.block_means(S.block_means(F.col("vec"), 8), 2)).alias("network", "value")), ["network"], "value", quantiles=False)
     table = norms.agg(F.map_from_entries(F.collect_list(F.struct("network", F.struct("mean", "std")))).alias("norm"))
     z = lambda i: (F.get("net", F.lit(i)) - F.col("norm")[i]["mean"]) / F.col("norm")[i]["std"]
     return frames.join(F.broadcast(table)).select("session_id", "t_idx", (z(0) - z(3)).alias("score"))  # a single row
@@ -269,7 +269,7 @@ def trigger_union(t: Tables) -> DataFrame:
 @query(f"WITH {PARCELS}, z AS (SELECT session_id, t_idx, parcel, (value - mean) / std AS z FROM par JOIN norm USING (parcel)), k AS (SELECT *, row_number() OVER (PARTITION BY session_id, t_idx ORDER BY round(abs(z), 9) DESC, parcel) AS k FROM z), n AS (SELECT session_id, t_idx, max(abs(z)) AS strength FROM z GROUP BY ALL) SELECT k.session_id, k.t_idx, string_agg(CAST(parcel AS VARCHAR), ',' ORDER BY k) AS top_parcels, round(max(n.strength), 6) AS strength FROM k JOIN n USING (session_id, t_idx) WHERE k <= 5 GROUP BY ALL")
 def neural_moments(t: Tables) -> DataFrame:
     p = parcels(t)
-    z = stats.z_against(p, stats.norm_table(p, ["parcel"], "value"), "parcel", "value")
+    z = stats.z_against(p, stats.norm_table(p, ["parcel"], "value", quantiles=False), "parcel", "value")
     order = F.array_sort(F.collect_list(F.struct((-F.round(F.abs("z"), 9)).alias("s"), F.col("parcel").alias("p"))))
     g = z.groupBy("session_id", "t_idx").agg(F.slice(order, 1, 5).alias("top"), F.max(F.abs("z")).alias("strength"))
     return g.select("session_id", "t_idx", F.array_join(F.transform("top", lambda x: x["p"].cast("string")), ",").alias("top_parcels"), r6("strength", "strength"))
