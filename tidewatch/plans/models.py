@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import moments as M
 from ..operators import ridge as R
+from ..operators import splits
 from .base import Tables, query
 from .kernel import r6
 
@@ -89,3 +90,30 @@ def r2_beyond_site(t: Tables) -> DataFrame:
     rows = t.customer.select("c_nationkey", *M.dummies("c_mktsegment", ["", "BUILDING", "MACHINERY"]), F.col("c_acctbal").alias("balance"))
     out = M.explained_beyond(rows, "c_nationkey", ["c_mktsegment_BUILDING", "c_mktsegment_MACHINERY"], ["balance"])
     return out.select("target", "n", *[r6(c, c) for c in ("r2_site", "r2_features", "r2_beyond")])
+
+
+_SPLIT = """
+WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey AS g, {label} AS c FROM lineitem),
+o AS (SELECT g, row_number() OVER (ORDER BY md5('42:' || g)) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT g FROM r)),
+h AS (SELECT *, least(greatest(1, CAST(floor({fraction} * n + 0.5) AS BIGINT)), n - 1) AS held FROM o),
+k AS (SELECT DISTINCT c, place, n, held FROM r JOIN h USING (g) WHERE c IS NOT NULL),
+s AS (SELECT s.s, c, count(*) FILTER ((place - s.s + n) % n >= held) AS outside, count(*) FILTER ((place - s.s + n) % n < held) AS inside FROM k, (SELECT place AS s FROM o) s GROUP BY ALL),
+f AS (SELECT s, min(outside) > 0 AS train, min(inside) > 0 AS held FROM s GROUP BY s),
+b AS (SELECT {start} AS start FROM f)
+SELECT l_orderkey, l_linenumber, coalesce((place - start + n) % n < held, false) AS held_out FROM r JOIN h USING (g), b
+"""
+
+
+@query(_SPLIT.format(label="CASE WHEN l_extendedprice > 90000 OR l_orderkey % 977 = 0 THEN 'rare' ELSE l_returnflag END", fraction=0.2, start="coalesce(min(s) FILTER (train), 0)"))
+def validation_split(t: Tables) -> DataFrame:
+    """A fifth of the suppliers held out, every class left in the rest."""
+    rare = (F.col("l_extendedprice") > 90000) | (F.col("l_orderkey") % 977 == 0)
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", F.when(rare, "rare").otherwise(F.col("l_returnflag")).alias("class"))
+    return splits.split_groups(rows, "l_suppkey", "class", 0.2).select("l_orderkey", "l_linenumber", "held_out")
+
+
+@query(_SPLIT.format(label="CAST(l_orderkey % 311 = 0 AS INT)", fraction=0.1, start="coalesce(min(s) FILTER (train AND held), min(s) FILTER (train))"))
+def calibration_split(t: Tables) -> DataFrame:
+    """A tenth of the suppliers held out, both classes on both sides."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_orderkey") % 311 == 0).cast("int").alias("class"))
+    return splits.split_groups(rows, "l_suppkey", "class", 0.1, both=True).select("l_orderkey", "l_linenumber", "held_out")
