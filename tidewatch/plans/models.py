@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import components as P
 from ..operators import moments as M
 from ..operators import ridge as R
 from ..operators import splits
@@ -117,3 +118,31 @@ def calibration_split(t: Tables) -> DataFrame:
     """A tenth of the suppliers held out, both classes on both sides."""
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_orderkey") % 311 == 0).cast("int").alias("class"))
     return splits.split_groups(rows, "l_suppkey", "class", 0.1, both=True).select("l_orderkey", "l_linenumber", "held_out")
+
+
+def _power(source: str, name: str) -> str:
+    """SQL: the first eigenvector of a matrix of lists by 80 steps, its largest loading positive."""
+    return f"""
+{name}_i AS (SELECT 0 AS k, list_transform(range(64), lambda i: 1.0 / (1 + i)) AS v UNION ALL
+  SELECT k + 1, list_transform(w, lambda x: x / sqrt(list_sum(list_transform(w, lambda y: y * y))))
+  FROM (SELECT k, list_transform(m, lambda r: list_inner_product(r, v)) AS w FROM {name}_i, {source} WHERE k < 80)),
+{name} AS (SELECT list_transform(v, lambda x: x * sign(v[list_position(list_transform(v, lambda y: abs(y)), list_max(list_transform(v, lambda y: abs(y))))])) AS v FROM {name}_i WHERE k = 80)"""
+
+
+@query(f"""
+WITH RECURSIVE x AS (SELECT vec_id, list_transform(range(64), lambda i: CAST(embedding[i + 1] AS DOUBLE) / (1 + i)) AS v FROM embeddings),
+l AS (SELECT vec_id, unnest(range(64)) AS i, unnest(v) AS x FROM x),
+u AS (SELECT i, avg(x) AS mean FROM l GROUP BY i),
+d AS (SELECT vec_id, i, x - mean AS x FROM l JOIN u USING (i)),
+e AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / ((SELECT count(*) FROM x) - 1) AS c FROM d a JOIN d b USING (vec_id) GROUP BY ALL),
+c1 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM e GROUP BY i)),
+{_power('c1', 'p1')},
+c2 AS (SELECT list_transform(range(64), lambda i: list_transform(range(64), lambda j: m[i + 1][j + 1] - v[i + 1] * v[j + 1] * list_inner_product(list_transform(m, lambda r: list_inner_product(r, v)), v))) AS m FROM c1, p1),
+{_power('c2', 'p2')}
+SELECT vec_id, round(sum(x * p1.v[i + 1]), 5) AS first, round(sum(x * p2.v[i + 1]), 5) AS second FROM d, p1, p2 GROUP BY vec_id
+""")
+def principal_scores(t: Tables) -> DataFrame:
+    """Coordinates along the first two principal components of vectors whose dimensions fade."""
+    rows = t.embeddings.select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x, i: x / (1 + i)).alias("v"))
+    scores = P.project(rows, "v", P.principal_components(rows, "v", 2), "y")
+    return scores.select("vec_id", F.round(F.col("y")[0], 5).alias("first"), F.round(F.col("y")[1], 5).alias("second"))
