@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scores as S
 from ..operators import components as P
+from ..operators import decoders as D
 from ..operators import moments as M
 from ..operators import ridge as R
-from ..operators import splits
+from ..operators import splits, stats
 from .base import Tables, query
-from .kernel import r6
+from .kernel import PARCELS, parcels, r6
 
 _SUMS = ("n", "a", "b", "y", "aa", "ab", "bb", "ay", "by_", "yy")
 _ALPHAS = (1.0, 1000.0, 100000.0)
@@ -146,3 +148,46 @@ def principal_scores(t: Tables) -> DataFrame:
     rows = t.embeddings.select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x, i: x / (1 + i)).alias("v"))
     scores = P.project(rows, "v", P.principal_components(rows, "v", 2), "y")
     return scores.select("vec_id", F.round(F.col("y")[0], 5).alias("first"), F.round(F.col("y")[1], 5).alias("second"))
+
+
+def parcel_frames(t: Tables) -> DataFrame:
+    """session_id, t_idx, vec: the means of each frame's eight parcels."""
+    return t.frames().select("session_id", "t_idx", S.block_means(F.col("vec"), 8).alias("vec"))
+
+
+def parcel_model(t: Tables) -> D.LinearModel:
+    """Parcels standardised by their norms, weighed by each session's mean; a session is a class."""
+    p = parcels(t)
+    norms = stats.norm_table(p, ["parcel"], "value", quantiles=False)
+    weights = p.groupBy(F.col("session_id").cast("string").alias("class"), F.col("parcel").cast("int").alias("pos")).agg(F.avg("value").alias("weight"))
+    classes = t.embeddings.select(F.col("label").cast("string").alias("class"), F.col("label").alias("place"), F.lit(0.5).alias("intercept")).where("class IS NOT NULL").distinct()
+    return D.LinearModel(norms.select(F.col("parcel").cast("int").alias("pos"), "mean", F.col("std").alias("scale")), weights, classes)
+
+
+_TRACK = f"""{PARCELS}, wt AS (SELECT session_id AS class, parcel, avg(value) AS w FROM par GROUP BY ALL),
+tk AS (SELECT par.session_id, t_idx, class, 0.5 + sum(w * (value - mean) / std) AS score FROM par JOIN norm USING (parcel) JOIN wt USING (parcel) GROUP BY ALL)"""
+
+
+@query(f"WITH {_TRACK} SELECT session_id, t_idx, CAST(class AS VARCHAR) AS class, round(score, 6) AS score, round(greatest(0, least(1, score)), 6) AS probability FROM tk")
+def emotion_track(t: Tables) -> DataFrame:
+    """A fitted pipeline of tables over all frames."""
+    track = D.apply_linear(parcel_frames(t), "vec", parcel_model(t))
+    rows = track.select("session_id", "t_idx", F.explode(F.arrays_zip("names", "scores", "probabilities")).alias("x"))
+    return rows.select("session_id", "t_idx", F.col("x.names").alias("class"), r6("x.scores", "score"), r6("x.probabilities", "probability"))
+
+
+@query(f"""WITH {_TRACK},
+te AS (SELECT class, sqrt(sum(w * w)) AS n FROM wt GROUP BY class),
+co AS (SELECT par.session_id, t_idx, class, greatest(-1, least(1, sum(w * value) / (sqrt(sum(value * value)) + 1e-8) / any_value(te.n))) AS score FROM par JOIN wt USING (parcel) JOIN te USING (class) GROUP BY ALL),
+a AS (SELECT 'decoder' AS asked, 'decoder' AS mode, 'asked' AS reason, session_id, t_idx, score FROM tk
+      UNION ALL SELECT 'decoder', 'template', 'missing subcortical', session_id, t_idx, score FROM co UNION ALL SELECT 'template', 'template', 'asked', session_id, t_idx, score FROM co)
+SELECT asked, mode, reason, session_id, count(DISTINCT t_idx) AS frames, round(max(score), 6) AS best FROM a GROUP BY ALL""")
+def emotion_track_modes(t: Tables) -> DataFrame:
+    """Decoder, decoder without what it needs, templates: what each of them ran as, and why."""
+    frames, model = parcel_frames(t), parcel_model(t)
+    means = parcels(t).groupBy("session_id", "parcel").agg(F.avg("value").alias("y")).groupBy(F.col("session_id").cast("string").alias("class"))
+    templates = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("parcel", "y"))), lambda s: s["y"]).alias("vec"))
+    tracks = [D.track_by_mode(frames, "vec", *how) for how in (("decoder", model, templates), (" Decoder", model, templates, ["subcortical"]), ("template", model, templates))]
+    rows = [x.select("asked", "mode", "reason", "session_id", "t_idx", F.array_max("scores").alias("s")) for x in tracks]
+    both = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return both.groupBy("asked", "mode", "reason", "session_id").agg(F.countDistinct("t_idx").alias("frames"), r6(F.max("s"), "best"))
