@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,11 +52,37 @@ def brain_weight(engagement: Column, activation: Column, moment: Column | None =
     return clip(F.when(m > 0, 0.65 * base + 0.35 * m).otherwise(base), 0, 1)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row: what a lambda refers to from outside is computed anew for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _finite(xs: Column) -> Column:
+    """Doubles; 0 for what is null, NaN or infinite."""
+    number = lambda x: F.when(F.abs(x) < float("inf"), x).otherwise(0.0)
+    return F.transform(xs, lambda x: number(x.cast("double")))
+
+
+def total(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+
+
+def probability_rows(xs: Column) -> Column:
+    """An array's shares: nulls, NaN, infinite and negative values are 0; where nothing is left, all are alike."""
+    clean = F.transform(_finite(xs), lambda x: F.greatest(x, F.lit(0.0)))
+    shares = lambda v: once(total(v), lambda s: once(F.size(v), lambda n: F.transform(v, lambda x: F.when(s > 1e-12, x / s).otherwise(1.0 / n))))
+    return once(clean, shares)
+
+
 def softmax(xs: Column) -> Column:
-    """Softmax of an array; nulls count as 0."""
-    plain = F.transform(xs, lambda x: F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)))
-    powers = F.transform(plain, lambda x: F.exp(x - F.array_max(plain)))
-    return F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda a, y: a + y))
+    """Softmax of an array, in time linear in its length; nulls, NaN and infinite values count as 0."""
+    powers = lambda v: once(F.array_max(v), lambda m: F.transform(v, lambda x: F.exp(x - m)))
+    return probability_rows(once(_finite(xs), powers))
+
+
+def softmax_score(x: Column) -> Column:
+    """The two classes' probabilities by one decision score."""
+    return softmax(F.array(-x, x))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -64,14 +90,14 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
 
 
 def block_means(vec: Column, size: int) -> Column:
     """Means of an array's consecutive blocks: a level of a hierarchy whose members stand side by side."""
-    starts = F.sequence(F.lit(0), F.floor((F.size(vec) - 1) / size).cast("int"))
-    mean = lambda block: F.aggregate(block, F.lit(0.0), lambda a, x: a + x) / F.size(block)
-    return F.transform(starts, lambda i: mean(F.slice(vec, i * size + 1, F.lit(size))))
+    starts = lambda v: F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int"))
+    mean = lambda block: total(block) / F.size(block)
+    return once(vec, lambda v: F.transform(starts(v), lambda i: mean(F.slice(v, i * size + 1, F.lit(size)))))
 
 
 def bands(x: Column, edges: Sequence[float], names: Sequence[str]) -> Column:

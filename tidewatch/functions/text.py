@@ -2,31 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scores import once
+
 # Verbs and terms of a call to action; words that say nothing of a goal.
 CTA_VERBS = ("get", "start", "try", "buy", "sign", "subscribe", "join", "download", "book", "request", "contact", "learn", "discover", "see", "watch", "explore", "schedule", "claim", "unlock")
 URGENCY_TERMS = ("now", "today", "free", "limited", "exclusive", "instantly", "guarantee", "risk-free", "no credit card", "cancel anytime")
 STOP_WORDS = ("a", "an", "the", "and", "or", "for", "to", "of", "in", "on", "with")
 
 
-def once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once a row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+", -1), lambda w: w != "")
 
 
 def sentence_length(text: Column) -> Column:
     """Mean words a sentence; blank sentences do not count; none is 0."""
-    said = F.filter(F.split(F.coalesce(text, F.lit("")), r"[.!?]+", -1), lambda s: F.trim(s) != "")
-    total = lambda s: F.aggregate(s, F.lit(0), lambda a, x: a + F.size(words(x)))
-    return once(said, lambda s: F.when(F.size(s) > 0, total(s) / F.size(s)).otherwise(F.lit(0.0)))
+    said = F.regexp_count(text, F.lit("[^ .!?][^.!?]*"))
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\s.!?]+")) / F.nullif(said, F.lit(0)), F.lit(0.0))
 
 
 def clarity(word_count: Column, sentence: Column) -> Column:
@@ -90,8 +84,10 @@ def url_allowed(url: Column) -> Column:
     """Whether a crawler may fetch an address: http or https, no credentials, a host, and no address in a forbidden range.
 
     Names are not resolved here, but for localhost and what ends with it; a fetcher checks the addresses that they resolve to in
-    the same way. Hosts of digits or hexadecimal numbers alone, which resolvers read as addresses, and IPv6 addresses that are
-    loopback, unspecified, local, multicast or carry an IPv4 address are refused.
+    the same way. Refused are hosts of digits or hexadecimal numbers alone, which resolvers read as addresses; hosts with any
+    character but letters, digits, dots and hyphens of ASCII, as resolvers turn others into these; and addresses with a backslash,
+    which some read as a slash. Of IPv6 only well-formed global addresses pass (2000::/3), without those that carry an IPv4
+    address (6to4, Teredo), protocol assignments and documentation.
     """
     place = F.regexp_extract(url, r"^(?i:https?)://([^/?#\\]*)", 1)
     name = F.lower(F.regexp_replace(F.regexp_replace(place, r":[0-9]*$", ""), r"\.$", ""))
@@ -103,9 +99,13 @@ def url_allowed(url: Column) -> Column:
     for low, high in _NO_FETCH:
         forbidden = forbidden | value.between(number(low), number(high))
     valid = F.forall(octets, lambda o: o.try_cast("int") <= 255)
-    six = F.regexp_extract(place, r"^\[([0-9A-Fa-f:.]+)\](?::[0-9]*)?$", 1)
-    local = F.lower(six).rlike(r"^(?:[0:]*:0{0,3}[01]?|f[cdef][0-9a-f]{2}:.*|.*\..*|2001:0?db8:.*|::)$")
+    six = F.lower(F.regexp_extract(place, r"^\[([0-9A-Fa-f:]+)\](?::[0-9]*)?$", 1))
+    group = "[0-9a-f]{1,4}"
+    shortened = six.rlike(f"^{group}(?::{group})*::(?:{group}(?::{group})*)?$") & (F.size(F.filter(F.split(six, ":"), lambda g: g != "")) <= 7)
+    whole = six.rlike(f"^{group}(?::{group}){{7}}$") | shortened
+    carries = six.rlike(r"^(?:2002:|2001:(?:0{0,3}[0-9a-f]|0{0,2}[0-9a-f]{2}|0?1[0-9a-f]{2}|0?db8)?:|3fff:0?[0-9a-f]{0,3}:)")
+    public = whole & six.rlike("^[23][0-9a-f]{3}:") & ~carries
     odd = name.rlike(r"^(?:0x[0-9a-f]*|[0-9.]+)(?:\.(?:0x[0-9a-f]+|[0-9]+))*$") & ~dotted
     named = ~name.rlike(r"^(?:.*\.)?localhost$") & ~odd & F.when(dotted, valid & ~forbidden).otherwise(True)
-    host_ok = F.when(place.startswith("["), (six != "") & ~local).otherwise((name != "") & named)
-    return F.coalesce((place != "") & ~F.contains(place, F.lit("@")) & host_ok, F.lit(False))
+    host_ok = F.when(place.startswith("["), public).otherwise(name.rlike("^[a-z0-9.-]+$") & named)
+    return F.coalesce((place != "") & ~F.contains(url, F.lit("\\")) & ~F.contains(place, F.lit("@")) & host_ok, F.lit(False))

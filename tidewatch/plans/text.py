@@ -93,7 +93,7 @@ FETCHES = [
     ("ftp://example.org/", False), ("http://user:pw@example.org/", False), ("http:///x", False), ("http://localhost/", False), ("http://a.localhost:80/", False),
     ("http://127.0.0.1/", False), ("http://127.9.9.9/", False), ("http://10.1.2.3/", False), ("http://172.16.0.1/", False), ("http://172.31.255.255/", False), ("http://192.168.1.1/", False),
     ("http://169.254.169.254/latest", False), ("http://100.100.100.200/", False), ("http://0.0.0.0/", False), ("http://224.0.0.1/", False), ("http://[::1]/", False), ("http://[::]/", False),
-    ("http://[fe80::1]/", False), ("http://[fd00::1]/", False), ("http://[::ffff:127.0.0.1]/", False), ("http://2130706433/", False), ("http://0x7f.0.0.1/", False), ("file:///etc/passwd", False), ("http://300.1.1.1/", False),
+    ("http://[fe80::1]/", False), ("http://[fd00::1]/", False), ("http://[::ffff:127.0.0.1]/", False), ("http://[::ffff:7f00:1]/", False), ("http://[64:ff9b::7f00:1]/", False), ("http://[2002:7f00:1::]/", False), ("http://[::7f00:1]/", False), ("http://127.0.0.1%2f/", False), ("http://①②⑦.0.0.1/", False), ("http://example.org\\@127.0.0.1/", False), ("http://2130706433/", False), ("http://0x7f.0.0.1/", False), ("file:///etc/passwd", False), ("http://300.1.1.1/", False),
 ]
 
 
