@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,26 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "id string, network string, z_above double, min_duration_s double, insight_key string")
 
 
+def site_sections(spark: SparkSession, text: str) -> DataFrame:
+    """rule_host, section, section_place, selector of a YAML text of sections by host; empty for an empty text."""
+    import yaml
+
+    sites = (yaml.safe_load(text) or {}).get("sites") or {}
+    rows = [(str(host), str(s.get("id", "")), i, str(x)) for host, own in sites.items() for i, s in enumerate((own or {}).get("sections") or []) for x in s.get("selectors") or []]
+    return spark.createDataFrame(rows, "rule_host string, section string, section_place int, selector string")
+
+
+def read_site_sections(spark: SparkSession, path: str) -> DataFrame:
+    """The same of a small file; a file that is not there has no rules."""
+    try:
+        text = "\n".join(r["value"] for r in spark.read.text(path).coalesce(1).collect())
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        text = ""
+    return site_sections(spark, text)
+
+
 def read_front_matter(spark: SparkSession, path: str) -> DataFrame:
     """path and a map of the keys that stand between the first two lines of three dashes; list items are joined by line feeds."""
     files = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
