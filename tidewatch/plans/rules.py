@@ -1,4 +1,4 @@
-"""Contracts of tables, rules by host, columns by name."""
+"""Contracts of tables, rules by host, columns by name, exploration."""
 
 from __future__ import annotations
 
@@ -9,7 +9,9 @@ from pyspark.sql.window import Window as W
 from ..functions import text as T
 from ..operators import contracts as C
 from ..operators import hosts as H
+from ..operators.series import frame_no
 from ..sources.dimensions import site_sections
+from ..streaming import explore as X
 from .base import Tables, query
 
 _ROW = "CAST('0x' || substr(md5(concat_ws('|', {})), 1, 15) AS BIGINT)"
@@ -140,3 +142,50 @@ def rule_columns(t: Tables) -> DataFrame:
     fixed = t.spark.createDataFrame([(0, "STANDARD"), (1, "ECONOMY_1"), (2, "ECONOMY_2")], "place int, column string")
     ids = names.select("name").distinct().withColumn("column", F.concat(F.lit("NATION_"), F.lpad(F.length("name").cast("string"), 2, "0")))
     return H.resolve_columns(names, fixed.unionByName(nations), ids).select(F.col("p_type").alias("name"), "column", "tier")
+
+
+#: Snapshots by event: a button, a link of a navigation, a link off the site, a link that may be half hidden.
+_SNAPSHOTS = """e AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, event_id, value, event_id * 7919 % 101 AS k FROM events),
+s AS (SELECT session_id, n, event_id, 'https://shop.test/p' || (k % 4) AS url, '/p' || (k % 4) AS path, CAST(floor(value * 20) AS DOUBLE) AS ypos, greatest(0, 500 + event_id % 3 * 500 - 720) * 1.0 AS most,
+  list_filter([{'o': 0, 'sel': '#cta-' || (k % 3), 'link': false, 'path': '', 'base': 0.7 + 0.25 + 0.2 * greatest(0, 1 - (value * 10 + 20.0) / 720), 'f': 1.0},
+   {'o': -1, 'sel': '#nav-' || (k % 5), 'link': true, 'path': '/p' || (k % 6), 'base': 0.55 + 0.15 + 0.2 * greatest(0, 1 - 30.0 / 720), 'f': 0.9},
+   {'o': -3, 'sel': '.more', 'link': true, 'path': '/p' || (k % 7) || '.html', 'base': 0.55 + 0.25 + 0.2 * greatest(0, 1 - (800 + 10.0) / 720), 'f': CASE WHEN k % 5 = 0 THEN 1.0 ELSE greatest(0.2, k % 5 / 5.0) END}], lambda x: x.o <> -1 OR k % 11 <> 0) AS c
+  FROM e)"""
+
+
+@query(f"""
+WITH RECURSIVE {_SNAPSHOTS},
+r AS (
+  SELECT session_id, CAST(-1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS event_id, 0 AS clicks, CAST([] AS VARCHAR[]) AS pages, CAST([] AS VARCHAR[]) AS actions, '' AS action, '' AS sel, '' AS reason FROM s WHERE n = 0
+  UNION ALL
+  SELECT session_id, n, event_id, clicks + CAST(reason IN ('element_score', 'fallback_click') AS INT), pages, CASE WHEN reason IN ('element_score', 'fallback_click') THEN list_append(actions, url || '|' || top.sel) ELSE actions END,
+    CASE reason WHEN 'below_fold_content' THEN 'scroll_down' WHEN 'page_end_no_actions' THEN 'stop' ELSE 'click' END, CASE WHEN reason IN ('element_score', 'fallback_click') THEN top.sel ELSE '' END, reason
+  FROM (
+    SELECT *, CASE WHEN able AND (most <= 0 OR ypos >= most OR ypos / most >= 0.92 OR fresh) AND top.score >= CASE WHEN fresh THEN 0.35 ELSE 0.5 END THEN 'element_score'
+      WHEN ypos < most THEN 'below_fold_content' WHEN able AND (NOT list_contains(pages, top.path) OR top.score >= 0.35) THEN 'fallback_click' ELSE 'page_end_no_actions' END AS reason
+    FROM (
+      SELECT *, top IS NOT NULL AND clicks < 4 AS able, top IS NOT NULL AND top.path <> '' AND NOT list_contains(pages, top.path) AS fresh
+      FROM (
+        SELECT * EXCLUDE (c), list_max(list_transform(list_filter(c, lambda x: NOT list_contains(actions, url || '|' || x.sel) AND NOT (x.link AND len(pages) >= 5 AND NOT list_contains(pages, x.path))),
+          lambda x: {{'score': (x.base + CASE WHEN x.link AND NOT list_contains(pages, x.path) THEN 0.4 ELSE 0 END) * x.f, 'o': x.o, 'sel': x.sel, 'path': x.path}})) AS top
+        FROM (
+          SELECT s.session_id, s.n, s.event_id, r.clicks, CASE WHEN list_contains(r.pages, s.path) THEN r.pages ELSE list_append(r.pages, s.path) END AS pages, r.actions, s.url, s.ypos, s.most, s.c
+          FROM r JOIN s ON s.session_id = r.session_id AND s.n = r.n + 1 WHERE s.n < 10)))))
+SELECT session_id, n, event_id, action, sel AS selector, reason FROM r WHERE n >= 0
+UNION ALL SELECT session_id, n, event_id, 'stop', '', 'budget_exhausted' FROM s WHERE n >= 10
+""")
+def explore_sessions(t: Tables) -> DataFrame:
+    """What an explorer does at each event of a session, with ten frames, four clicks and five pages."""
+    e = t.events.withColumn("n", frame_no(["user_id"], "ts", "event_id")).select(F.col("user_id").alias("session_id"), "n", "event_id", "value", (F.col("event_id") * 7919 % 101).alias("k"))
+    name = lambda x, of: F.concat(F.lit(x), (F.col("k") % of).cast("string"))
+    seen = F.when(F.col("k") % 5 == 0, F.lit(None).cast("double")).otherwise(F.col("k") % 5 / 5.0)
+    element = lambda *x: F.struct(*[(c if not isinstance(c, (str, float, bool)) else F.lit(c)).alias(n) for n, c in zip(("dom_id", "tag", "role", "text", "href", "y", "h", "visibility_ratio", "is_intersecting_viewport"), x, strict=True)])
+    elements = F.array(
+        element(name("#cta-", 3), "BUTTON", "", "Start", "", F.col("value") * 10, 40.0, 1.0, True),
+        element(name("nav-", 5), "A", "", "Features", name("/p", 6), 20.0, 20.0, 0.9, F.col("k") % 11 != 0),
+        element("#off", "A", "", "Try", "https://other.test/x", 0.0, 10.0, 1.0, True),
+        element(".more", "a", "", "Learn more", F.concat(name("p", 7), F.lit(".html?x=1")), 800.0, 20.0, seen, True),
+    ).cast(f"array<{X.ELEMENT}>")
+    cfg = X.ExploreConfig(max_frames=10, max_clicks=4, max_pages=5)
+    rows = e.select("session_id", F.struct("n", "event_id").alias("at"), name("https://shop.test/p", 4).alias("page_url"), F.floor(F.col("value") * 20).alias("scroll_y"), (500 + F.col("event_id") % 3 * 500).alias("scroll_height"), F.lit(720).alias("client_height"), X.candidates(elements, F.lit("https://shop.test/index.html"), cfg=cfg).alias("options"))
+    return X.replay(rows, "session_id", "at", cfg).select("session_id", "at.n", "at.event_id", "action", "selector", "reason")
