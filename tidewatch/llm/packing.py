@@ -51,26 +51,49 @@ class _Words(dict):
     def __init__(self, tokenizer: object):
         super().__init__()
         self.tokenizer = tokenizer
-        self.long: list[str] = []
-
-    def learn(self, texts: list[list[str]]) -> None:
-        """Encode the words of some texts that are not known, all at once."""
-        for word in self.long:
-            del self[word]
-        new = set().union(*texts).difference(self)
-        if len(self) + len(new) > 500_000:
-            self.clear()
-            new = set().union(*texts)
+        self.new: set[str] = set()
+        vocabulary = tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.sizes[list(vocabulary.values())] = [len(token) for token in vocabulary]
+
+    def learn(self, new: set[str]) -> None:
+        """Encode words that are not known, all at once."""
         words = list(new)
-        self.long = [w for w in words if len(w) > 100]
-        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ends = 4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(1, len(words) + 1))
-        ids = np.array(found.ids, "<u4").tobytes()
+        found = np.array(self.tokenizer.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        # a token stands for as many bytes as its name has characters, so words end where their bytes do
+        at = np.cumsum(self.sizes[found])
+        ends = 4 * (np.searchsorted(at, np.cumsum([len(w.encode()) for w in words])) + 1)
+        ids = found.tobytes()
         start = 0
         for word, end in zip(words, ends.tolist(), strict=True):
             self[word] = ids[start:end]
             start = end
 
+    def __missing__(self, word: str) -> bytes:
+        self.new.add(word)
+        return b""
+
+    def ids(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of texts cut into words. Unknown words are learned together; texts that have some are looked up again, long ones are not kept."""
+        out, gaps = [], []
+        for i, text in enumerate(texts):
+            before = len(self.new)
+            out.append(b"".join(map(self.__getitem__, text)))
+            if len(self.new) > before or self.new and not self.new.isdisjoint(text):
+                gaps.append(i)
+        if gaps:
+            new, self.new = self.new, set()
+            if len(self) + len(new) > 500_000:
+                self.clear()
+                new = set().union(*[texts[i] for i in gaps])
+            self.learn(new)
+            for i in gaps:
+                out[i] = b"".join(map(self.__getitem__, texts[i]))
+            for word in new:
+                if len(word) > 100:
+                    del self[word]
+        return out
+
 
 def encoder(cfg: PackingConfig) -> Callable[[list[str]], list[np.ndarray]]:
     """Texts to ids as tokenizers gives them without special tokens; one for each process.
@@ -90,10 +113,10 @@ def encoder(cfg: PackingConfig) -> Callable[[list[str]], list[np.ndarray]]:
             return bool(cfg.tokenizer) or UNUSUAL.search(text) is not None or any(t in text for t in added)
 
         def encode(texts: list[str]) -> list[np.ndarray]:
-            cut = [None if whole(t) else SPLIT.findall(t) for t in texts]
-            words.learn([x for x in cut if x is not None])
-            apart = lambda t: np.array(tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4")
-            return [apart(t) if x is None else np.frombuffer(b"".join(map(words.__getitem__, x)), "<u4") for t, x in zip(texts, cut, strict=True)]
+            apart = [whole(t) for t in texts]
+            found = iter(words.ids([SPLIT.findall(t) for t, a in zip(texts, apart, strict=True) if not a]))
+            alone = lambda t: np.array(tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4")
+            return [alone(t) if a else np.frombuffer(next(found), "<u4") for t, a in zip(texts, apart, strict=True)]
 
         _ENCODERS[cfg.tokenizer] = encode
     return _ENCODERS[cfg.tokenizer]
