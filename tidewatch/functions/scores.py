@@ -183,6 +183,11 @@ def type_score(tag: Column, role: Column, dom_id: Column, text: Column, weights:
     return F.least(F.lit(1.0), F.greatest(base, F.when(button, 1.0).otherwise(0.0), F.when(asks, 0.92).otherwise(0.0)))
 
 
+def visibility(ratio: Column) -> Column:
+    """How visible an element counts as: its ratio within 0 to 1, whole where it is not known."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(ratio, F.lit(1.0))))
+
+
 def likert_unit(x: Column, low: float = 1.0, high: float = 9.0) -> Column:
     """A rating between low and high as 0 to 1."""
     return clip((x - low) / (high - low), 0, 1) if high > low else x

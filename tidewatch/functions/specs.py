@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -43,6 +45,19 @@ def resolve_spec(name: str, window: int | None = None) -> FeatureSpec:
     return spec if window is None else FeatureSpec(spec.name, spec.reducers, spec.subcortical, spec.n_subcortical, window)
 
 
+#: Where heat maps come from, by name; the first where nothing else is said. Fixed values.
+HEATMAP_BACKENDS = ("deepgaze_msdb", "modal", "visual_saliency", "uniform")
+_BACKEND_VARIABLE = "PIPELINE_HEATMAP_BACKEND"
+
+
+def resolve_backend(requested: str | None = None, environ: Mapping[str, str] | None = None) -> str:
+    """The backend asked for, else the environment's, else the default; an unknown one is an error."""
+    name = (requested or (os.environ if environ is None else environ).get(_BACKEND_VARIABLE) or HEATMAP_BACKENDS[0]).strip().lower()
+    if name not in HEATMAP_BACKENDS:
+        raise ValueError(f"unknown backend {name!r}, known are {', '.join(HEATMAP_BACKENDS)}")
+    return name
+
+
 def pick(vec: Column, names: list[str], wanted: list[str]) -> Column:
     """The wanted features of a vector, by name."""
     at = {n: i for i, n in enumerate(names)}

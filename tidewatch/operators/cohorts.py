@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .moments import POISSON
+
 
 def assign_clusters(df: DataFrame, rules: Mapping[str, Mapping[str, str]], subject: str, least: int = 20) -> DataFrame:
     """subject, cluster, n, suppressed: one row for each rule (all its equalities) that a subject meets.
@@ -70,8 +72,7 @@ def bootstrap_mean(df: DataFrame, keys: Sequence[str], row: str, value: str, rep
     group is gathered; rows with weight 0 are never made.
     """
     u = F.element_at("__us", F.col("__r") + 1)
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = F.size(F.filter(F.array(*map(F.lit, steps)), lambda s: u >= s))
+    weight = F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda s: u >= s))
     rows = df.select(*keys, row, value, F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: hash_uniform(F.col(row), r)).alias("__us"))
     rows = rows.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__w", weight).where("__w > 0")
     means = rows.groupBy(*keys, "__r").agg((F.sum(F.col(value) * F.col("__w")) / F.sum("__w")).alias("__m"))

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..operators import components as P
+from ..functions.specs import FeatureSpec
 from ..operators import decoders as D
+from ..operators import features as X
 from ..operators import moments as M
 from ..operators import ridge as R
 from ..operators import splits, stats
 from .base import Tables, query
-from .kernel import PARCELS, parcels, r6
+from .kernel import ACT, FR, PARCELS, parcels, r6
 
 _SUMS = ("n", "a", "b", "y", "aa", "ab", "bb", "ay", "by_", "yy")
 _ALPHAS = (1.0, 1000.0, 100000.0)
@@ -191,3 +193,49 @@ def emotion_track_modes(t: Tables) -> DataFrame:
     rows = [x.select("asked", "mode", "reason", "session_id", "t_idx", F.array_max("scores").alias("s")) for x in tracks]
     both = rows[0].unionByName(rows[1]).unionByName(rows[2])
     return both.groupBy("asked", "mode", "reason", "session_id").agg(F.countDistinct("t_idx").alias("frames"), r6(F.max("s"), "best"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, o_orderstatus, o_totalprice, p_brand, p_size FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey")
+def strict_training_join(t: Tables) -> DataFrame:
+    """Every line with its order and part; a line without one, or with two, fails the job."""
+    orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus", "o_totalprice")
+    parts = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size")
+    rows = X.strict_join(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), orders, ["l_orderkey"], "order")
+    return X.strict_join(rows, parts, ["l_partkey"], "part").drop("l_partkey")
+
+
+@query("WITH f AS (SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1) SELECT c_custkey, o_orderkey, o_totalprice FROM customer JOIN f ON o_custkey = c_custkey")
+def first_match(t: Tables) -> DataFrame:
+    """Customers with orders, and their first."""
+    orders = t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice", "o_orderdate")
+    return X.first_match_join(t.customer.select("c_custkey"), orders, ["c_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+
+
+@query(f"""
+WITH {ACT},
+s AS (SELECT session_id, t_idx, parcel, count(value) AS n, sum(value) AS s, sum(value * value) AS q, sum(abs(value)) AS a, max(abs(value)) AS m, max(value) AS high, min(value) AS low FROM act GROUP BY ALL),
+v AS (SELECT session_id, t_idx, parcel, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(q) OVER w AS q, sum(a) OVER w AS a, max(m) OVER w AS m, max(high) OVER w AS high, min(low) OVER w AS low FROM s WINDOW w AS (PARTITION BY session_id, parcel ORDER BY t_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+f AS (SELECT session_id, t_idx, parcel * 6 + i AS i, [s / n, sqrt(greatest(q / n - (s / n) * (s / n), 0)), a / n, m, high, low][i + 1] AS x FROM v, range(6) r(i)),
+e AS (SELECT session_id, t_idx, 48 + network AS i, avg(value) AS x FROM act WHERE t_idx > 0 GROUP BY ALL UNION ALL SELECT session_id, t_idx, 48 + i, 0 FROM fr, range(4) r(i) WHERE t_idx = 0),
+b AS (SELECT * FROM f UNION ALL SELECT * FROM e)
+SELECT session_id, t_idx, count(*) AS n_features, round(sum((i + 1) * x), 5) AS weighted, round(max(x) FILTER (i = 0), 6) AS first, round(max(x) FILTER (i = 13), 6) AS inner_, round(max(x) FILTER (i = 51), 6) AS last FROM b GROUP BY ALL
+""")
+def feature_matrix(t: Tables) -> DataFrame:
+    """Six reducers of eight parcels over five frames, and the four networks' means, which the first frame lacks."""
+    spec = FeatureSpec("parcels", ("mean", "std", "mean_abs", "max_abs", "max", "min"), "networks", 4, 5)
+    extra = t.frames().where("t_idx > 0").select("session_id", "t_idx", S.block_means(F.col("vec"), 16).alias("sub"))
+    out = X.feature_matrix(t.activation(), ["session_id"], "t_idx", "parcel", "value", spec, extra)
+    weighted = F.aggregate(F.transform("features", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    at = lambda i, name: r6(F.col("features")[i], name)
+    return out.select("session_id", "t_idx", F.size("features").cast("long").alias("n_features"), F.round(weighted, 5).alias("weighted"), at(0, "first"), at(13, "inner_"), at(51, "last"))
+
+
+@query(f"""
+WITH {FR}, s AS (SELECT session_id, count(*) AS n_t, max(len(vec)) AS n_v, min(list_min(vec)) AS low, max(list_max(vec)) AS high, max(t_idx) AS last FROM fr GROUP BY ALL),
+p AS (SELECT s.*, t_idx, unnest(range(64)) AS vertex, unnest(vec) AS value FROM s JOIN fr ON fr.session_id = s.session_id AND t_idx = least(30, last))
+SELECT session_id, n_t, n_v, round(low, 6) AS low, round(high, 6) AS high, t_idx, CAST(row_number() OVER (PARTITION BY session_id ORDER BY value DESC, vertex DESC) AS INT) AS rank, CAST(vertex AS INT) AS vertex, round(value, 6) AS value FROM p QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY value DESC, vertex DESC) <= 10
+""")
+def inspect_frames(t: Tables) -> DataFrame:
+    """Each session's shape and extremes, and the ten largest values of frame 30, or of the last one."""
+    out = X.inspect_frames(t.frames(), ["session_id"], "t_idx", "vec", 30, 10)
+    return out.select("session_id", "n_t", "n_v", r6("low", "low"), r6("high", "high"), "t_idx", "rank", "vertex", r6("value", "value"))
