@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import zlib
+
 import corpus_pipeline as C
+import numpy as np
 
 from . import test_jaccard, test_lines, test_packing, test_pii, test_quality
 
@@ -29,7 +32,9 @@ def test_stages_against_brute_force(spark, small, documents):
     clean = text(pii)
     assert set(clean) == set(text(near))
     assert not any(test_pii.brute(t) for t in clean.values())
-    assert test_packing.check_packing(packed.collect(), list(clean.items())) < 0.02
+    pieces = packed.collect()
+    assert test_packing.check_packing(pieces, list(clean.items())) < 0.02
+    assert all(zlib.crc32(np.array(r["input_ids"], "<u4").tobytes()) == r["ids_crc32"] for r in pieces)
 
 
 def test_run(spark, tiny):

@@ -34,7 +34,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tidewatch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialize wrote: for tables from which nothing is computed any more, as what was is written itself."""
+    for table in tables:
+        place = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table.tidewatch_path)
+        place.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

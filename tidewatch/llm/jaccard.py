@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialize
+from .common import discard, join_hot, materialize
 from .components import components
 from .simhash import fingerprint_of, keep_least, mih_links
 
@@ -100,7 +100,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     right = pairs.join(sets, F.col("b") == F.col("sid")).select("a", "b", F.col("grams").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
     union = F.size("left") + F.size("right") - both
-    return materialize(join_hot(right, left, "a", "pairs").where(both >= union * similarity - _SLACK).select("a", "b"), "similar")
+    similar = materialize(join_hot(right, left, "a", "pairs").where(both >= union * similarity - _SLACK).select("a", "b"), "similar")
+    discard(pairs, left)
+    return similar
 
 
 def _close(rows: DataFrame) -> DataFrame:
@@ -127,9 +129,11 @@ def _needed(both: Column, similarity: float) -> Column:
 def similar_roots(rows: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(node, root): the least sid that each connected set reaches. rows: what _prefixes gives; texts: doc_id, th and text of the same rows."""
     once = rows.where("size > 0").groupBy("sid").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    prefix = materialize(once, "ordered").select("sid", "size", F.explode("prefix").alias("key"))
-    shared = prefix.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    keys = materialize(join_hot(prefix, materialize(shared, "shared"), "key", "n"), "prefixes")
+    ordered = materialize(once, "ordered")
+    prefix = ordered.select("sid", "size", F.explode("prefix").alias("key"))
+    shared = materialize(prefix.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    keys = materialize(join_hot(prefix, shared, "key", "n"), "prefixes")
+    discard(ordered, shared)
     # Sets that share too few hashes of their prefixes with all others together are similar to none. The sets of the rest are read.
     least = _needed(F.col("size") + F.ceil(F.col("size") * similarity - _SLACK), similarity)
     most = F.floor(F.col("size") / similarity + _SLACK)
@@ -142,12 +146,13 @@ def similar_roots(rows: DataFrame, texts: DataFrame, shingle: int, similarity: f
 
     def connect() -> DataFrame:
         nonlocal nodes
-        roots = materialize(components(links), "roots")
+        old, roots = nodes, materialize(components(links), "roots")
         named = keys.join(roots, F.col("sid") == F.col("node"), "left").select("key", "sid", "size", F.coalesce("root", "sid").alias("root"))
         # A hash whose members are all connected has nothing left to tell.
         open_ = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "n")
-        nodes = materialize(join_hot(named, materialize(open_, "open"), "key", "n"), "members")
-        return roots
+        left = materialize(open_, "open")
+        nodes = materialize(join_hot(named, left, "key", "n"), "members")
+        discard(left, roots, *[old] * (old is not None))
 
     def able(met: DataFrame) -> DataFrame:
         """Of pairs, one row a hash in both prefixes, those that can be similar enough: the hashes of the prefix that ends first
@@ -156,18 +161,20 @@ def similar_roots(rows: DataFrame, texts: DataFrame, shingle: int, similarity: f
         counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("m").alias("m"), F.first("n").alias("n"))
         return counted.where(_fits(similarity, F.col("m"), F.col("n")) & (F.col("c") >= need - _behind(F.greatest("m", "n"), similarity)))
 
-    roots = connect()
+    connect()
     for r in range(STAR_ROUNDS):
         lead = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("sid", F.lit(r)).alias("h"), "sid", "size", "root")).alias("l"))
-        met = join_hot(nodes, materialize(lead, "leaders"), "key", "n").where(F.col("root") != F.col("l.root"))
+        leaders = materialize(lead, "leaders")
+        met = join_hot(nodes, leaders, "key", "n").where(F.col("root") != F.col("l.root"))
         found = _verified(able(met.select(F.col("l.sid").alias("a"), F.col("sid").alias("b"), F.col("l.size").alias("m"), F.col("size").alias("n"))), sets, similarity)
         links = links.union(found)
-        roots = connect()
+        discard(leaders)
+        connect()
     one, two = (nodes.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("sid", "size", "root")]) for i in (1, 2))
     met = one.join(two, "key").where((F.col("sid1") < F.col("sid2")) & (F.col("root1") != F.col("root2")) & _fits(similarity, F.col("size1"), F.col("size2")))
     found = _verified(able(met.select(F.col("sid1").alias("a"), F.col("sid2").alias("b"), F.col("size1").alias("m"), F.col("size2").alias("n"))), sets, similarity)
-    links = links.union(found)
-    return materialize(components(links), "roots")
+    discard(keys, nodes, sets)
+    return materialize(components(links.union(found)), "roots")
 
 
 def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

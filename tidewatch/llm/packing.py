@@ -328,7 +328,7 @@ def pack_documents(docs: DataFrame, cfg: PackingConfig = PackingConfig(), with_i
 
     Equal rows are packed one by one, a null text is the empty text, an empty table gives no rows; very long texts are
     encoded whole and cut into windows. Pieces are computed once and written to the shared folder when this is called;
-    without ids (with_ids adds input_ids to the result and to what is shuffled) they are a few numbers each. A full window
+    they are ranked and placed as a few numbers each; with_ids adds input_ids, which meet their places in one shuffle at the end. A full window
     is a sequence; what is left goes by class of length. Of classes there are grain * grain + window / grain at most: their
     counts reach the driver, and the places, bounded by them, are broadcast. Ranks are numbered in buckets that grow in number.
     """
@@ -339,7 +339,9 @@ def pack_documents(docs: DataFrame, cfg: PackingConfig = PackingConfig(), with_i
     length = F.col("length")
     grains = small + F.ceil(length / cfg.grain).cast("long")
     kind = F.when(length == cfg.window, F.lit(-1)).when(length < small, length).otherwise(grains)
-    pieces = materialize(cut_documents(docs, cfg, with_ids), "pieces").withColumn("class", kind.cast("long"))
+    cut = cut_documents(docs, cfg, with_ids)
+    written = materialize(cut.withColumn("piece", F.monotonically_increasing_id()) if with_ids else cut, "pieces")
+    pieces = written.drop("input_ids").withColumn("class", kind.cast("long"))
     histogram = sorted((r["class"], r["n"]) for r in pieces.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect())
     full = sum(n for c, n in histogram if c < 0)
     rest = [x for x in histogram if x[0] >= 0]
@@ -351,7 +353,8 @@ def pack_documents(docs: DataFrame, cfg: PackingConfig = PackingConfig(), with_i
     placed = ranked.join(F.broadcast(places), fits).withColumn("sequence_id", full + F.col("first") + F.expr("(unit + (rank - low) div per) div a"))
     inside = W.partitionBy("sequence_id").orderBy(F.desc("class"), "rank").rowsBetween(W.unboundedPreceding, -1)
     filled = placed.select(*cols, "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"))
-    return windows.select(*cols, "sequence_id", "offset").unionByName(filled)
+    out = windows.select(*cols, "sequence_id", "offset").unionByName(filled)
+    return out.join(written.select("piece", "input_ids"), "piece").drop("piece") if with_ids else out
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
