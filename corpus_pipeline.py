@@ -41,9 +41,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' ids with their sequences and offsets."""
+    """Pieces of the documents' ids, the ids themselves, with their sequences and offsets."""
     ship(spark)
-    return pack_documents(docs)
+    return pack_documents(docs, with_ids=True)
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("SimHash near-dedup", near_dedup), ("PII", personal_data), ("packing", packing)]
