@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_hot, materialize
+from .common import discard, join_hot, materialize, slices
 from .components import components
 from .simhash import fingerprint_of, keep_least, mih_links
 
@@ -51,18 +51,11 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, max(n, 1)).view(np.int64))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of so many rows: a text's hashes are as large as the text, and a worker has little memory."""
-    for batch in batches:
-        for begin in range(0, batch.num_rows, rows):
-            yield batch.slice(begin, rows)
-
-
 def _sets(shingle: int):
     """sid (a hash of the set) and grams of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             found = [shingle_set(x or b"", shingle) for x in batch["text"].to_pylist()]
             ids = np.fromiter(map(_sid, found), np.uint64, len(found)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found, pa.list_(pa.int64()))], names=["sid", "grams"])
@@ -79,7 +72,7 @@ def _prefixes(shared: object, shingle: int, similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
-        for batch in _slices(batches):
+        for batch in slices(batches):
             ids, prints, sizes, out = [], [], [], []
             for text in batch["text"].to_pylist():
                 g = shingle_set(text or b"", shingle)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import materialize, rank_rows
+from .common import materialize, rank_rows, slices
 
 
 @dataclass(frozen=True)
@@ -144,7 +144,7 @@ def default_tokenizer() -> str:
 def _cut(cfg: PackingConfig, with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(cfg)
-        for batch in batches:
+        for batch in slices(batches):
             rows, ids_of = [], []
             for i, ids in enumerate(ids for group in _groups(batch["text"].to_pylist()) for ids in encode(group)):
                 ids = np.append(ids, np.uint32(cfg.end_id)).astype("<u4", copy=False)
