@@ -139,8 +139,11 @@ def similar_roots(rows: DataFrame, texts: DataFrame, shingle: int, similarity: f
     most = F.floor(F.col("size") / similarity + _SLACK)
     able_sids = keys.groupBy("sid").agg(F.count(F.lit(1)).alias("c"), F.first("size").alias("size")).where(F.col("c") >= least - _behind(most, similarity)).select("sid")
     chosen = rows.join(able_sids, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"))
-    found = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left_semi").select("text")
-    sets = materialize(found.mapInArrow(_sets(shingle), "sid bigint, grams array<bigint>").groupBy("sid").agg(F.first("grams").alias("grams")), "sets")
+    # One row a set: repeated rows are dropped where the join has brought them, by its own keys, which are never null.
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    wanted = chosen.select(named("__id").alias("__k"), F.col("__th").alias("th"))
+    found = texts.withColumn("__k", named("doc_id")).join(wanted, ["__k", "th"], "left_semi").dropDuplicates(["__k", "th"]).select("text")
+    sets = materialize(found.mapInArrow(_sets(shingle), "sid bigint, grams array<bigint>"), "sets")
     links = _verified(_close(rows), sets, similarity)
     nodes = None
 
