@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -42,63 +43,46 @@ _LETTERS, _NUMBERS = r"A-Za-z\xAA\xB5\xBA\xC0-\xD6\xD8-\xF6\xF8-\u024F", r"0-9\x
 UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7E\xA1-\u024F\u2010-\u2027\u20AC]")
 #: The pattern by which byte-level BPE cuts a text into words, a fixed value of the public vocabulary, on those characters.
 SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ENCODERS: dict[str | None, Callable[[list[str]], list[np.ndarray]]] = {}
 
 
 class _Words(dict):
-    """Word to its ids' bytes, as the tokenizer gives them; emptied at 500,000 words."""
+    """Word to its ids' bytes; emptied at 300,000 words. Long words are the tokenizer's own work, and not kept."""
 
     def __init__(self, tokenizer: object):
         super().__init__()
-        self.tokenizer = tokenizer
-        self.new: set[str] = set()
-        vocabulary = tokenizer.get_vocab()
-        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        self.sizes[list(vocabulary.values())] = [len(token) for token in vocabulary]
-
-    def learn(self, new: set[str]) -> None:
-        """Encode words that are not known, all at once."""
-        words = list(new)
-        found = np.array(self.tokenizer.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
-        # a token stands for as many bytes as its name has characters, so words end where their bytes do
-        at = np.cumsum(self.sizes[found])
-        ends = 4 * (np.searchsorted(at, np.cumsum([len(w.encode()) for w in words])) + 1)
-        ids = found.tobytes()
-        start = 0
-        for word, end in zip(words, ends.tolist(), strict=True):
-            self[word] = ids[start:end]
-            start = end
+        self.tokenizer, self.merge = tokenizer, _merger(tokenizer)
 
     def __missing__(self, word: str) -> bytes:
-        self.new.add(word)
-        return b""
-
-    def ids(self, texts: list[list[str]]) -> list[bytes]:
-        """The ids of texts cut into words. Unknown words are learned together; texts that have some are looked up again, long ones are not kept."""
-        out, gaps = [], []
-        for i, text in enumerate(texts):
-            before = len(self.new)
-            out.append(b"".join(map(self.__getitem__, text)))
-            if len(self.new) > before or self.new and not self.new.isdisjoint(text):
-                gaps.append(i)
-        if gaps:
-            new, self.new = self.new, set()
-            if len(self) + len(new) > 500_000:
-                self.clear()
-                new = set().union(*[texts[i] for i in gaps])
-            self.learn(new)
-            for i in gaps:
-                out[i] = b"".join(map(self.__getitem__, texts[i]))
-            for word in new:
-                if len(word) > 100:
-                    del self[word]
-        return out
+        if len(word) > 100:
+            found = self.tokenizer.encode_batch_fast([[word]], is_pretokenized=True, add_special_tokens=False)[0].ids
+            return array("I", found).tobytes()
+        if len(self) >= 300_000:
+            self.clear()
+        self[word] = ids = array("I", self.merge(word)).tobytes()
+        return ids
+
+
+def _merger(tokenizer: object) -> Callable[[str], list[int]]:
+    """A word's ids by the byte-level vocabulary of a tokenizer whose ids are in the order of its merges.
+
+    The merging itself is tiktoken's, several times faster a word than tokenizers' and with the same ids, as tests hold.
+    """
+    import tiktoken
+
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary's names
+    others = [b for b in range(256) if b not in plain]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+    added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    ranks = {bytes(map(byte.__getitem__, name)): i for name, i in tokenizer.get_vocab().items() if name not in added}
+    return tiktoken.Encoding("words", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 def encoder(cfg: PackingConfig) -> Callable[[list[str]], list[np.ndarray]]:
     """Texts to ids as tokenizers gives them without special tokens; one for each process.
 
-    The tokenizer encodes a text word by word, so texts are cut into words here and it is given each distinct word once.
+    The tokenizer encodes a text word by word, so texts are cut into words here and each word's ids are looked up.
     Texts that hold an added token, or characters on which the cut might differ, go through it as a whole.
     """
     if cfg.tokenizer not in _ENCODERS:
@@ -107,16 +91,16 @@ def encoder(cfg: PackingConfig) -> Callable[[list[str]], list[np.ndarray]]:
 
         tokenizer = Tokenizer.from_file(cfg.tokenizer or default_tokenizer())
         added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        words = _Words(tokenizer)
+        words = None if cfg.tokenizer else _Words(tokenizer)
 
         def whole(text: str) -> bool:
             return bool(cfg.tokenizer) or UNUSUAL.search(text) is not None or any(t in text for t in added)
 
         def encode(texts: list[str]) -> list[np.ndarray]:
             apart = [whole(t) for t in texts]
-            found = iter(words.ids([SPLIT.findall(t) for t, a in zip(texts, apart, strict=True) if not a]))
             alone = lambda t: np.array(tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4")
-            return [alone(t) if a else np.frombuffer(next(found), "<u4") for t, a in zip(texts, apart, strict=True)]
+            known = lambda t: np.frombuffer(b"".join(map(words.__getitem__, SPLIT.findall(t))), "<u4")
+            return [alone(t) if a else known(t) for t, a in zip(texts, apart, strict=True)]
 
         _ENCODERS[cfg.tokenizer] = encode
     return _ENCODERS[cfg.tokenizer]
