@@ -48,10 +48,16 @@ def discard(*tables: DataFrame) -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of so many rows: what is made of a text may be as large as the text, and a worker has little memory."""
+    """The batches in parts of so many rows: what is made of a text may be as large as the text, and a worker has little memory.
+
+    After the last, memory that is free goes back to the system: workers wait for their next task beside others.
+    """
     for batch in batches:
         for begin in range(0, batch.num_rows, rows):
             yield batch.slice(begin, rows)
+    batch = None  # noqa: F841
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_hot, let, materialize
+from .common import join_hot, let, materialize, slices
 
 #: A line ends after a line feed, or after a sentence end and white space.
 _UNIT = re.compile(r"[^\n.!?]*(?:[.!?]+(?![\s.!?])[^\n.!?]*)*(?:[.!?]+[^\S\n]*\n?|\n|$)")
@@ -121,7 +121,7 @@ def _window_minima(grams: np.ndarray, ends: np.ndarray, runs: np.ndarray) -> np.
 def _analyse(cfg: LineConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], [], [], [], [], []]
             for text in batch["text"].to_pylist():
                 lines = cut_lines(text or "")
