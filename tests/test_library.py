@@ -131,6 +131,22 @@ def test_joins_and_sets(spark):
     assert sorted((r["g"], r["r"]) for r in kept.collect()) == [(1, 0.1), (1, 0.2), (2, 0.9)]
 
 
+def test_first_match_makes_no_pairs(spark):
+    names = ["", "a", "ab", "bc", "abc", "äb", "zäbz", "q", None, "abcd", "x"]
+    left = spark.createDataFrame([(i, n, "t" if i % 3 else "u") for i, n in enumerate(names)], "i int, name string, pt string")
+    shown = [(7, "abc", "t"), (3, "b", "v"), (5, "xäbx", "u"), (2, "abc", "w"), (9, None, "t"), (4, "q", "t")]
+    right = spark.createDataFrame(shown, "o int, sel string, txt string")
+    want = {}
+    for i, n in enumerate(names):
+        tiers = [(t, o) for o, s, x in shown for t in ([1] if n is not None and s == n else []) + ([2] if None not in (n, s) and (n in s or s in n) else []) + ([3] if x == ("t" if i % 3 else "u") else [])]
+        want[i] = min(tiers)
+    out = joins.first_match(left, right, "i", [("same", "name", "sel"), ("within", "name", "sel"), ("same", "pt", "txt")], "o")
+    assert {r["i"]: (r["tier"], r["o"]) for r in out.collect()} == want
+    none = joins.first_match(left.where("name = 'x'"), right, "i", [("within", "name", "sel")], "o").collect()
+    assert [(r["o"], r["tier"]) for r in none] == [(5, 1)]
+    assert joins.first_match(left.where("name = 'x'"), right.where("o = 4"), "i", [("within", "name", "sel")], "o").first()["tier"] is None
+
+
 def test_cohorts(spark):
     df = spark.createDataFrame([(f"s{i}", "x" if i < 25 else "y", float(i % 7), float(i)) for i in range(30)], "subject string, site string, a double, b double")
     members = cohorts.assign_clusters(df, {"all_x": {"site": "x"}, "all_y": {"site": "y"}}, "subject")
