@@ -23,3 +23,14 @@ def test_equal_boxes_meet_once(spark):
     whole = joins.members(pairs, inner, outer, own, other)
     assert whole.select("a", "b").distinct().count() == whole.count() == 500 * 300
     assert joins.overlap_join(inner.where("a = 'd7'"), outer, own, other, 20).count() == 300
+
+
+def test_weights_are_those_of_the_number(spark):
+    rows = moments.with_weight(spark.range(5000), [F.col("id"), F.lit(3)], "w")
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", "id", F.lit("3")).cast("binary")), 1, 12), 16, 10).cast("long") / F.lit(float(16**12))
+    want = sum((F.when(u >= p, 1).otherwise(0) for p in moments.POISSON), F.lit(0))
+    assert rows.where(F.col("w") != want).count() == 0 and rows.where("w > 2").count() > 0
+
+
+def test_resampled_rows_are_small(spark, tiny):
+    assert "transform(sequence" not in plan(QUERIES["bootstrap_ci"].run(spark, tiny)).lower()

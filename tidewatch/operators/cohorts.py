@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .moments import POISSON
+from .moments import with_weight
 
 
 def assign_clusters(df: DataFrame, rules: Mapping[str, Mapping[str, str]], subject: str, least: int = 20) -> DataFrame:
@@ -59,23 +59,21 @@ def one_hot(df: DataFrame, column: str, levels: Sequence[str]) -> DataFrame:
     return df.select("*", *[(F.col(column) == v).cast("int").alias(f"is_{v.lower()}") for v in levels[1:]])
 
 
-def hash_uniform(*parts: Column) -> Column:
-    """A number in [0, 1) that the parts decide: reproducible resampling without state."""
-    digits = F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary")), 1, 12)
-    return F.conv(digits, 16, 10).cast("long") / F.lit(float(16**12))
+def dealt_out(df: DataFrame, row: str) -> DataFrame:
+    """df in as many parts as shuffles have. A count that is named is kept: by size alone rows that are yet to be multiplied go to few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), row)
 
 
 def bootstrap_mean(df: DataFrame, keys: Sequence[str], row: str, value: str, replicates: int, alpha: float = 0.05) -> DataFrame:
     """mean and the percentile interval of its bootstrap, by group.
 
     Each row gets a Poisson(1) weight in each replicate from a hash, so a replicate is one weighted aggregation and no
-    group is gathered; rows with weight 0 are never made.
+    group is gathered. Rows are dealt out before they are multiplied, so that every core has its share however few files there are.
     """
-    u = F.element_at("__us", F.col("__r") + 1)
-    weight = F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda s: u >= s))
-    rows = df.select(*keys, row, value, F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: hash_uniform(F.col(row), r)).alias("__us"))
-    rows = rows.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__w", weight).where("__w > 0")
-    means = rows.groupBy(*keys, "__r").agg((F.sum(F.col(value) * F.col("__w")) / F.sum("__w")).alias("__m"))
+    rows = dealt_out(df.select(*keys, row, value), row).withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    rows = with_weight(rows, [F.col(row), F.col("__r")], "__w")
+    sums = [F.sum(F.when(F.col("__w") > 0, F.col(value) * F.col("__w"))).alias("__s"), F.sum("__w").alias("__n")]
+    means = rows.groupBy(*keys, "__r").agg(*sums).where("__n > 0").withColumn("__m", F.col("__s") / F.col("__n"))
     bounds = means.groupBy(*keys).agg(F.percentile("__m", F.lit(alpha / 2)).alias("low"), F.percentile("__m", F.lit(1 - alpha / 2)).alias("high"), F.count(F.lit(1)).alias("replicates"))
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n")).join(bounds, list(keys))
 

@@ -7,6 +7,7 @@ everything after it works on groups.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -131,6 +132,16 @@ def dummies(column: str, levels: Sequence[str]) -> list[Column]:
 POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
 
 
+def with_weight(df: DataFrame, parts: Sequence[Column], name: str) -> DataFrame:
+    """df with a Poisson(1) count that an md5 of the parts decides: its first twelve digits as a share of 16^12.
+
+    Chances are compared as digits, which order as their numbers do. The hash is a column of its own, so that it is made once a row.
+    """
+    digits = F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary")), 1, 12)
+    weight = sum((F.when(F.col("__h") >= f"{math.ceil(p * 16**12):012x}", 1).otherwise(0) for p in POISSON), F.lit(0))
+    return df.withColumn("__h", digits).withColumn(name, weight).drop("__h")
+
+
 def bootstrap_correlation(df: DataFrame, keys: Sequence[str], group: str, x: str, y: str, replicates: int = 500, alpha: float = 0.05) -> DataFrame:
     """keys, n, r and the percentile interval low to high of the correlation of x and y when groups are drawn anew.
 
@@ -145,11 +156,9 @@ def bootstrap_correlation(df: DataFrame, keys: Sequence[str], group: str, x: str
     names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
     sketch = rows.groupBy(*keys, group).agg(*[p.alias(c) for p, c in zip(parts, names, strict=True)])
     name = F.coalesce(F.col(group).cast("string"), F.lit(""))
-    digits = F.substring(F.md5(F.concat_ws(":", name, F.col("__b").cast("string")).cast("binary")), 1, 12)
-    u = F.conv(digits, 16, 10).cast("long") / F.lit(float(16**12))
-    weight = sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
-    drawn = sketch.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__w", weight).where("__w > 0")
-    sums = drawn.groupBy(*keys, "__b").agg(*[F.sum(F.col(c) * F.col("__w")).alias(c) for c in names])
+    many = sketch.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    drawn = with_weight(many, [name, F.col("__b")], "__w")
+    sums = drawn.groupBy(*keys, "__b").agg(*[F.sum(F.when(F.col("__w") > 0, F.col(c) * F.col("__w"))).alias(c) for c in names])
     r = correlation(*[F.col(c) for c in names])
     bounds = sums.select(*keys, r.alias("__r")).where("__r IS NOT NULL").groupBy(*keys)
     interval = bounds.agg(*[F.percentile("__r", F.lit(q)).alias(c) for q, c in ((alpha / 2, "low"), (1 - alpha / 2, "high"))])
