@@ -34,3 +34,9 @@ def test_weights_are_those_of_the_number(spark):
 
 def test_resampled_rows_are_small(spark, tiny):
     assert "transform(sequence" not in plan(QUERIES["bootstrap_ci"].run(spark, tiny)).lower()
+
+
+def test_permutations_are_not_broadcast(spark, tiny):
+    """The size before explode let Spark collect all permutations of the smaller side."""
+    for key in ("permutation_p", "permutation_within_sites"):
+        assert "BroadcastHashJoin" not in plan(QUERIES[key].run(spark, tiny))

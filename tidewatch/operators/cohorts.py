@@ -82,15 +82,17 @@ def permutation_p(df: DataFrame, row: str, x: str, y: str, permutations: int, si
     """r of x and y, and the share of permutations of y (within sites, where one is named) at or above it: (hits + 1) / (permutations + 1).
 
     A permutation is the order of rows by a hash of its number and the row: places in that order meet the places in the order
-    of rows. Nothing is gathered: a window holds a site's rows of one permutation, a join has as many rows as all together.
+    of rows, which are numbered once. Nothing is gathered: a window holds a site's rows of one permutation, and the join is by
+    sorting, as the size before explode would have Spark broadcast all permutations through the driver.
     """
     own = F.col(site) if site else F.lit(0)
-    place = lambda *by: F.row_number().over(W.partitionBy("__site", "__p").orderBy(*by))
+    place = lambda *by: F.row_number().over(W.partitionBy(*by[0]).orderBy(*by[1:]))
     rows = df.select(F.col(row).alias("__row"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), own.alias("__site"))
-    rows = rows.withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
-    here = rows.select("__site", "__p", "__x", place("__row").alias("__k"))
-    there = rows.select("__site", "__p", "__y", place(F.when(F.col("__p") > 0, F.md5(F.concat_ws(":", "__p", "__row").cast("binary"))), "__row").alias("__k"))
-    r = here.join(there, ["__site", "__p", "__k"]).groupBy("__p").agg(F.corr("__x", "__y").alias("r"))
+    here = rows.select("__site", "__x", place(["__site"], "__row").alias("__k"))
+    many = dealt_out(rows, "__row").withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
+    by = F.when(F.col("__p") > 0, F.md5(F.concat_ws(":", "__p", "__row").cast("binary")))
+    there = many.select("__site", "__p", "__y", place(["__site", "__p"], by, "__row").alias("__k"))
+    r = there.hint("merge").join(here, ["__site", "__k"]).groupBy("__p").agg(F.corr("__x", "__y").alias("r"))
     first = r.where("__p = 0").select(F.col("r").alias("__r"))
     hits = F.sum(F.when(F.col("r") >= F.col("__r") - 1e-9, 1).otherwise(0))
     return r.where("__p > 0").join(F.broadcast(first)).groupBy(F.col("__r").alias("r")).agg(((hits + 1) / (permutations + 1)).alias("p"))
