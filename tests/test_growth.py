@@ -40,3 +40,14 @@ def test_permutations_are_not_broadcast(spark, tiny):
     """The size before explode let Spark collect all permutations of the smaller side."""
     for key in ("permutation_p", "permutation_within_sites"):
         assert "BroadcastHashJoin" not in plan(QUERIES[key].run(spark, tiny))
+
+
+def test_blend_keeps_halves(spark, tmp_path):
+    """0.8 * -9.625 + 0.2 * 41 is a half, and 0.2 * 41 isn't a fifth of 41."""
+    spark.createDataFrame([(0, -962.5), (3, -962.5)], "c_custkey long, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(87).select(F.when(F.col("id") < 41, 0).otherwise(3).cast("long").alias("o_custkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(QUERIES["left_join_blend"].sql).fetchall()
+    assert sorted((r["c_custkey"], r["score"]) for r in QUERIES["left_join_blend"].run(spark, str(tmp_path)).collect()) == sorted(want)
