@@ -51,3 +51,11 @@ def test_blend_keeps_halves(spark, tmp_path):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     want = con.execute(QUERIES["left_join_blend"].sql).fetchall()
     assert sorted((r["c_custkey"], r["score"]) for r in QUERIES["left_join_blend"].run(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_nearest_of_crowded_places(spark):
+    a = spark.range(200_000).select("id", (F.col("id") % 3).cast("int").alias("x"), F.lit(0).alias("y"))
+    b = spark.range(200_000).select(F.col("id").alias("near"), (F.col("id") % 2 * 5).cast("int").alias("u"), F.lit(0).alias("v"))
+    out = joins.nearest_point(a, b, "id", "near", ("x", "y"), ("u", "v"), 40)
+    got = {tuple(r) for r in out.select(F.col("id") % 3, "near", "d2").distinct().collect()}
+    assert got == {(0, 0, 0.0), (1, 0, 1.0), (2, 0, 4.0)} and out.count() == 200_000
