@@ -59,3 +59,10 @@ def test_nearest_of_crowded_places(spark):
     out = joins.nearest_point(a, b, "id", "near", ("x", "y"), ("u", "v"), 40)
     got = {tuple(r) for r in out.select(F.col("id") % 3, "near", "d2").distinct().collect()}
     assert got == {(0, 0, 0.0), (1, 0, 1.0), (2, 0, 4.0)} and out.count() == 200_000
+
+
+def test_equal_views_meet_once(spark):
+    views = spark.range(200_000).select(F.col("id").alias("snap"), F.lit(1).alias("k"), *[F.lit(v).alias(c) for c, v in zip(("vx", "vy", "vw", "vh"), (0, 0, 100, 100), strict=True)])
+    marks = spark.range(200_000).select(F.lit(1).alias("k"), (200_000 - F.col("id")).alias("place"), F.concat(F.lit("#"), "id").alias("dom_id"), *[F.lit(v).alias(c) for c, v in zip("xywh", (0, 0, 50, 50), strict=True)])
+    out = sections.assign_sections(views, marks, "k", ("vx", "vy", "vw", "vh"), ("x", "y", "w", "h"), "place", 900.0)
+    assert [tuple(r) for r in out.groupBy("section", "source").count().collect()] == [("#199999", "landmark", 200_000)]

@@ -12,11 +12,16 @@ from ..functions.boxes import overlap_area
 
 
 def assign_sections(snapshots: DataFrame, landmarks: DataFrame, key: str, view: Sequence[str], box: Sequence[str], order: str, doc_height: float) -> DataFrame:
-    """Each snapshot with the landmark that fills most of its viewport, the first on ties, else its third of the page."""
+    """Each snapshot with the landmark that fills most of its viewport, the first on ties, else its third of the page.
+
+    Viewports and boxes of a key meet once, however many snapshots and landmarks have them: of equal boxes only the first can win.
+    """
     area = overlap_area(tuple(map(F.col, view)), tuple(map(F.col, box)))
-    hits = snapshots.join(landmarks, key).withColumn("__a", area).where("__a > 0")
-    best = hits.groupBy(*snapshots.columns).agg(F.min(F.struct((-F.col("__a")).alias("a"), F.col(order).alias("o"), F.col("dom_id").alias("d"))).alias("__m"))
-    out = snapshots.join(best.select(*snapshots.columns, F.col("__m.d").alias("__d")), snapshots.columns, "left")
+    views = snapshots.select(key, *view).distinct()
+    boxes = landmarks.groupBy(key, *box).agg(F.min(F.struct(F.col(order).alias("o"), F.col("dom_id").alias("d"))).alias("__first"))
+    hits = views.join(boxes, key).withColumn("__a", area).where("__a > 0")
+    best = hits.groupBy(*views.columns).agg(F.min(F.struct((-F.col("__a")).alias("a"), "__first")).alias("__m"))
+    out = snapshots.join(best.select(*views.columns, F.col("__m.__first.d").alias("__d")), views.columns, "left").select(*snapshots.columns, "__d")
     middle = F.col(view[1]) + F.col(view[3]) / 2
     band = F.when(middle < doc_height / 3, "top").when(middle < 2 * doc_height / 3, "middle").otherwise("bottom")
     return out.withColumns({"section": F.coalesce("__d", band), "source": F.when(F.col("__d").isNotNull(), "landmark").otherwise("scroll_band")}).drop("__d")
