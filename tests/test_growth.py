@@ -66,3 +66,12 @@ def test_equal_views_meet_once(spark):
     marks = spark.range(200_000).select(F.lit(1).alias("k"), (200_000 - F.col("id")).alias("place"), F.concat(F.lit("#"), "id").alias("dom_id"), *[F.lit(v).alias(c) for c, v in zip("xywh", (0, 0, 50, 50), strict=True)])
     out = sections.assign_sections(views, marks, "k", ("vx", "vy", "vw", "vh"), ("x", "y", "w", "h"), "place", 900.0)
     assert [tuple(r) for r in out.groupBy("section", "source").count().collect()] == [("#199999", "landmark", 200_000)]
+
+
+def test_few_moments_are_summed_by_spark(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, 1.0, 2.0, 3.0), (1, 2.0, 0.5, 1.0), (None, 4.0, 1.0, 1.0), (2, float("nan"), 1.0, 1.0), (2, None, 1.0, 1.0), (2, float("inf"), 1.0, 1.0), (3, 1.0, 1.0, -1.0)], "g int, a double, b double, y double")
+    native = moments.group_moments(rows, "g", ["a", "b"], ["y"])
+    assert "MapInArrow" not in plan(native)
+    got = {r["g"]: r["m"] for r in native.collect()}
+    monkeypatch.setattr(moments, "_NATIVE", 0)
+    assert got == {r["g"]: r["m"] for r in moments.group_moments(rows, "g", ["a", "b"], ["y"]).collect()} and set(got) == {1, 3, None}

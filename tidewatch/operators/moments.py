@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Numbers of moments that a task holds before it hands them on.
 _HELD = 1 << 22
+#: Components up to which Spark's own sums make the moments: one aggregate each for 36 products at most.
+_NATIVE = 8
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,9 +60,16 @@ def group_moments(df: DataFrame, group: str, features: Sequence[str], targets: S
     """group and m: the upper triangle of the moments of (1, features, targets), row by row.
 
     Rows with a null, NaN or infinite component take no part; a null group is a group. Tasks add up what they read; a hot
-    group is a row a task.
+    group is a row a task. A few components are summed by Spark, whose cost a row doesn't depend on the number of groups; of
+    many, products are made in Arrow batches.
     """
     z = [F.lit(1.0), *[F.col(c).cast("double") for c in (*features, *targets)]]
+    if len(z) <= _NATIVE:
+        flat = df.select(F.col(group).alias("g"), *[c.alias(f"z{i}") for i, c in enumerate(z)])
+        for i in range(1, len(z)):
+            flat = flat.where(F.col(f"z{i}").isNotNull() & ~F.isnan(f"z{i}") & (F.abs(f"z{i}") < float("inf")))
+        upper = [F.sum(F.col(f"z{i}") * F.col(f"z{j}")) for i in range(len(z)) for j in range(i, len(z))]
+        return flat.groupBy("g").agg(F.array(*upper).alias("m")).withColumnRenamed("g", group)
     rows = df.select(F.col(group).alias("g"), F.array(*z).alias("z"))
     fine = F.forall("z", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     kind = rows.schema["g"].dataType.simpleString()
