@@ -75,3 +75,13 @@ def test_few_moments_are_summed_by_spark(spark, monkeypatch):
     got = {r["g"]: r["m"] for r in native.collect()}
     monkeypatch.setattr(moments, "_NATIVE", 0)
     assert got == {r["g"]: r["m"] for r in moments.group_moments(rows, "g", ["a", "b"], ["y"]).collect()} and set(got) == {1, 3, None}
+
+
+def test_sessions_are_held_in_small_parts(spark):
+    import pyarrow as pa
+
+    step = pa.array([[{"t": 0, "url": "", "path": "/", "at": 0.0, "most": 0.0, "options": []}]] * 1000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), step], names=["s", "__s"])
+    parts = list(explore._fold(explore.ExploreConfig(), "s", "t", (pa.int64(), pa.int64()))(iter([batch])))
+    assert max(p.num_rows for p in parts) <= explore._SESSIONS
+    assert [v for p in parts for v in p.column(0).to_pylist()] == list(range(1000))

@@ -26,6 +26,10 @@ CTA_TERMS = ("get started", "start", "try", "demo", "sign up", "subscribe", "pri
 DENIED = ("logout", "delete", "checkout", "payment", "signout", "sign-out")
 
 
+#: Sessions that a task holds as Python objects at once: an Arrow batch has thousands.
+_SESSIONS = 64
+
+
 @dataclass(frozen=True)
 class ExploreConfig:
     max_frames: int = 24
@@ -141,13 +145,14 @@ def _click(state: dict[str, Any], page_url: str, top: Any, reason: str) -> tuple
 def _fold(cfg: ExploreConfig, session: str, t: str, kinds: tuple[pa.DataType, pa.DataType]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for own in batch.to_pylist():
-                state = {"frames": 0, "clicks": 0, "pages": [], "actions": []}
-                for s in own["__s"]:
-                    rows.append((own[session], s["t"], *decide(state, s["url"], s["path"], (s["at"], s["most"]), s["options"], cfg)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (*kinds, pa.string(), pa.string(), pa.string()), strict=True)], names=[session, t, "action", "selector", "reason"])
+            for start in range(0, batch.num_rows, _SESSIONS):
+                rows = []
+                for own in batch.slice(start, _SESSIONS).to_pylist():
+                    state = {"frames": 0, "clicks": 0, "pages": [], "actions": []}
+                    for s in own["__s"]:
+                        rows.append((own[session], s["t"], *decide(state, s["url"], s["path"], (s["at"], s["most"]), s["options"], cfg)))
+                columns = list(zip(*rows, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (*kinds, pa.string(), pa.string(), pa.string()), strict=True)], names=[session, t, "action", "selector", "reason"])
 
     return run
 
