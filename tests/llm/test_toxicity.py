@@ -130,3 +130,23 @@ def test_very_long_texts(spark, documents, small):
 
 def test_few_words_share_a_bucket(documents):
     assert M.collisions(documents) < 0.05
+
+
+def test_models_are_sent_without_empty_buckets():
+    import pickle
+
+    import numpy as np
+
+    from tidewatch.llm.toxicity import ToxicityConfig, ToxicityModel
+
+    rng = np.random.default_rng(1)
+    counts, rates = np.zeros((1 << 20, 2), np.float32), np.full(1 << 20, 0.3, np.float32)
+    at = rng.integers(0, 1 << 20, 5000)
+    counts[at], rates[at] = rng.random((5000, 2)), rng.random(5000)
+    full = ToxicityModel(ToxicityConfig(), rng.random((64, 2)).astype(np.float32), 0.4, rng.random(64).astype(np.float32))
+    for model in (ToxicityModel(ToxicityConfig(), counts, 0.3, rates, 2.0, 3.0, (1.0, 2.0, 3.0)), full, ToxicityModel(ToxicityConfig())):
+        sent = pickle.dumps(model)
+        got = pickle.loads(sent)
+        assert len(sent) < 200_000 and got.weights == model.weights and got.lam == model.lam
+        for a, b in ((got.counts, model.counts), (got.rates, model.rates)):
+            assert a.dtype == b.dtype and np.array_equal(a.ravel(), b.ravel())

@@ -49,6 +49,36 @@ class ToxicityModel:
     k: float = 1.0
     weights: tuple[float, float, float] = (0.0, 1.0, 0.0)
 
+    def __getstate__(self) -> dict:
+        """Few buckets differ from the rest unless the table is large, and a broadcast is a file on every machine: only those are sent."""
+        pack = lambda x: x if isinstance(x, tuple) else _packed(x.ravel())
+        return {**self.__dict__, "counts": pack(self.counts), "rates": pack(self.rates)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.open()
+
+    def open(self) -> None:
+        """All buckets as arrays, which only what scores needs: a fitted model holds the few."""
+        if isinstance(self.counts, tuple):
+            self.counts, self.rates = _unpacked(*self.counts).reshape(-1, 2), _unpacked(*self.rates)
+
+
+def _packed(x: np.ndarray) -> tuple[int, float, np.ndarray | None, np.ndarray]:
+    """Length, a common value, and places and values of what differs from it; all values where that would be longer."""
+    some = np.sort(x[:: len(x) // 1000 + 1])
+    base = some[len(some) // 2] if len(some) else 0.0
+    at = np.flatnonzero(x != base).astype(np.int32)
+    return (len(x), base, at, x[at]) if len(at) <= len(x) // 2 else (len(x), base, None, x)
+
+
+def _unpacked(n: int, base: float, at: np.ndarray | None, values: np.ndarray) -> np.ndarray:
+    if at is None:
+        return values
+    out = np.full(n, base, values.dtype)
+    out[at] = values
+    return out
+
 
 def _core(word: str) -> str:
     return word.strip(EDGES) or word
@@ -65,6 +95,7 @@ class _Scores(dict):
 
     def __init__(self, model: ToxicityModel):
         super().__init__()
+        model.open()
         self.model = model
 
     def __missing__(self, word: str) -> float:
@@ -221,14 +252,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = Toxic
         marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(900_000 * cfg.max_labelled / n)).limit(cfg.max_labelled)
     rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").withColumn("fold", part)
     counted = rows.where("fold < 4").select("text", "toxic").mapInArrow(_count(cfg), "slot bigint, toxic bigint, clean bigint").groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toPandas()
-    size = 1 << cfg.hash_bits
-    sums = np.zeros((2 * size, 2), np.float32)
-    sums[counted["slot"].to_numpy(np.int64)] = counted[["toxic", "clean"]].to_numpy(np.float32)
-    toxic, clean = sums[:size].sum(axis=0, dtype=np.float64)
+    size, slot = 1 << cfg.hash_bits, counted["slot"].to_numpy(np.int64)
+    sums = counted[["toxic", "clean"]].to_numpy(np.float32)
+    words, starts = sums[slot < size], np.vstack([sums[slot >= size], np.zeros((1, 2), np.float32)])  # the last: a bucket without words
+    toxic, clean = words.sum(axis=0, dtype=np.float64)
     model = ToxicityModel(cfg, rate=(toxic + 1) / (toxic + clean + 2))
-    rest = sums[size:]
-    model.rates = (rest[:, 0] + cfg.prefix_prior * model.rate) / (rest.sum(axis=1) + cfg.prefix_prior)
-    model.counts = np.column_stack([sums[:size, 0], sums[:size].sum(axis=1)])
+    rates = (starts[:, 0] + cfg.prefix_prior * model.rate) / (starts.sum(axis=1) + cfg.prefix_prior)
+    at = 2 * slot[slot < size]
+    model.rates = (size, rates[-1], (slot[slot >= size] - size).astype(np.int32), rates[:-1])
+    model.counts = (2 * size, np.float32(0), np.concatenate([at, at + 1]).astype(np.int32), np.concatenate([words[:, 0], words.sum(axis=1)]))
+    del counted, slot, sums, words, starts, at
     shared = spark.sparkContext.broadcast(model)
     held = rows.where("fold = 4").select("text", "toxic")
     seen = held.mapInArrow(_observe(shared), "label int, n bigint, best double").toPandas()
