@@ -150,3 +150,21 @@ def test_models_are_sent_without_empty_buckets():
         assert len(sent) < 200_000 and got.weights == model.weights and got.lam == model.lam
         for a, b in ((got.counts, model.counts), (got.rates, model.rates)):
             assert a.dtype == b.dtype and np.array_equal(a.ravel(), b.ravel())
+
+
+def test_driver_holds_columns_not_rows(spark):
+    """A bucket in use takes tens of bytes of the driver's Python, also where rows are not sent as Arrow by default."""
+    import tracemalloc
+
+    docs = spark.range(400).selectExpr("id AS doc_id", "array_join(transform(sequence(0, 999), i -> concat(hex(xxhash64(id, i)), 'x')), ' ') AS text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    tracemalloc.start()
+    try:
+        model = M.fit_toxicity(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    used = len(model.counts[2]) // 2 + len(model.rates[2])
+    assert used > 350_000 and peak < 100 * used

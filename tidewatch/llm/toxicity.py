@@ -11,7 +11,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -205,11 +205,11 @@ def _observe(shared: object) -> Callable:
     return run
 
 
-def _measure(shared: object) -> Callable:
-    """Per text its label and features."""
+def _measure(shared: object, lam: float, k: float) -> Callable:
+    """Per text its label and features, under the law of lam and k."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = replace(shared.value, lam=lam, k=k)
         of = _segments_of(model)
         for batch in batches:
             rows = [(int(label), *_features(found, len(scores), model)) for label, (scores, found) in zip(batch["toxic"].to_pylist(), map(of, batch["text"].to_pylist()), strict=True)]
@@ -251,9 +251,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = Toxic
     if n > cfg.max_labelled:
         marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(900_000 * cfg.max_labelled / n)).limit(cfg.max_labelled)
     rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").withColumn("fold", part)
-    counted = rows.where("fold < 4").select("text", "toxic").mapInArrow(_count(cfg), "slot bigint, toxic bigint, clean bigint").groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toPandas()
-    size, slot = 1 << cfg.hash_bits, counted["slot"].to_numpy(np.int64)
-    sums = counted[["toxic", "clean"]].to_numpy(np.float32)
+    counted = rows.where("fold < 4").select("text", "toxic").mapInArrow(_count(cfg), "slot bigint, toxic bigint, clean bigint").groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # A row a bucket in use: columns of 12 bytes a row reach the driver, no objects.
+    counted = counted.select(F.col("slot").cast("int"), F.col("toxic").cast("float"), F.col("clean").cast("float")).toArrow()
+    size, slot = 1 << cfg.hash_bits, counted["slot"].to_numpy()
+    sums = np.column_stack([counted[c].to_numpy() for c in ("toxic", "clean")])
     words, starts = sums[slot < size], np.vstack([sums[slot >= size], np.zeros((1, 2), np.float32)])  # the last: a bucket without words
     toxic, clean = words.sum(axis=0, dtype=np.float64)
     model = ToxicityModel(cfg, rate=(toxic + 1) / (toxic + clean + 2))
@@ -264,7 +266,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = Toxic
     del counted, slot, sums, words, starts, at
     shared = spark.sparkContext.broadcast(model)
     held = rows.where("fold = 4").select("text", "toxic")
-    seen = held.mapInArrow(_observe(shared), "label int, n bigint, best double").toPandas()
+    seen = held.mapInArrow(_observe(shared), "label int, n bigint, best double").toArrow().to_pandas()
     hist = np.zeros(len(BINS) + 1)
     for label, count in seen.loc[seen["label"] < 0, ["label", "n"]].itertuples(index=False):
         hist[-1 - label] += count
@@ -273,8 +275,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = Toxic
     y = cases["label"].to_numpy(np.float64)
     model.weights = (0.0, 0.0, 0.0)
     if 0 < y.sum() < len(y):
-        cases = held.mapInArrow(_measure(spark.sparkContext.broadcast(model)), "label int, best double, sum double").toPandas()
+        cases = held.mapInArrow(_measure(shared, model.lam, model.k), "label int, best double, sum double").toArrow().to_pandas()
         model.weights = tuple(_fit_logistic(cases[["best", "sum"]].to_numpy(), cases["label"].to_numpy(np.float64)))
+    shared.destroy()
     return model
 
 
