@@ -33,3 +33,22 @@ def test_words_and_buckets(spark):
     import zlib
 
     assert r["w"] == ["a", "b c", "d"] and r["e"] == [] and r["b"] == zlib.crc32(b"12") % 10 and r["z"] == 0
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    """What a written table was shuffled through is deleted when it is written, not when the driver next collects garbage."""
+    import os
+    import time
+
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for top in dirs for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    before = files()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key)
+    df = spark.range(200_000).repartition(7).groupBy((F.col("id") % 50_000).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    out = M.materialize(df, "shuffled")
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert out.count() == 50_000 and df.count() == 50_000 and df.count() == 50_000 and spark.conf.get(key) == setting

@@ -82,3 +82,35 @@ def test_edges(edges, empty):
     ids = sorted((r["doc_id"] for r in kept.collect()), key=str)
     assert ids.count(6) == 1 and 9 not in ids and 3 not in ids and 4 not in ids and None in ids
     assert M.keep_one_similar(empty).count() == 0
+
+
+def test_disk_follows_pairs(spark, monkeypatch):
+    """Only sets in a pair are written, and the stages leave no more than a few numbers a row in the shared folder."""
+    import os
+
+    from tidewatch.llm import common
+
+    random.seed(8)
+    passage = " ".join(f"p{random.randrange(10**6)}" for _ in range(60))
+    words = lambda n: " ".join(f"w{random.randrange(10**6)}" for _ in range(n))
+    # Half of each text is a passage that all have: prefixes meet there, but no two texts are similar but the last two.
+    texts = [f"{words(30)} {passage} {words(30)}" for _ in range(400)]
+    rows = [*enumerate(texts), (400, f"{texts[0]} more"), (401, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = []
+
+    def written(df, tag):
+        out = common.materialize(df, tag)
+        if tag == "sets":
+            sets.append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "materialize", written)
+    top = common.scratch_dir(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(top) for f in names if not f.startswith("."))
+    before = size()
+    kept = {r["doc_id"] for r in C.near_dedup(spark, docs, "").select("doc_id").collect()}
+    assert kept == {*range(400), 401} and sets and max(sets) <= 20
+    C.line_dedup(spark, docs, "").count()
+    files = sum(len([f for f in names if f.endswith(".parquet")]) for _, _, names in os.walk(top))
+    assert size() - before < 40 * len(rows) + 2000 * files

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
@@ -25,7 +25,8 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         large = both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
         small = large.join(least, F.col("u") == F.col("c")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.union(least.select("c", "m")).distinct(), "stars")
+        old, edges = edges, materialize(small.union(least.select("c", "m")).distinct(), "stars")
+        discard(old)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
         if now == before:
             break

@@ -92,16 +92,27 @@ def _fits(similarity: float, a: Column, b: Column) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * similarity - _SLACK
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that are similar enough; sets that are not there are in no such pair."""
+def _named(key: Column) -> Column:
+    """An id as text that no null equals: ids that are null meet, too."""
+    return F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("null"))
+
+
+def _verified(pairs: DataFrame, chosen: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are similar enough, by the sets of their texts: only those in a pair are made. chosen: sid and a row
+    that has its text; sets that are not there are in no such pair."""
     pairs = materialize(pairs.select("a", "b").distinct(), "candidates")
+    asked = pairs.select(F.col("a").alias("sid")).union(pairs.select("b"))
+    wanted = chosen.join(asked, "sid", "left_semi").select("__k", "th")
+    # One row a set: repeated rows are dropped where the join has brought them, by its own keys, which are never null.
+    found = texts.withColumn("__k", _named(F.col("doc_id"))).join(wanted, ["__k", "th"], "left_semi").dropDuplicates(["__k", "th"]).select("text")
+    sets = materialize(found.mapInArrow(_sets(shingle), "sid bigint, grams array<bigint>"), "sets")
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs"))
     left = materialize(counts.join(sets, F.col("a") == F.col("sid")).select("a", "pairs", F.col("grams").alias("left")), "left-sets")
     right = pairs.join(sets, F.col("b") == F.col("sid")).select("a", "b", F.col("grams").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
     union = F.size("left") + F.size("right") - both
     similar = materialize(join_hot(right, left, "a", "pairs").where(both >= union * similarity - _SLACK).select("a", "b"), "similar")
-    discard(pairs, left)
+    discard(pairs, sets, left)
     return similar
 
 
@@ -134,17 +145,14 @@ def similar_roots(rows: DataFrame, texts: DataFrame, shingle: int, similarity: f
     shared = materialize(prefix.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     keys = materialize(join_hot(prefix, shared, "key", "n"), "prefixes")
     discard(ordered, shared)
-    # Sets that share too few hashes of their prefixes with all others together are similar to none. The sets of the rest are read.
+    # Sets that share too few hashes of their prefixes with all others together are similar to none. Of the rest those in a pair are read.
     least = _needed(F.col("size") + F.ceil(F.col("size") * similarity - _SLACK), similarity)
     most = F.floor(F.col("size") / similarity + _SLACK)
     able_sids = keys.groupBy("sid").agg(F.count(F.lit(1)).alias("c"), F.first("size").alias("size")).where(F.col("c") >= least - _behind(most, similarity)).select("sid")
-    chosen = rows.join(able_sids, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"))
-    # One row a set: repeated rows are dropped where the join has brought them, by its own keys, which are never null.
-    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
-    wanted = chosen.select(named("__id").alias("__k"), F.col("__th").alias("th"))
-    found = texts.withColumn("__k", named("doc_id")).join(wanted, ["__k", "th"], "left_semi").dropDuplicates(["__k", "th"]).select("text")
-    sets = materialize(found.mapInArrow(_sets(shingle), "sid bigint, grams array<bigint>"), "sets")
-    links = _verified(_close(rows), sets, similarity)
+    chosen = rows.join(able_sids, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("k"))
+    chosen = materialize(chosen.select("sid", _named(F.col("k.doc_id")).alias("__k"), F.col("k.th").alias("th")), "chosen")
+    verified = lambda pairs: _verified(pairs, chosen, texts, shingle, similarity)
+    links = verified(_close(rows))
     nodes = None
 
     def connect() -> DataFrame:
@@ -169,14 +177,14 @@ def similar_roots(rows: DataFrame, texts: DataFrame, shingle: int, similarity: f
         lead = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("sid", F.lit(r)).alias("h"), "sid", "size", "root")).alias("l"))
         leaders = materialize(lead, "leaders")
         met = join_hot(nodes, leaders, "key", "n").where(F.col("root") != F.col("l.root"))
-        found = _verified(able(met.select(F.col("l.sid").alias("a"), F.col("sid").alias("b"), F.col("l.size").alias("m"), F.col("size").alias("n"))), sets, similarity)
+        found = verified(able(met.select(F.col("l.sid").alias("a"), F.col("sid").alias("b"), F.col("l.size").alias("m"), F.col("size").alias("n"))))
         links = links.union(found)
         discard(leaders)
         connect()
     one, two = (nodes.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("sid", "size", "root")]) for i in (1, 2))
     met = one.join(two, "key").where((F.col("sid1") < F.col("sid2")) & (F.col("root1") != F.col("root2")) & _fits(similarity, F.col("size1"), F.col("size2")))
-    found = _verified(able(met.select(F.col("sid1").alias("a"), F.col("sid2").alias("b"), F.col("size1").alias("m"), F.col("size2").alias("n"))), sets, similarity)
-    discard(keys, nodes, sets)
+    found = verified(able(met.select(F.col("sid1").alias("a"), F.col("sid2").alias("b"), F.col("size1").alias("m"), F.col("size2").alias("n"))))
+    discard(keys, nodes, chosen)
     return materialize(components(links.union(found)), "roots")
 
 
@@ -192,13 +200,16 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
     some = texts.where(F.pmod(F.xxhash64("th"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_sets(shingle), "sid bigint, grams array<bigint>")
     some = some.select(F.explode("grams").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    common = some.where(F.col("n") > COMMON).orderBy(F.desc("n"), "key").limit(MOST).select("key").toPandas()["key"].to_numpy(np.int64)
+    common = some.where(F.col("n") > COMMON).orderBy(F.desc("n"), "key").limit(MOST).select("key").toArrow()["key"].to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(common)
     rows = materialize(texts.mapInArrow(_prefixes(shared, shingle, similarity), f"doc_id {kind}, th bigint, sid bigint, fp bigint, size int, prefix array<bigint>"), "prefixes-of-rows")
     classes = rows.groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
     roots = similar_roots(rows, texts, shingle, similarity)
     named = classes.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "n", F.coalesce("root", "sid").alias("group"))
-    return join_hot(rows.select("doc_id", "th", "sid"), materialize(named, "named"), "sid", "n").select("doc_id", "th", "group")
+    named = materialize(named, "named")
+    groups = materialize(join_hot(rows.select("doc_id", "th", "sid"), named, "sid", "n").select("doc_id", "th", "group"), "groups")
+    discard(rows, named, roots)
+    return groups
 
 
 def keep_one_similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_hot, let, materialize, slices
+from .common import discard, join_hot, let, materialize, slices
 
 #: A line ends after a line feed, or after a sentence end and white space.
 _UNIT = re.compile(r"[^\n.!?]*(?:[.!?]+(?![\s.!?])[^\n.!?]*)*(?:[.!?]+[^\S\n]*\n?|\n|$)")
@@ -177,7 +177,8 @@ def repeated_spans(docs: DataFrame, cfg: LineConfig = LineConfig()) -> DataFrame
     prints = rows.select("doc_id", "th", F.explode(F.arrays_zip("prints", "at")).alias("p")).select("doc_id", "th", F.col("p.prints").alias("g"), F.col("p.at").alias("at"))
     place = F.struct("doc_id", "th")
     shared = prints.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"), F.max(place).alias("two"), F.max(F.size("at")).alias("own")).where("own > 1 OR NOT (one <=> two)").select("g", "n")
-    hits = join_hot(prints, materialize(shared, "shared"), "g", "n").groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("hit"))
+    shared = materialize(shared, "shared")
+    hits = join_hot(prints, shared, "g", "n").groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("hit"))
     touched = rows.drop("prints", "at").dropDuplicates(["doc_id", "th"]).join(hits.select(F.col("doc_id").alias("hid"), F.col("th").alias("hth"), "hit"), F.col("doc_id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")))
     # Extension: every run that holds a fingerprint begins at its line or before; the first stands in the upper half.
     line = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))
@@ -185,18 +186,23 @@ def repeated_spans(docs: DataFrame, cfg: LineConfig = LineConfig()) -> DataFrame
     tails = lambda i: F.arrays_zip(*[F.slice(c, F.get("tail_from", i) + 1, F.get("tail_from", i + 1) - F.get("tail_from", i)).alias(a) for c, a in (("tail_keys", "key"), ("tail_stops", "stop"))])
     run = lambda i: F.struct(*[F.get(c, i).alias(a) for c, a in (("keys", "key"), ("starts", "start"), ("stops", "stop"))], tails(i).alias("tails"))
     runs = materialize(touched.select("doc_id", "th", F.explode(F.transform(near, lambda i: run(i.cast("int")))).alias("run")).select("doc_id", "th", "run.*"), "runs")
+    discard(rows, shared)
     again, later = _later(runs)
     # A common run up to a line holds the run from its first line on, which is common, too.
     ends = materialize(again.select("doc_id", "th", "start", F.explode("tails").alias("t")).select("doc_id", "th", "t.key", "start", "t.stop"), "tails")
-    later = later.union(_later(ends)[1])
-    spans = later.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("s"))
-    return spans.select("doc_id", "th", _merged(F.col("s")).alias("spans"))
+    again_ends, later_ends = _later(ends)
+    spans = later.union(later_ends).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("s"))
+    spans = materialize(spans.select("doc_id", "th", _merged(F.col("s")).alias("spans")), "spans")
+    discard(again, again_ends)
+    return spans
 
 
 def _later(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The runs whose key another run has, and of them doc_id, th, start and stop of all but the first of each key."""
+    """The runs whose key another run has, and of them doc_id, th, start and stop of all but the first of each key. The table of runs goes."""
     first = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "start")).alias("first")).where("n > 1")
-    again = materialize(join_hot(runs, materialize(first, "first"), "key", "n"), "again")
+    first = materialize(first, "first")
+    again = materialize(join_hot(runs, first, "key", "n"), "again")
+    discard(runs, first)
     return again, again.where(~F.struct("doc_id", "th", "start").eqNullSafe(F.col("first"))).select("doc_id", "th", "start", "stop")
 
 
