@@ -97,3 +97,43 @@ def test_edges(edges, empty):
         assert r["back"] == (texts[r["doc_id"]] or "")
         assert bool(r["samples"]) == bool(texts[r["doc_id"]])
     assert M.encode_documents(empty).count() == 0
+
+
+def test_words_are_cut_once_a_block(vocab):
+    """Units of many texts are those of each text by itself, and each distinct word is cut once."""
+    calls = []
+
+    class Counting:
+        def findall(self, s):
+            calls.append(s)
+            return vocab.units.findall(s)
+
+    class Same:
+        def __getattr__(self, name):
+            return getattr(vocab, name)
+
+    same = Same()
+    same.units = Counting()
+    odd = ["", "a", " a", "a ", "  a,b  c. ", "   ", "x▁y", "▁▁", "a.\nb", "a)\n b", "\n", ".\n", "é😀 ünï   text\r\nwith, it s", "a\0b c\0"]
+    texts = odd + ["and so, it goes on. "] * 50
+    lat = M.Lattices(same, M.PieceConfig())
+    numbers, sizes = lat.cut(texts)
+    names = list(lat.known)
+    got, at = [], 0
+    for n in sizes.tolist():
+        got.append([names[i] for i in numbers[at : at + n].tolist()])
+        at += n
+    assert at == len(numbers)
+    assert got == [vocab.units.findall(M.MARK + t.replace(" ", M.MARK)) if t else [] for t in texts]
+    assert len(calls) == len(set(calls))
+
+
+def test_crc_of_the_decoding_by_parts(vocab):
+    for text in ["", " ", "  two", "é😀 and so on\n", "word " * 300]:
+        ids = np.array(vocab.processor.encode(text), np.int64)
+        assert {vocab.decoded_crc(ids, step) for step in (1, 7, 1 << 18)} == {zlib.crc32(text.encode())}
+
+
+def test_numbers_of_one_and_many():
+    x = [0, 1, 7919, 2**63 - 1, 2**64 - 1]
+    assert M.uniform(np.array(x, np.uint64)).tolist() == [M.uniform_of(i) for i in x]

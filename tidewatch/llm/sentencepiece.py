@@ -25,6 +25,7 @@ from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ _SLOT_BITS = 19
 #: Between these letters and these signs units are cut where no piece of the vocabulary holds both side by side.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ʯ"
 SIGNS = ",.!?;:\n"
+_MARKED = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 @dataclass(frozen=True)
@@ -52,7 +54,7 @@ class PieceConfig:
     #: Nodes of cached lattices at which the cache starts anew.
     cache_nodes: int = 2_500_000
     #: Characters that are worked on at a time.
-    block_chars: int = 3_000_000
+    block_chars: int = 1_000_000
 
 
 class Vocabulary:
@@ -96,6 +98,9 @@ class Vocabulary:
             self.text[i] = p.replace(MARK, " ").encode()
         for b, i in self.bytes.items():
             self.text[i] = bytes([b])
+        #: The same bytes in one array: where an id's begin, how many they are.
+        self.flat, self.flat_len = np.frombuffer(b"".join(self.text), np.uint8), np.fromiter(map(len, self.text), np.int64, len(self.text))
+        self.flat_from = np.cumsum(self.flat_len) - self.flat_len
 
     def _index(self) -> None:
         """A hash table of the beginnings' polynomial hashes, with linear probing."""
@@ -128,6 +133,17 @@ class Vocabulary:
         """The UTF-8 text of ids; the space that encoding adds in front goes."""
         return b"".join(map(self.text.__getitem__, ids)).removeprefix(b" ")
 
+    def decoded_crc(self, ids: np.ndarray, step: int = 1 << 18) -> int:
+        """The crc32 of decode_bytes, step ids at a time."""
+        crc = 0
+        for at in range(0, len(ids), step):
+            part = ids[at : at + step]
+            sizes = self.flat_len[part]
+            stops = np.cumsum(sizes)
+            raw = self.flat[np.repeat(self.flat_from[part] - stops + sizes, sizes) + np.arange(stops[-1])]
+            crc = zlib.crc32(raw[1:] if at == 0 and len(raw) and raw[0] == 32 else raw, crc)
+        return crc
+
     def decode(self, ids: list[int]) -> str:
         return self.decode_bytes(ids).decode(errors="replace")
 
@@ -162,7 +178,7 @@ class Lattices:
         self.known: dict[str, int] = defaultdict(count().__next__)
         self.fallback: list[list[int]] = []
         self.raw: dict[str, int] = {}
-        #: By unit: first node, where its encoding is. By node: first edge, number of edges (0: the unit's end). By edge:
+        #: By unit: first node, where its encoding is. By node: first edge (-1: the unit's end), number of edges. By edge:
         #: target, id (negative: several bytes), log-probability at its node, running probability. And all encodings.
         room = self.cfg.cache_nodes + self.cfg.block_chars
         self.store = {name: _Growing(kind, room * 4 if name in ("to", "piece", "log", "run") else room) for name, kind in (("root", np.int32), ("enc_from", np.int32), ("enc_len", np.int32), ("first", np.int32), ("degree", np.int32), ("to", np.int32), ("piece", np.int32), ("log", np.float32), ("run", np.float32), ("encoded", np.int32))}
@@ -180,6 +196,30 @@ class Lattices:
             self._add(list(islice(self.known, before, None)))
         return out
 
+    def cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the texts' units, one text after another, and how many each text has.
+
+        Units end where a mark begins, so each word is cut once, however often the texts hold it.
+        """
+        plain = [t.replace(MARK, " ") for t in texts]
+        # Marks beside marks belong to the word behind them.
+        plain = [" ".join([x[1:] for x in _MARKED.findall(MARK + t.replace(" ", MARK))]) if "  " in t or t[:1] == " " else t for t in plain]
+        parts = pc.split_pattern(pa.array([t for t, own in zip(plain, texts, strict=True) if own], pa.string()), " ")
+        words = parts.values.dictionary_encode()
+        cut, units, each = self.vocab.units.findall, [], []
+        for w in words.dictionary.to_numpy(zero_copy_only=False).tolist():
+            own = cut(MARK + w)
+            units += own
+            each.append(len(own))
+        sizes, numbers = np.array(each, np.int64), self.numbers(units)
+        at = words.indices.to_numpy()
+        counts = sizes[at]
+        stops = np.concatenate(([0], np.cumsum(counts)))
+        out = numbers[np.repeat((np.cumsum(sizes) - sizes)[at] - stops[:-1], counts) + np.arange(stops[-1])]
+        held = np.zeros(len(texts), np.int64)
+        held[[bool(t) for t in texts]] = np.diff(stops[parts.offsets.to_numpy()])
+        return out, held
+
     def _encode(self, units: list[str]) -> list[list[int]]:
         """The library's encoding of each unit. It adds a mark in front, which a unit has, or which a line feed takes."""
         v, feed = self.vocab, self.vocab.bytes.get(10)
@@ -216,7 +256,7 @@ class Lattices:
         run[(starts + deg - 1)[has]] = 2.0  # the last edge takes what rounding leaves
         enc = self._encode(units)
         sizes = np.fromiter(map(len, enc), np.int64, len(enc))
-        new = {"root": roots, "enc_from": np.cumsum(sizes) - sizes + len(self.encoded), "enc_len": sizes, "first": starts + len(self.to), "degree": deg, "to": to, "piece": piece, "log": logs, "run": run, "encoded": np.fromiter(chain.from_iterable(enc), np.int32, int(sizes.sum()))}
+        new = {"root": roots, "enc_from": np.cumsum(sizes) - sizes + len(self.encoded), "enc_len": sizes, "first": np.where(has, starts + len(self.to), -1), "degree": deg, "to": to, "piece": piece, "log": logs, "run": run, "encoded": np.fromiter(chain.from_iterable(enc), np.int32, int(sizes.sum()))}
         for name, values in new.items():
             self.store[name].extend(values)
         self._views()
@@ -315,13 +355,14 @@ class Lattices:
         lanes = np.arange(len(nodes), dtype=np.int32)
         counts = np.zeros(len(nodes), np.int32)
         steps: list[tuple[np.ndarray, np.ndarray]] = []
-        at = nodes
-        live = self.degree[at] > 0
-        lanes, at = lanes[live], at[live]
+        edge = self.first[nodes]
         step = 0
-        while len(lanes):
+        while True:
+            live = np.flatnonzero(edge >= 0)
+            if not len(live):
+                break
+            lanes, edge = lanes[live], edge[live]
             u = uniform(seeds[lanes] + np.uint64(step))
-            edge = self.first[at]
             late = np.flatnonzero(u > self.run[edge])
             while len(late):
                 at_late = edge[late] + np.int32(1)
@@ -329,9 +370,7 @@ class Lattices:
                 late = late[u[late] > self.run[at_late]]
             steps.append((lanes, edge))
             counts[lanes] += 1
-            at = self.to[edge]
-            live = self.degree[at] > 0
-            lanes, at = lanes[live], at[live]
+            edge = self.first[self.to[edge]]
             step += 1
         out = np.empty(int(counts.sum()), np.int32)
         start = np.cumsum(counts) - counts
@@ -370,6 +409,14 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
+def uniform_of(x: int) -> float:
+    """As uniform, of one integer."""
+    mask = (1 << 64) - 1
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+    return (((x ^ (x >> 31)) >> 11) + 0.5) / 2.0**53
+
+
 def _gumbel_below(mass: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
     """The largest of Gumbel variables of a log-mass, given that it is below the bound."""
     return mass - np.log(np.exp(np.minimum(mass - bound, 700.0)) - np.log(u))
@@ -390,7 +437,7 @@ def sample_paths(lat: Lattices, paths: list[tuple[np.ndarray, np.ndarray]], root
     by unit, which a sample uses from the unit after its branch on.
     """
     k = len(paths)
-    first = float(-np.log(-np.log(uniform(np.array([seed], np.uint64))))[0])
+    first = float(-np.log(-np.log(uniform_of(seed))))
     #: Regions: -maximum, tie breaker, sample whose path it leaves, place on it, edges taken there.
     queue: list[tuple[float, int, int, int, tuple[int, ...]]] = [(-first, 0, -1, 0, ())]
     out: list[Sample] = []
@@ -409,7 +456,7 @@ def sample_paths(lat: Lattices, paths: list[tuple[np.ndarray, np.ndarray]], root
             back = int(lat.to[old[place - 1]]) if place else -1
             node = back if place and lat.degree[back] else int(roots[unit])
             node_edges = [e for e in range(int(lat.first[node]), int(lat.first[node] + lat.degree[node])) if e not in taken]
-            mix = uniform(np.array([seed + 7919 * (j + 1)], np.uint64))[0]
+            mix = uniform_of(seed + 7919 * (j + 1))
             weights = np.exp(lat.log[node_edges])
             pick = node_edges[min(int(np.searchsorted(np.cumsum(weights), mix * weights.sum())), len(node_edges) - 1)]
             # The rest of the unit after the branch, then the drawn paths of the units that follow.
@@ -421,7 +468,7 @@ def sample_paths(lat: Lattices, paths: list[tuple[np.ndarray, np.ndarray]], root
             if rest:
                 mass = float(lat.log[old[:place]].sum() + np.log(np.exp(lat.log[rest]).sum()))
                 made += 1
-                g = _gumbel_below(np.array([mass]), top, uniform(np.array([seed + 15_485_863 * made], np.uint64)))[0]
+                g = _gumbel_below(np.array([mass]), top, np.array([uniform_of(seed + 15_485_863 * made)]))[0]
                 heapq.heappush(queue, (-float(g), made, parent, place, (*taken, pick)))
         logs = lat.log[edges]
         out.append(Sample(edges, float(logs.sum(dtype=np.float64)), top))
@@ -463,10 +510,7 @@ def _run(cfg: PieceConfig, with_ids: bool) -> Callable:
     def block(lat: Lattices, keys: list, texts: list[str]) -> list[tuple]:
         if len(lat.first) > cfg.cache_nodes:
             lat.reset()
-        cut = lat.vocab.units.findall
-        units = [cut(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
-        numbers = lat.numbers(list(chain.from_iterable(units)))
+        numbers, sizes = lat.cut(texts)
         seeds = np.fromiter((xxhash.xxh64_intdigest(str(k).encode(), cfg.seed) for k in keys), np.uint64, len(keys))
         stops = np.cumsum(sizes)
         within = np.arange(len(numbers)) - np.repeat(stops - sizes, sizes)
@@ -484,7 +528,7 @@ def _run(cfg: PieceConfig, with_ids: bool) -> Callable:
             ids = encoded[enc_to[a] : enc_to[b]]
             found = sample_paths(lat, [(e[s[a] : s[b]], c[a:b]) for e, c, s in draws], lat.root[numbers[a:b]], int(seeds[i]) >> 1) if b > a else []
             samples = [(lat.ids(s.edges), s) for s in found]
-            out.append((ids, zlib.crc32(lat.vocab.decode_bytes(ids.tolist())), samples))
+            out.append((ids, lat.vocab.decoded_crc(ids), samples))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
