@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from tidewatch.llm import lines as M
@@ -106,3 +107,26 @@ def test_very_long_texts(spark):
     rows = M.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     by = {r["doc_id"]: r["text"] for r in rows}
     assert by[0] == line and by[1] == texts[1] and by[2] == texts[2] and len(by[3]) < 200
+
+
+def test_many_texts_are_worked_on_at_once(monkeypatch):
+    """Outlines are those of each text by itself, without a pass over arrays for every text."""
+    random.seed(3)
+    texts = [None, "", "a", "\n\n", "x " * 70] + ["".join(random.choice(["a b c. ", "d! ", "\n", "word " * 20 + ". ", "e f\n"]) for _ in range(random.randint(0, 60))) for _ in range(195)]
+    batch = lambda x: pa.RecordBatch.from_arrays([pa.array(range(len(x))), pa.array(range(len(x))), pa.array(x, pa.string())], names=["doc_id", "th", "text"])
+    outlines = lambda x: [r for b in M._analyse(M.LineConfig())(iter([batch(x)])) for r in b.drop_columns(["doc_id", "th"]).to_pylist()]
+    alone = [outlines([t])[0] for t in texts]
+    calls, inner = [], M._hash_spans
+    monkeypatch.setattr(M, "_hash_spans", lambda *a: calls.append(1) or inner(*a))
+    assert outlines(texts) == alone and len(calls) < 10
+    monkeypatch.setattr(M, "_BLOCK", 300)
+    assert outlines(texts) == alone
+
+
+def test_equal_rows_count_as_one(spark):
+    line = lambda a, n: " ".join(f"{a}{i}" for i in range(n)) + ". "
+    rows = [(1, line("a", 40)), (1, line("a", 40)), (2, line("b", 40) + line("c", 3)), (3, line("b", 40)), (3, line("b", 40)), (None, line("d", 40)), (None, line("d", 40)), (4, line("e", 33)), (None, line("e", 33)), (5, line("f", 50) * 2), (5, line("f", 50) * 2), (6, line("g", 40)), (6, line("g", 40) + line("h", 2))]
+    got = sorted(map(repr, M.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text").collect()))
+    kept = [(d, "" if d in (3, 4) else line("f", 50) if d == 5 else t) for d, t in rows]
+    assert [x for x in got if "doc_id=6" not in x] == sorted(f"Row(doc_id={d}, text={t!r})" for d, t in kept if d != 6)
+    assert sum(line("g", 40) in x for x in got) == 1

@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,22 +37,27 @@ class LineConfig:
     gram_words: int = 16
 
 
+#: Code points that are worked on at once; a longer text is worked on alone.
+_BLOCK = 2_000_000
+
+
 def cut_lines(text: str) -> list[str]:
     """The lines of a text; joined they are the text."""
     return [x for x in _UNIT.findall(text) if x]
 
 
-def _spans(words: np.ndarray, least: int) -> np.ndarray:
-    """For each line the end of the shortest run from it on with least words; -1 where the text ends before."""
-    sums = np.concatenate(([0], np.cumsum(words)))
+def _spans(sums: np.ndarray, last: np.ndarray, least: int) -> np.ndarray:
+    """For each line the end of the shortest run from it on with least words; -1 where its text ends before.
+
+    sums: words before each line and after the last, over many texts; last: by line, the end of its text.
+    """
     ends = np.searchsorted(sums, sums[:-1] + least, "left")
-    return np.where(ends < len(sums), ends, -1)
+    return np.where(ends <= last, ends, -1)
 
 
-def _tails(words: np.ndarray, least: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _tails(sums: np.ndarray, first: np.ndarray, least: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First lines and ends of the shortest runs up to each line with least words that are not among the runs in ends."""
-    sums = np.concatenate(([0], np.cumsum(words)))
-    stops = np.flatnonzero(sums >= least)
+    stops = np.flatnonzero(sums[1:] - sums[first] >= least) + 1
     starts = np.searchsorted(sums, sums[stops] - least, "right") - 1
     new = ends[starts] != stops
     return starts[new], stops[new]
@@ -72,88 +78,127 @@ class _Powers:
             self.up, self.down = row(np.uint64(self.base)), row(np.uint64(pow(self.base, -1, 1 << 64)))
 
 
-def _prefix_sums(hashes: np.ndarray, powers: _Powers) -> np.ndarray:
-    powers.reach(len(hashes) + 1)
-    return np.concatenate(([np.uint64(0)], np.cumsum(hashes * powers.up[: len(hashes)], dtype=np.uint64)))
-
-
-def _hash_spans(sums: np.ndarray, starts: np.ndarray, stops: np.ndarray, powers: _Powers) -> np.ndarray:
+def _hash_spans(sums: np.ndarray, starts: np.ndarray, stops: np.ndarray, within: np.ndarray, powers: _Powers) -> np.ndarray:
     """A 64-bit hash of each run of lines: a polynomial of their hashes, mixed.
 
-    With prefix sums S of hash * base^i, the run i..j has S[j] - S[i] = base^i * value; the odd base has an inverse.
+    With prefix sums S of hash * base^i, the run i..j has S[j] - S[i] = base^i * value; the odd base has an inverse. Powers go
+    by the line's number in its text (within), and what stands before the text is in both sums.
     """
-    value = (sums[stops] - sums[starts]) * powers.down[starts]
+    value = (sums[stops] - sums[starts]) * powers.down[within[starts]]
     value ^= value >> np.uint64(31)
     value *= np.uint64(0xBF58476D1CE4E5B9)
     value ^= value >> np.uint64(29)
     return value
 
 
-def _hash_runs(sums: np.ndarray, ends: np.ndarray, powers: _Powers) -> np.ndarray:
-    """The hash of the run from each line to its end; 0 where it has none."""
-    at = np.flatnonzero(ends >= 0)
-    out = np.zeros(len(ends), np.uint64)
-    out[at] = _hash_spans(sums, at, ends[at], powers)
-    return out
-
-
-def _window_minima(grams: np.ndarray, ends: np.ndarray, runs: np.ndarray) -> np.ndarray:
-    """Lines whose gram is the least, the last on ties, of some run's grams: of those that lie within the run."""
-    chosen = set()
-    stops = ends.tolist()
-    hashes = grams.tolist()
-    queue: list[int] = []  # increasing hashes, sliding over the lines
-    head = nxt = 0
-    for i, run in enumerate(runs.tolist()):
-        if run < 0:
-            break
-        while nxt < len(stops) and 0 <= stops[nxt] <= run:
-            while len(queue) > head and hashes[queue[-1]] >= hashes[nxt]:
-                queue.pop()
-            queue.append(nxt)
-            nxt += 1
-        while queue[head] < i:
-            head += 1
-        chosen.add(queue[head])
-    return np.array(sorted(chosen), np.int64)
+def _window_minima(grams: np.ndarray, ends: np.ndarray, runs: np.ndarray, bounds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Lines whose gram is the least, the last on ties, of some run's grams: of those that lie within the run. And how many
+    each text has. Lines of many texts, each from one of the bounds to the next."""
+    chosen: list[int] = []
+    counts = []
+    stops, hashes, spans = ends.tolist(), grams.tolist(), runs.tolist()
+    for begin, end in zip(bounds, bounds[1:], strict=False):
+        before = len(chosen)
+        last = -1
+        queue: list[int] = []  # increasing hashes, sliding over the lines
+        head, nxt = 0, begin
+        for i in range(begin, end):
+            run = spans[i]
+            if run < 0:
+                break
+            while nxt < end and 0 <= stops[nxt] <= run:
+                while len(queue) > head and hashes[queue[-1]] >= hashes[nxt]:
+                    queue.pop()
+                queue.append(nxt)
+                nxt += 1
+            while queue[head] < i:
+                head += 1
+            if queue[head] != last:
+                last = queue[head]
+                chosen.append(last)
+        counts.append(len(chosen) - before)
+    return np.array(chosen, np.int64), np.array(counts, np.int64)
+
+
+def _lists(values, sizes: np.ndarray) -> pa.ListArray:
+    """Values in lists of so many, one after another."""
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values if isinstance(values, pa.Array) else pa.array(values, pa.int64()))
 
 
 def _analyse(cfg: LineConfig):
+    powers = _Powers()
+
+    def outlines(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        lines = [cut_lines(t) for t in texts]
+        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+        flat = list(chain.from_iterable(lines))
+        words_in, hashed = [], []
+        for x in flat:
+            own = x.split()
+            words_in.append(len(own))
+            hashed.append(xxhash.xxh64_intdigest(" ".join(own)))
+        hashes = np.array(hashed, np.uint64)
+        words = np.concatenate(([0], np.cumsum(np.array(words_in, np.int64))))
+        chars = np.concatenate(([0], np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)))))
+        # Lines of all texts are numbered through.
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        first, last = np.repeat(bounds[:-1], sizes), np.repeat(bounds[1:], sizes)
+        within = np.arange(len(flat)) - first
+        powers.reach(int(sizes.max(initial=0)) + 1)
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(hashes * powers.up[within], dtype=np.uint64)))
+        runs, ends = _spans(words, last, cfg.run_words), _spans(words, last, cfg.gram_words)
+        grams = np.zeros(len(flat), np.uint64)
+        held = np.flatnonzero(ends >= 0)
+        grams[held] = _hash_spans(sums, held, ends[held], within, powers)
+        chosen, each = _window_minima(grams, ends, runs, bounds.tolist())
+        # Runs from one line on: from a text's first line to the last that has a whole run.
+        at = np.flatnonzero(runs >= 0)
+        whole = runs[at]
+        before = np.searchsorted(at, bounds)
+        n = np.diff(before)
+        # Runs that hold a fingerprint: from the first that reaches its gram's end to the one at its line.
+        text = np.repeat(np.arange(len(lines)), each)
+        spots = chosen - bounds[text]
+        lows = np.minimum(np.searchsorted(whole, ends[chosen], "left") - before[text], spots)
+        prints, places, several = [], [], []
+        found, where, stop = grams[chosen].view(np.int64).tolist(), ((lows << 32) | spots).tolist(), 0
+        for k in each.tolist():
+            by: dict[int, list[int]] = {}
+            for g, i in zip(found[stop : stop + k], where[stop : stop + k], strict=True):
+                by.setdefault(g, []).append(i)
+            stop += k
+            prints += by
+            places += by.values()
+            several.append(len(by))
+        start = chars[bounds]
+        begins, tails = _tails(words, first, cfg.run_words, runs)
+        tails_before = np.searchsorted(begins, bounds)
+        asked = np.arange(int(n.sum()) + len(n)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
+        tail_from = np.searchsorted(begins, np.repeat(bounds[:-1], n + 1) + asked) - np.repeat(tails_before[:-1], n + 1)
+        m = np.diff(tails_before)
+        arrays = [
+            _lists(prints, np.array(several)),
+            _lists(_lists(list(chain.from_iterable(places)), np.fromiter(map(len, places), np.int64, len(places))), np.array(several)),
+            _lists(_hash_spans(sums, at, whole, within, powers).view(np.int64), n),
+            _lists(chars[at] - np.repeat(start[:-1], n), n),
+            _lists(chars[whole] - np.repeat(start[:-1], n), n),
+            _lists(tail_from, n + 1),
+            _lists(_hash_spans(sums, begins, tails, within, powers).view(np.int64), m),
+            _lists(chars[tails] - np.repeat(start[:-1], m), m),
+        ]
+        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], *arrays], names=["doc_id", "th", "prints", "at", "keys", "starts", "stops", "tail_from", "tail_keys", "tail_stops"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = _Powers()
         for batch in slices(batches):
-            out: list[list] = [[], [], [], [], [], [], [], []]
-            for text in batch["text"].to_pylist():
-                lines = cut_lines(text or "")
-                split = [x.split() for x in lines]
-                words = np.fromiter(map(len, split), np.int64, len(lines))
-                hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(" ".join, split)), np.uint64, len(lines))
-                sums = _prefix_sums(hashes, powers)
-                runs, ends = _spans(words, cfg.run_words), _spans(words, cfg.gram_words)
-                grams = _hash_runs(sums, ends, powers)
-                chosen = _window_minima(grams, ends, runs)
-                keys = _hash_runs(sums, runs, powers)
-                # Runs from one line on: from 0 to the last that has a whole run.
-                n = int((runs >= 0).sum())
-                offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))))
-                prints: dict[int, list[int]] = {}
-                # Runs that hold a fingerprint: from the first that reaches its gram's end to the one at its line.
-                whole = runs[runs >= 0]
-                lows = np.minimum(np.searchsorted(whole, ends[chosen], "left"), chosen)
-                for g, i in zip(grams[chosen].view(np.int64).tolist(), ((lows << 32) | chosen).tolist(), strict=True):
-                    prints.setdefault(g, []).append(i)
-                out[0].append(list(prints))
-                out[1].append(list(prints.values()))
-                out[2].append(keys[:n].view(np.int64))
-                out[3].append(offsets[:n])
-                out[4].append(offsets[runs[:n]])
-                begins, tails = _tails(words, cfg.run_words, runs)
-                out[5].append(np.searchsorted(begins, np.arange(n + 1)))
-                out[6].append(_hash_spans(sums, begins, tails, powers).view(np.int64))
-                out[7].append(offsets[tails])
-            longs = pa.list_(pa.int64())
-            arrays = [pa.array(x, pa.list_(longs) if i == 1 else longs) for i, x in enumerate(out)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], *arrays], names=["doc_id", "th", "prints", "at", "keys", "starts", "stops", "tail_from", "tail_keys", "tail_stops"])
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            stop = 0
+            while stop < len(texts):
+                start, room = stop, _BLOCK
+                while stop < len(texts) and (stop == start or len(texts[stop]) <= room):
+                    room -= len(texts[stop])
+                    stop += 1
+                yield outlines(batch.slice(start, stop - start), texts[start:stop])
 
     return run
 
@@ -172,14 +217,16 @@ def repeated_spans(docs: DataFrame, cfg: LineConfig = LineConfig()) -> DataFrame
     A run is repeated if the same lines, white space aside, stood at an earlier place: in a smaller doc_id (a null id
     is the least; texts of one doc_id go by hash), or before it in its own text. Equal rows count as one.
     """
-    rows = materialize(analyse(docs, cfg), "lines")
+    rows = materialize(analyse(docs, cfg).withColumn("row", F.monotonically_increasing_id()), "lines")
     # A text's occurrences of one fingerprint stay together, so that junk that repeats itself is one row.
-    prints = rows.select("doc_id", "th", F.explode(F.arrays_zip("prints", "at")).alias("p")).select("doc_id", "th", F.col("p.prints").alias("g"), F.col("p.at").alias("at"))
-    place = F.struct("doc_id", "th")
-    shared = prints.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"), F.max(place).alias("two"), F.max(F.size("at")).alias("own")).where("own > 1 OR NOT (one <=> two)").select("g", "n")
+    prints = rows.select("doc_id", "th", "row", F.explode(F.arrays_zip("prints", "at")).alias("p")).select("doc_id", "th", "row", F.col("p.prints").alias("g"), F.col("p.at").alias("at"))
+    # Least and greatest numbers by themselves are aggregated by hash, structs of them by sorting.
+    places = [F.min("doc_id").alias("one"), F.max("doc_id").alias("two"), F.count("doc_id").alias("named"), F.min("th").alias("low"), F.max("th").alias("high")]
+    shared = prints.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *places, F.max(F.size("at")).alias("own")).where("own > 1 OR one <> two OR low <> high OR named NOT IN (0, n)").select("g", "n")
     shared = materialize(shared, "shared")
-    hits = join_hot(prints, shared, "g", "n").groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("hit"))
-    touched = rows.drop("prints", "at").dropDuplicates(["doc_id", "th"]).join(hits.select(F.col("doc_id").alias("hid"), F.col("th").alias("hth"), "hit"), F.col("doc_id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")))
+    hits = join_hot(prints, shared, "g", "n").groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("hit"), F.min("row").alias("row"))
+    # Of equal rows, which have the same fingerprints, one goes on.
+    touched = rows.drop("prints", "at").join(hits.select("row", "hit"), "row")
     # Extension: every run that holds a fingerprint begins at its line or before; the first stands in the upper half.
     line = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))
     near = F.array_distinct(F.flatten(F.transform("hit", lambda h: F.sequence(F.shiftright(h, 32), F.greatest(F.shiftright(h, 32), F.least(line(h), F.size("keys").cast("long") - 1))))))
@@ -191,7 +238,7 @@ def repeated_spans(docs: DataFrame, cfg: LineConfig = LineConfig()) -> DataFrame
     # A common run up to a line holds the run from its first line on, which is common, too.
     ends = materialize(again.select("doc_id", "th", "start", F.explode("tails").alias("t")).select("doc_id", "th", "t.key", "start", "t.stop"), "tails")
     again_ends, later_ends = _later(ends)
-    spans = later.union(later_ends).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("s"))
+    spans = later.union(later_ends).groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("s"))
     spans = materialize(spans.select("doc_id", "th", _merged(F.col("s")).alias("spans")), "spans")
     discard(again, again_ends)
     return spans
