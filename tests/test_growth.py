@@ -53,6 +53,13 @@ def test_blend_keeps_halves(spark, tmp_path):
     assert sorted((r["c_custkey"], r["score"]) for r in QUERIES["left_join_blend"].run(spark, str(tmp_path)).collect()) == sorted(want)
 
 
+def test_blend_counts_all_orders(spark, tmp_path):
+    """Customers of any number have their orders counted; 50 stands in only where there are none."""
+    spark.createDataFrame([(0, 0.0), (1, 0.0), (2, 0.0)], "c_custkey long, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(60).select((F.col("id") % 2).alias("o_custkey"), "id").where("o_custkey = 1 OR id < 20").select("o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    assert sorted((r["c_custkey"], r["score"]) for r in QUERIES["left_join_blend"].run(spark, str(tmp_path)).collect()) == [(0, 2), (1, 6), (2, 10)]
+
+
 def test_nearest_of_crowded_places(spark):
     a = spark.range(200_000).select("id", (F.col("id") % 3).cast("int").alias("x"), F.lit(0).alias("y"))
     b = spark.range(200_000).select(F.col("id").alias("near"), (F.col("id") % 2 * 5).cast("int").alias("u"), F.lit(0).alias("v"))
