@@ -75,6 +75,13 @@ def test_equal_views_meet_once(spark):
     assert [tuple(r) for r in out.groupBy("section", "source").count().collect()] == [("#199999", "landmark", 200_000)]
 
 
+def test_landmarks_of_any_number(spark, tmp_path):
+    """Part 16 is a navigation that fills most of the view of supplier 16; 16 is not divisible by 3."""
+    spark.createDataFrame([(16,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(16, "n", "t", 40)], "p_partkey long, p_name string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    assert [tuple(r) for r in QUERIES["section_assign"].run(spark, str(tmp_path)).collect()] == [(16, "x-16", "landmark")]
+
+
 def test_few_moments_are_summed_by_spark(spark, monkeypatch):
     rows = spark.createDataFrame([(1, 1.0, 2.0, 3.0), (1, 2.0, 0.5, 1.0), (None, 4.0, 1.0, 1.0), (2, float("nan"), 1.0, 1.0), (2, None, 1.0, 1.0), (2, float("inf"), 1.0, 1.0), (3, 1.0, 1.0, -1.0)], "g int, a double, b double, y double")
     native = moments.group_moments(rows, "g", ["a", "b"], ["y"])

@@ -13,14 +13,14 @@ from .base import EV, FR, Tables, query
 from .joins import SECTION, sections
 from .kernel import CLICK, ELEMENT, SIG, clicked, elements, r6, signal
 
-SNAP = f"{ELEMENT}, snap AS (SELECT s_suppkey AS snapshot, s_suppkey % 20 AS k, 0 AS vx, CAST(s_suppkey * 7 % 800 AS INT) AS vy, 400 AS vw, 120 AS vh FROM supplier), lm AS (SELECT p_partkey % 20 AS k, p_partkey, dom_id, x, y, w, h FROM el WHERE tag IN ('NAV', 'SECTION') AND p_partkey % 3 = 0)"
+SNAP = f"{ELEMENT}, snap AS (SELECT s_suppkey AS snapshot, s_suppkey % 20 AS k, 0 AS vx, CAST(s_suppkey * 7 % 800 AS INT) AS vy, 400 AS vw, 120 AS vh FROM supplier), lm AS (SELECT p_partkey % 20 AS k, p_partkey, dom_id, x, y, w, h FROM el WHERE tag IN ('NAV', 'SECTION'))"
 
 
 @query(f"WITH {SNAP}, o AS (SELECT snapshot, p_partkey, dom_id, greatest(least(vx + vw, x + w) - greatest(vx, x), 0) * greatest(least(vy + vh, y + h) - greatest(vy, y), 0) AS a FROM snap JOIN lm USING (k)), b AS (SELECT snapshot, dom_id FROM o WHERE a > 0 QUALIFY row_number() OVER (PARTITION BY snapshot ORDER BY a DESC, p_partkey) = 1) SELECT snapshot, coalesce(dom_id, CASE WHEN vy + vh / 2.0 < 900 / 3.0 THEN 'top' WHEN vy + vh / 2.0 < 600 THEN 'middle' ELSE 'bottom' END) AS section, CASE WHEN dom_id IS NULL THEN 'scroll_band' ELSE 'landmark' END AS source FROM snap LEFT JOIN b USING (snapshot)")
 def section_assign(t: Tables) -> DataFrame:
     k = F.col("s_suppkey")
     snaps = t.supplier.select(k.alias("snapshot"), (k % 20).alias("k"), F.lit(0).alias("vx"), (k * 7 % 800).cast("int").alias("vy"), F.lit(400).alias("vw"), F.lit(120).alias("vh"))
-    marks = elements(t).where("tag IN ('NAV', 'SECTION') AND p_partkey % 3 = 0").select((F.col("p_partkey") % 20).alias("k"), "p_partkey", "dom_id", "x", "y", "w", "h")
+    marks = elements(t).where("tag IN ('NAV', 'SECTION')").select((F.col("p_partkey") % 20).alias("k"), "p_partkey", "dom_id", "x", "y", "w", "h")
     return P.assign_sections(snaps, marks, "k", ("vx", "vy", "vw", "vh"), ("x", "y", "w", "h"), "p_partkey", 900.0).select("snapshot", "section", "source")
 
 
