@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidewatch.operators import joins, moments, sections
+from tidewatch.operators import cohorts, joins, moments, sections
 from tidewatch.plans.registry import QUERIES
 from tidewatch.streaming import explore
 
@@ -36,6 +37,38 @@ def test_resampled_rows_are_small(spark, tiny):
     assert "transform(sequence" not in plan(QUERIES["bootstrap_ci"].run(spark, tiny)).lower()
 
 
+def test_all_replicates_are_drawn(spark, tiny):
+    """2000, as the source draws; a nation with a customer or two has some without any."""
+    got = QUERIES["bootstrap_ci"].run(spark, tiny).where("n >= 8").select("replicates").distinct().collect()
+    assert got and min(r["replicates"] for r in got) > 1990 and max(r["replicates"] for r in got) == 2000
+
+
+def test_weights_of_many_replicates(spark):
+    """Names of one block of the hash and longer ones, of one table or one by one."""
+    names = ["7", "x" * 30, "", "x" * 49, "x" * 50, "é" * 40, "y" * 200]
+    rows = spark.createDataFrame([(i, n, r) for i, n in enumerate(names) for r in (0, 9, 10, 99, 100, 1023)], "i int, name string, r int")
+    want = {(x["i"], x["r"]): x["w"] for x in moments.with_weight(rows, [F.col("name"), F.col("r")], "w").collect()}
+    got = moments.poisson_weights([f"{n}:".encode() for n in names], range(1024))
+    assert all(got[i, r] == w for (i, r), w in want.items()) and got.max() > 3
+
+
+def test_resampled_groups_and_gaps(spark, monkeypatch):
+    """More groups than a part has, null values and a null key, against weights a row and replicate; parts add up to the whole."""
+    rows = spark.range(4000).select("id", (F.col("id") % 83).alias("a"), F.when(F.col("id") % 2 == 0, "e").alias("b"), F.when(F.col("id") % 83 != 4, F.col("id") / 3).alias("v"))
+    many = moments.with_weight(rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(29)))), [F.col("id"), F.col("r")], "w")
+    sums = many.groupBy("a", "b", "r").agg(F.sum(F.when(F.col("w") > 0, F.col("v") * F.col("w"))).alias("s"), F.sum("w").alias("n")).where("n > 0")
+    want = {r["a"]: (r["low"], r["high"], r["k"]) for r in sums.where("b = 'e'").groupBy("a").agg(F.percentile(F.col("s") / F.col("n"), F.lit(0.025)).alias("low"), F.percentile(F.col("s") / F.col("n"), F.lit(0.975)).alias("high"), F.count("*").alias("k")).collect()}
+    got = {r["a"]: (r["low"], r["high"], r["replicates"]) for r in cohorts.bootstrap_mean(rows, ["a", "b"], "id", "v", 30).collect()}
+    assert set(got) == set(want) and got[4] == (None, None, 30)
+    assert all(abs(x - y) < 1e-9 for a in set(got) - {4} for x, y in zip(got[a], want[a], strict=True))
+    batch = pa.RecordBatch.from_pydict({"a": [1, 2, None, 1, 3, 2], "__name": [b"%d:" % i for i in range(6)], "__v": [1.0, None, 3.0, 4.0, 5.0, 6.0]})
+    parts = lambda: [r for b in cohorts._resampled(["a"], 30)(iter([batch])) for r in b.to_pylist()]
+    whole = parts()
+    for name, n in (("_GROUPS", 3), ("_REPLICATES", 7), ("_NAMES", 2)):
+        monkeypatch.setattr(cohorts, name, n)
+    assert len(whole) == 4 and parts() == whole
+
+
 def test_permutations_are_not_broadcast(spark, tiny):
     """The size before explode let Spark collect all permutations of the smaller side."""
     for key in ("permutation_p", "permutation_within_sites"):

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
-from .moments import with_weight
+from .moments import poisson_weights
 
 
 def assign_clusters(df: DataFrame, rules: Mapping[str, Mapping[str, str]], subject: str, least: int = 20) -> DataFrame:
@@ -64,16 +66,57 @@ def dealt_out(df: DataFrame, row: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), row)
 
 
+#: Of a batch so many names and groups, and so many replicates, are worked on at once.
+_NAMES, _GROUPS, _REPLICATES = 8, 64, 2048
+
+
+def _resampled(keys: Sequence[str], replicates: int) -> Callable:
+    """Of a batch's rows, by group, the sums of weights and of weighted values, a number a replicate; a sum without values is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = [batch[k].dictionary_encode("encode").indices.to_numpy(zero_copy_only=False) for k in keys]
+            _, group = np.unique(np.stack(codes, axis=1), axis=0, return_inverse=True) if codes else (None, np.zeros(batch.num_rows, int))
+            order = np.argsort(group.ravel(), kind="stable")
+            batch, group = batch.take(pa.array(order)), group.ravel()[order]
+            names, seen = batch["__name"].to_pylist(), batch["__v"].is_valid().to_numpy(zero_copy_only=False)
+            values = np.where(seen, batch["__v"].fill_null(0.0).to_numpy(), 0.0)
+            firsts = np.flatnonzero(np.diff(group, prepend=-1))
+            for g in range(0, len(firsts), _GROUPS):
+                own = firsts[g : g + _GROUPS]
+                end = firsts[g + _GROUPS] if g + _GROUPS < len(firsts) else batch.num_rows
+                n, s, some = (np.zeros((len(own), replicates), t) for t in (np.int64, np.float64, np.int64))
+                for low in range(0, replicates, _REPLICATES):
+                    part = slice(low, min(low + _REPLICATES, replicates))
+                    for i in range(own[0], end, _NAMES):
+                        rows = slice(i, min(i + _NAMES, end))
+                        w = poisson_weights(names[rows], range(part.start, part.stop)).astype(np.int64)
+                        v = np.where(w > 0, w * values[rows, None], 0.0)
+                        starts = np.flatnonzero(np.diff(group[rows], prepend=-1))
+                        at = group[rows][starts] - group[own[0]]
+                        for sums, x in ((n, w), (s, v), (some, w * seen[rows, None])):
+                            sums[at, part] += np.add.reduceat(x, starts, axis=0)
+                ends = pa.array(np.arange(len(own) + 1) * replicates, pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(s.ravel(), mask=some.ravel() == 0), pa.array(n.ravel()))]
+                yield pa.RecordBatch.from_arrays([*[batch[k].take(pa.array(own)) for k in keys], *lists], names=[*keys, "__s", "__n"])
+
+    return run
+
+
 def bootstrap_mean(df: DataFrame, keys: Sequence[str], row: str, value: str, replicates: int, alpha: float = 0.05) -> DataFrame:
     """mean and the percentile interval of its bootstrap, by group.
 
-    Each row gets a Poisson(1) weight in each replicate from a hash, so a replicate is one weighted aggregation and no
-    group is gathered. Rows are dealt out before they are multiplied, so that every core has its share however few files there are.
+    Each row gets a Poisson(1) weight in each replicate from a hash (`moments.with_weight`), so a replicate is one weighted
+    sum and no group is gathered: tasks sum up a batch of rows in all replicates, Spark adds these sums. Rows are
+    dealt out before, so that every core has its share however few files there are. keys: no nested columns.
     """
-    rows = dealt_out(df.select(*keys, row, value), row).withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    rows = with_weight(rows, [F.col(row), F.col("__r")], "__w")
-    sums = [F.sum(F.when(F.col("__w") > 0, F.col(value) * F.col("__w"))).alias("__s"), F.sum("__w").alias("__n")]
-    means = rows.groupBy(*keys, "__r").agg(*sums).where("__n > 0").withColumn("__m", F.col("__s") / F.col("__n"))
+    name = F.coalesce(F.concat(F.col(row).cast("string"), F.lit(":")), F.lit("")).cast("binary")
+    rows = dealt_out(df.select(*keys, F.col(row).alias("__row"), name.alias("__name"), F.col(value).cast("double").alias("__v")), "__row").drop("__row")
+    schema = StructType([*rows.select(*keys).schema.fields, *StructType.fromDDL("__s array<double>, __n array<bigint>").fields])
+    parts = rows.mapInArrow(_resampled(list(keys), replicates), schema).select(*keys, F.posexplode(F.arrays_zip("__s", "__n")).alias("__r", "__x"))
+    means = parts.groupBy(*keys, "__r").agg(F.sum("__x.__s").alias("__s"), F.sum("__x.__n").alias("__n")).where("__n > 0").withColumn("__m", F.col("__s") / F.col("__n"))
     bounds = means.groupBy(*keys).agg(F.percentile("__m", F.lit(alpha / 2)).alias("low"), F.percentile("__m", F.lit(1 - alpha / 2)).alias("high"), F.count(F.lit(1)).alias("replicates"))
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n")).join(bounds, list(keys))
 

@@ -7,8 +7,10 @@ everything after it works on groups.
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -151,6 +153,74 @@ def with_weight(df: DataFrame, parts: Sequence[Column], name: str) -> DataFrame:
     return df.withColumn("__h", digits).withColumn(name, weight).drop("__h")
 
 
+#: MD5: turns by round and step, and the sines' fractions.
+_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_SINES = np.array([int(abs(math.sin(i + 1)) * 2**32) for i in range(64)], np.uint32)
+#: Bytes that a message of one MD5 block has at most.
+_BLOCK = 55
+
+
+def _md5_heads(words: Mapping[int, np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """The first twelve hex digits, as numbers, of the MD5 of messages of one block: words has those of the block's 16 that are not 0."""
+    start = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (np.full(shape, x, np.uint32) for x in start)
+    f = np.empty(shape, np.uint32)
+    for i in range(64):
+        if i < 16:
+            np.bitwise_xor(c, d, out=f), np.bitwise_and(f, b, out=f), np.bitwise_xor(f, d, out=f)
+        elif i < 32:
+            np.bitwise_xor(b, c, out=f), np.bitwise_and(f, d, out=f), np.bitwise_xor(f, c, out=f)
+        elif i < 48:
+            np.bitwise_xor(b, c, out=f), np.bitwise_xor(f, d, out=f)
+        else:
+            np.invert(d, out=f), np.bitwise_or(f, b, out=f), np.bitwise_xor(f, c, out=f)
+        word = words.get((i, 5 * i + 1, 3 * i + 5, 7 * i)[i // 16] % 16)
+        a += f
+        a += _SINES[i]
+        if word is not None:
+            a += word
+        turn = _TURNS[i // 16][i % 4]
+        np.left_shift(a, np.uint32(turn), out=f)
+        a >>= np.uint32(32 - turn)
+        a |= f
+        a += b
+        a, b, c, d = d, a, b, c
+    a += start[0]
+    b += start[1]
+    return (a.byteswap().astype(np.int64) << 16) | (b.astype(np.uint16).byteswap())
+
+
+@lru_cache(64)
+def _tails(size: int, start: int, stop: int) -> np.ndarray:
+    """What stands behind so many bytes of a message of one block, for each number: its digits, the end mark, the length; a row a word."""
+    ends = [b"%d" % r for r in range(start, stop)]
+    whole = b"".join((bytes(size) + e + b"\x80").ljust(56, b"\0") + (8 * (size + len(e))).to_bytes(8, "little") for e in ends)
+    return np.ascontiguousarray(np.frombuffer(whole, "<u4").reshape(-1, 16).T)
+
+
+def poisson_weights(names: Sequence[bytes], replicates: range) -> np.ndarray:
+    """A row a name, a column a replicate: the count that with_weight makes of name and number. names end in what stands before the number.
+
+    All messages of a few names are hashed at once; only those beyond one block go one by one.
+    """
+    longest = len(str(replicates.stop - 1))
+    short = np.array([len(x) + longest <= _BLOCK for x in names], bool)
+    heads = np.empty((len(names), len(replicates)), np.int64)
+    for i in np.flatnonzero(~short):
+        heads[i] = [int.from_bytes(hashlib.md5(b"%b%d" % (names[i], r), usedforsecurity=False).digest()[:6], "big") for r in replicates]
+    own = [x for x, s in zip(names, short, strict=True) if s]
+    if own:
+        sizes, at = np.unique([len(x) for x in own], return_inverse=True)
+        tail = np.stack([_tails(n, replicates.start, replicates.stop) for n in sizes.tolist()])
+        head = np.frombuffer(b"".join(x.ljust(64, b"\0") for x in own), "<u4").reshape(-1, 16)
+        words = {j: head[:, j, None] | tail[at, j] for j in range(16) if head[:, j].any() or tail[:, j].any()}
+        heads[short] = _md5_heads(words, (len(own), len(replicates)))
+    weights = np.zeros(heads.shape, np.uint8)
+    for p in POISSON:
+        weights += heads >= math.ceil(p * 16**12)
+    return weights
+
+
 def bootstrap_correlation(df: DataFrame, keys: Sequence[str], group: str, x: str, y: str, replicates: int = 500, alpha: float = 0.05) -> DataFrame:
     """keys, n, r and the percentile interval low to high of the correlation of x and y when groups are drawn anew.
 

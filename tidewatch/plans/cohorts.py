@@ -46,13 +46,13 @@ _POISSON = "[" + ", ".join(map(str, POISSON)) + "]"
 
 
 @query(f"""
-WITH w AS (SELECT c_nationkey, c_acctbal, r, len(list_filter({_POISSON}, lambda p: CAST('0x' || substr(md5(c_custkey || ':' || r), 1, 12) AS BIGINT) / 281474976710656.0 >= p)) AS w FROM customer, range(200) x(r)),
+WITH w AS (SELECT c_nationkey, c_acctbal, r, len(list_filter({_POISSON}, lambda p: CAST('0x' || substr(md5(c_custkey || ':' || r), 1, 12) AS BIGINT) / 281474976710656.0 >= p)) AS w FROM customer, range(2000) x(r)),
 m AS (SELECT c_nationkey, r, sum(c_acctbal * w) / sum(w) AS m FROM w WHERE w > 0 GROUP BY ALL),
 b AS (SELECT c_nationkey, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high, count(*) AS replicates FROM m GROUP BY ALL)
 SELECT c_nationkey, n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, replicates FROM b JOIN (SELECT c_nationkey, avg(c_acctbal) AS mean, count(*) AS n FROM customer GROUP BY ALL) USING (c_nationkey)
 """)
 def bootstrap_ci(t: Tables) -> DataFrame:
-    return C.bootstrap_mean(t.customer.select("c_nationkey", "c_custkey", "c_acctbal"), ["c_nationkey"], "c_custkey", "c_acctbal", 200).select("c_nationkey", "n", r6("mean", "mean"), r6("low", "low"), r6("high", "high"), "replicates")
+    return C.bootstrap_mean(t.customer.select("c_nationkey", "c_custkey", "c_acctbal"), ["c_nationkey"], "c_custkey", "c_acctbal", 2000).select("c_nationkey", "n", r6("mean", "mean"), r6("low", "low"), r6("high", "high"), "replicates")
 
 
 def _permuted(site: str) -> str:
