@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +37,32 @@ COMMON = 4
 MOST = 100_000
 #: Against rounding: products with the threshold may be this much off.
 _SLACK = 1e-9
+#: Of shingles' hashes: the polynomial's odd base, whose powers differ in their low bits, and an odd factor that spreads high bits.
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C13), np.uint64(0xBF58476D1CE4E5B9)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
-    """The distinct XXH64 of a text's shingles as signed longs, ascending; a text with fewer words is one shingle."""
+    """The distinct hashes of a text's shingles as signed longs, ascending; a text with fewer words is one shingle.
+
+    Each word is hashed once (XXH64); a shingle's hash is a polynomial of those of its words, mixed.
+    """
     words = text.translate(_LOWER).split()
-    n = len(words) - shingle + 1
     if not words:
         return np.zeros(0, np.int64)
-    shingles = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False)) if n > 0 else [b" ".join(words)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, max(n, 1)).view(np.int64))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    out = np.zeros(max(1, len(words) - shingle + 1), np.uint64)
+    for i in range(min(shingle, len(words))):
+        out = (out + hashes[i : i + len(out)]) * _BASE
+    out = (out ^ (out >> np.uint64(32))) * _MIX
+    return np.unique((out ^ (out >> np.uint64(29))).view(np.int64))
+
+
+def among(g: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which of some hashes are common; common: ascending. They are looked up, so that a set costs hardly more where many are common."""
+    if not len(common):
+        return np.zeros(len(g), bool)
+    return common[np.minimum(np.searchsorted(common, g), len(common) - 1)] == g
 
 
 def _sets(shingle: int):
@@ -76,7 +90,7 @@ def _prefixes(shared: object, shingle: int, similarity: float):
             ids, prints, sizes, out = [], [], [], []
             for text in batch["text"].to_pylist():
                 g = shingle_set(text or b"", shingle)
-                last = np.isin(g, common)
+                last = among(g, common)
                 ids.append(_sid(g))
                 prints.append(fingerprint_of(g.view(np.uint64)))
                 sizes.append(len(g))
@@ -149,7 +163,7 @@ def similar_roots(rows: DataFrame, texts: DataFrame, shingle: int, similarity: f
     least = _needed(F.col("size") + F.ceil(F.col("size") * similarity - _SLACK), similarity)
     most = F.floor(F.col("size") / similarity + _SLACK)
     able_sids = keys.groupBy("sid").agg(F.count(F.lit(1)).alias("c"), F.first("size").alias("size")).where(F.col("c") >= least - _behind(most, similarity)).select("sid")
-    chosen = rows.join(able_sids, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("k"))
+    chosen = rows.groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("k")).join(able_sids, "sid")  # a row a set, before rows of one set meet
     chosen = materialize(chosen.select("sid", _named(F.col("k.doc_id")).alias("__k"), F.col("k.th").alias("th")), "chosen")
     verified = lambda pairs: _verified(pairs, chosen, texts, shingle, similarity)
     links = verified(_close(rows))
@@ -200,7 +214,7 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
     some = texts.where(F.pmod(F.xxhash64("th"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_sets(shingle), "sid bigint, grams array<bigint>")
     some = some.select(F.explode("grams").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    common = some.where(F.col("n") > COMMON).orderBy(F.desc("n"), "key").limit(MOST).select("key").toArrow()["key"].to_numpy()
+    common = np.sort(some.where(F.col("n") > COMMON).orderBy(F.desc("n"), "key").limit(MOST).select("key").toArrow()["key"].to_numpy())
     shared = docs.sparkSession.sparkContext.broadcast(common)
     rows = materialize(texts.mapInArrow(_prefixes(shared, shingle, similarity), f"doc_id {kind}, th bigint, sid bigint, fp bigint, size int, prefix array<bigint>"), "prefixes-of-rows")
     classes = rows.groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
